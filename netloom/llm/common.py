@@ -8,6 +8,8 @@ from collections.abc import Iterator
 from urllib.parse import urlparse
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no shared folder, as in local tests.
@@ -78,16 +80,36 @@ class WordCodes(dict):
         self.words.clear()
 
 
-def slices(texts: list, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    """(start, end) of runs of texts of about `most` characters in all, so that a batch of long texts needs bounded memory."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= most:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def text_column(column: pa.Array) -> pa.Array:
+    """A string column with null as empty."""
+    return pc.fill_null(column.cast(pa.string()), "")
+
+
+def text_slices(column: pa.Array, most: int = 12_000_000) -> Iterator[tuple[int, int]]:
+    """(start, end) of runs of texts of about `most` bytes in all, so that a batch of long texts needs bounded memory."""
+    if len(column):
+        at = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
+        cuts = np.unique(np.concatenate([[0], np.flatnonzero(np.diff(at // most)) + 1, [len(column)]]))
+        yield from zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)
+
+
+def coded_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(code of each word, number of words of each text, words by code). Words lie between ASCII white space; some are empty."""
+    lists = pc.ascii_split_whitespace(column)
+    found = lists.flatten().dictionary_encode()
+    counts = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    return found.indices.to_numpy(zero_copy_only=False), counts, found.dictionary
+
+
+def joined(words: pa.Array) -> str:
+    """The words with line ends between; no word has one."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "\n")[0].as_py() if len(words) else ""
+
+
+def coded(found: list) -> tuple[np.ndarray, list]:
+    """(code of each item, items by code)."""
+    d = pa.array(found, pa.string()).dictionary_encode()
+    return d.indices.to_numpy(zero_copy_only=False).astype(np.int64), d.dictionary.to_pylist()
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

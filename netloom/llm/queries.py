@@ -11,6 +11,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def word_bpe() -> str:
+    """Where the public tokenizer lies that the contracts name."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import shared_path
+    from .token_files import read_tokens, token_digests, write_tokens
+
+    path = shared_path(spark, "tokens")
+    write_tokens(table(spark, sf_dir, "documents"), path, word_bpe())
+    return token_digests(read_tokens(spark, path))
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import build_lexicon, round_trip_digests
+
+    docs = table(spark, sf_dir, "documents")
+    return round_trip_digests(docs, word_bpe(), build_lexicon(docs, word_bpe()))
+
+
+def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import conversation_digests, format_windows
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.sql(f"SELECT CAST(-7 AS BIGINT) AS conv_id, CAST(t AS BIGINT) AS turn, r AS role, '{said}' AS text FROM VALUES (0, 'user'), (1, 'assistant') AS v(t, r)")
+    return conversation_digests(format_windows(rows.unionByName(extra)))
+
+
+def op9_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .length_histogram import length_histogram, with_limits
+
+    return with_limits(length_histogram(table(spark, sf_dir, "documents"), word_bpe()))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chunk_dedup import exact_groups
 
@@ -24,7 +62,7 @@ FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WINDOW g AS (PARTIT
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op10_exact_dedup,)}
+    return {f.__name__: f for f in (op1_token_files, op2_bpe, op5_chat_windows, op9_length_histogram, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
