@@ -7,6 +7,7 @@ outside it are merged exactly, also many at a time.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
@@ -249,7 +250,8 @@ class Lexicon:
 def lexicon_pieces(merges: Merges, lexicon: Lexicon | None):
     """encode_pieces by the lexicon, and by exact merging where it has no such word."""
 
-    def encode_pieces(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def encode_pieces(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        pieces = [p.encode() for p in texts]
         if lexicon is None:
             return merges(pieces)
         found, flat, lens = lexicon(pieces)
@@ -315,7 +317,9 @@ def build_lexicon(docs: DataFrame, tokenizer: str, text_col: str = "text", most:
     return path
 
 
+@functools.lru_cache(maxsize=2)
 def encoder(tokenizer: str, lexicon: str | None) -> TextIds:
+    """A worker process keeps the last two."""
     return TextIds(PieceIds(Pieces(tokenizer), lexicon_pieces(Merges(tokenizer), Lexicon(lexicon) if lexicon else None)), specials_of(tokenizer))
 
 

@@ -85,7 +85,7 @@ def text_column(column: pa.Array) -> pa.Array:
     return pc.fill_null(column.cast(pa.string()), "")
 
 
-def text_slices(column: pa.Array, most: int = 12_000_000) -> Iterator[tuple[int, int]]:
+def text_slices(column: pa.Array, most: int = 8_000_000) -> Iterator[tuple[int, int]]:
     """(start, end) of runs of texts of about `most` bytes in all, so that a batch of long texts needs bounded memory."""
     if len(column):
         at = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))

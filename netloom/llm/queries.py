@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +35,13 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(docs, word_bpe(), build_lexicon(docs, word_bpe()))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import flag_contaminated
+
+    docs = flag_contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return docs.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import conversation_digests, format_windows
 
@@ -43,6 +51,14 @@ def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(format_windows(rows.unionByName(extra)))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fold, score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, table(spark, sf_dir, "labels"), where=fold(F.col("doc_id")) != 0)
+    return score(docs, model).select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op9_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .length_histogram import length_histogram, with_limits
 
@@ -61,9 +77,29 @@ FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WINDOW g AS (PARTIT
 """
 
 
+SQL_OP3 = r"""
+WITH iw AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE item_id IS NOT NULL
+), il AS (SELECT item_id, w, least(10, len(w)) AS m FROM iw WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, m, array_to_string(w[k:k + m - 1], ' ') AS s FROM (SELECT item_id, w, m, unnest(range(1, len(w) - m + 2)) AS k FROM il)),
+lens AS (SELECT DISTINCT m FROM win),
+dw AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), dwin AS (SELECT r, m, k, array_to_string(w[k:k + m - 1], ' ') AS s FROM (SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS k FROM dw, lens WHERE len(w) >= m)),
+occ AS (SELECT d.r, d.m, d.k, win.item_id FROM dwin d JOIN win ON d.m = win.m AND d.s = win.s),
+hits AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + m)) AS p FROM (SELECT DISTINCT r, m, k FROM occ)) GROUP BY r),
+its AS (SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS i FROM occ) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hits USING (r) LEFT JOIN its USING (r)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_bpe, op5_chat_windows, op9_length_histogram, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_token_files, op2_bpe, op3_decontaminate, op5_chat_windows, op8_toxicity, op9_length_histogram, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": SQL_OP10}
+    return {"op3_decontaminate": SQL_OP3, "op10_exact_dedup": SQL_OP10}

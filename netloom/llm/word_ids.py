@@ -7,6 +7,8 @@ and kept in a table of bounded size; texts are then gathered from the table with
 
 from __future__ import annotations
 
+import functools
+import itertools
 import json
 import re
 import unicodedata
@@ -116,12 +118,12 @@ class Pieces:
 
 
 class PieceIds:
-    """encode_words by way of distinct pieces; encode_pieces(list of UTF-8 pieces) gives (ids, ids of each piece).
+    """encode_words by way of distinct pieces; encode_pieces(list of pieces) gives (ids, ids of each piece).
 
     Pieces once encoded are kept, in a table of bounded size.
     """
 
-    def __init__(self, pieces: Pieces, encode_pieces: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 300_000):
+    def __init__(self, pieces: Pieces, encode_pieces: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 200_000):
         self.pieces, self.encode_pieces, self.codes = pieces, encode_pieces, WordCodes(most)
         self.clear()
 
@@ -136,7 +138,7 @@ class PieceIds:
         at, distinct = coded(self.pieces(words))
         c = np.fromiter(map(self.codes.__getitem__, distinct), np.int64, len(distinct))[at]
         if new := self.codes.words[len(self.lens) :]:
-            flat, lens = self.encode_pieces([p.encode() for p in new])
+            flat, lens = self.encode_pieces(new)
             self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lens) - lens])
             self.lens, self.pool = np.concatenate([self.lens, lens]), np.concatenate([self.pool, flat])
         lens = self.lens[c]
@@ -144,20 +146,21 @@ class PieceIds:
         return self.pool[ragged(self.starts[c], lens)], run_sums(lens, np.diff(ends, prepend=-1))
 
 
-def library_pieces(path: str) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]:
+def library_pieces(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
     """encode_pieces by the tokenizers library's own BPE model."""
     from tokenizers import Tokenizer
 
-    model, letters = Tokenizer.from_file(path).model, byte_letters()
+    tokenize, letters = Tokenizer.from_file(path).model.tokenize, byte_letters()
 
-    def encode_pieces(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [[t.id for t in model.tokenize(p.decode("latin-1").translate(letters))] for p in pieces]
+    def encode_pieces(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [[t.id for t in tokenize(p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(letters))] for p in pieces]
         lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter((x for i in ids for x in i), np.uint32, int(lens.sum())), lens
+        return np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(lens.sum())), lens
 
     return encode_pieces
 
 
+@functools.cache
 def library_ids(path: str) -> TextIds:
-    """TextIds as the tokenizers library encodes, with add_special_tokens=False and unused truncation and padding."""
+    """TextIds as the tokenizers library encodes, with add_special_tokens=False and unused truncation and padding. A worker process has one."""
     return TextIds(PieceIds(Pieces(path), library_pieces(path)), specials_of(path))
