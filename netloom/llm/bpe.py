@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCodes, coded, coded_words, mounted, put_file, ragged, shared_path, text_column, text_slices
+from .common import WordCodes, coded, coded_words, mounted, put_file, ragged, shared_path, text_column, text_slices, written
 from .word_ids import PieceIds, Pieces, TextIds, byte_letters, specials_of
 
 #: Words in the lexicon; the file has a bounded size whatever the corpus.
@@ -304,9 +304,20 @@ def word_counts(docs: DataFrame, tokenizer: str, text_col: str = "text") -> Data
 
 
 def frequent_words(docs: DataFrame, tokenizer: str, text_col: str = "text", most: int = LEXICON_WORDS) -> list[bytes]:
-    """The `most` most frequent words of all texts, ties in the order of the words."""
-    top = word_counts(docs, tokenizer, text_col).orderBy(F.desc("n"), "word").limit(most)
-    return [r.word.encode() for r in top.collect()]
+    """The most frequent words of all texts: at most `most`, all that occur at least as often as some bound.
+
+    The bound comes from a histogram of counts by powers of 2 ** (1/16), so that no task sends more to the
+    driver than the words that are taken. If even the most frequent words are too many, those first in order are taken.
+    """
+    counts = written(word_counts(docs, tokenizer, text_col).withColumn("p", F.floor(F.log2("n") * 16).cast("int")), "words")
+    total, bound = 0, None
+    sizes = sorted(((r.p, r["count"]) for r in counts.groupBy("p").count().collect()), reverse=True)  # some hundred rows
+    for p, n in sizes:
+        if total + n > most:
+            break
+        total, bound = total + n, p
+    taken = counts.filter(F.col("p") >= bound) if bound is not None else counts.filter(F.col("p") == sizes[0][0]).orderBy("word").limit(most) if sizes else counts
+    return [r.word.encode() for r in taken.select("word").collect()]
 
 
 def build_lexicon(docs: DataFrame, tokenizer: str, text_col: str = "text", most: int = LEXICON_WORDS) -> str:

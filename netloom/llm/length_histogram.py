@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_column
+from .common import text_column, written
 from .word_ids import library_ids
 
 #: Lengths to a block: sums run within blocks, and over one row for each block.
@@ -31,7 +31,7 @@ def length_histogram(docs: DataFrame, tokenizer: str, text_col: str = "text") ->
         yield pa.record_batch([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["length", "n"])
 
     counts = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(run, "length long, n long")
-    return counts.groupBy("length").agg(F.sum("n").alias("n_docs"))
+    return written(counts.groupBy("length").agg(F.sum("n").alias("n_docs")), "lengths")
 
 
 def with_limits(hist: DataFrame) -> DataFrame:

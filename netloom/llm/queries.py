@@ -51,6 +51,12 @@ def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(format_windows(rows.unionByName(extra)))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .personal_data import personal_data, span_digests
+
+    return span_digests(personal_data(table(spark, sf_dir, "documents")))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fold, score, train
 
@@ -98,7 +104,7 @@ FROM dw LEFT JOIN hits USING (r) LEFT JOIN its USING (r)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_bpe, op3_decontaminate, op5_chat_windows, op8_toxicity, op9_length_histogram, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_token_files, op2_bpe, op3_decontaminate, op5_chat_windows, op7_personal_data, op8_toxicity, op9_length_histogram, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
