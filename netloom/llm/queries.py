@@ -42,6 +42,14 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kneser_ney import held_out, score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs.filter(~held_out(F.col("doc_id"))))
+    return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import conversation_digests, format_windows
 
@@ -104,7 +112,7 @@ FROM dw LEFT JOIN hits USING (r) LEFT JOIN its USING (r)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_bpe, op3_decontaminate, op5_chat_windows, op7_personal_data, op8_toxicity, op9_length_histogram, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_token_files, op2_bpe, op3_decontaminate, op4_kneser_ney, op5_chat_windows, op7_personal_data, op8_toxicity, op9_length_histogram, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
