@@ -389,8 +389,9 @@ def _with(fields, name: str, kind: str):
     return StructType([*fields.fields, *StructType.fromDDL(f"`{name}` {kind}").fields])
 
 
-def round_trip_digests(docs: DataFrame, tokenizer: str, lexicon: str | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each text encoded, and its ids decoded: id_col, n_tokens, ids_sha256, decoded_sha256. The ids themselves don't leave the task."""
+def round_trip_digests(docs: DataFrame, tokenizer: str, lexicon: str | None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Each text encoded, and its ids decoded: id_col, n_tokens, ids_sha256, decoded_sha256, and ids if asked for; else they don't leave the task."""
+    names, schema = ["i", "n", "s", "d"] + ["ids"] * with_ids, "n long, s string, d string" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, strings = encoder(tokenizer, lexicon), token_strings(tokenizer)
@@ -402,8 +403,11 @@ def round_trip_digests(docs: DataFrame, tokenizer: str, lexicon: str | None, id_
                 rows = [flat[e - m : e] for e, m in zip(ends, n, strict=True)]
                 ids = [hashlib.sha256(r.astype("<u4").tobytes()).hexdigest() for r in rows]
                 decoded = [hashlib.sha256(decode_ids(r.tolist(), strings).encode()).hexdigest() for r in rows]
-                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(n), pa.array(ids), pa.array(decoded)], ["i", "n", "s", "d"])
+                out = [batch.column(0).slice(a, b - a), pa.array(n), pa.array(ids), pa.array(decoded)]
+                if with_ids:
+                    out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat.view(np.int32))))
+                yield pa.record_batch(out, names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"i {kind}, n long, s string, d string")
-    return out.select(F.col("i").alias(id_col), F.col("n").alias("n_tokens"), F.col("s").alias("ids_sha256"), F.col("d").alias("decoded_sha256"))
+    out = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"i {kind}, {schema}")
+    return out.withColumnsRenamed({"i": id_col, "n": "n_tokens", "s": "ids_sha256", "d": "decoded_sha256"})

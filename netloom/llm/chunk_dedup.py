@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import kept_rows, written
 
 #: A group with more than this share of the rows is joined back by broadcast; there are at most 1 / HOT_SHARE such groups.
 HOT_SHARE = 1 / 256
@@ -80,11 +80,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, all columns as they are.
 
-    Ids that repeat on different texts are fine: a row stays if its id and text's digest are those of a row that stays;
-    of rows equal in both, one stays.
+    Ids may repeat on different texts; of rows equal in id and text one stays.
     """
     kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
-    digest = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
-    marked = docs.withColumn("_own_sha", digest)
-    cond = F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_own_sha") == F.col("_kept_sha"))
-    return marked.join(kept, cond, "left_semi").drop("_own_sha")
+    return kept_rows(docs, kept, id_col, text_col)

@@ -10,7 +10,8 @@ from urllib.parse import urlparse
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder, as in local tests.
 LOCAL_SHARED = "/tmp/checkpoints/netloom"
@@ -144,3 +145,12 @@ def word_hashes(words: list) -> np.ndarray:
 
     one = xxhash.xxh3_64_intdigest
     return np.fromiter((one(w) for w in words), np.uint64, len(words))
+
+
+def kept_rows(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs whose id and text's SHA-256 are in kept (_kept_id, _kept_sha as hex), one of each, all columns as they are."""
+    key = lambda i, sha: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("-")), sha)
+    own = docs.withColumn("_own_key", key(F.col(id_col), F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)))
+    wanted = kept.select(key(F.col("_kept_id"), F.col("_kept_sha")).alias("_own_key"))
+    one = Window.partitionBy("_own_key").orderBy("_own_key")
+    return own.join(wanted, "_own_key", "left_semi").withColumn("_own_n", F.row_number().over(one)).filter("_own_n = 1").select(*docs.columns)

@@ -59,6 +59,12 @@ def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(format_windows(rows.unionByName(extra)))
 
 
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .order_minhash import near_groups
+
+    return near_groups(table(spark, sf_dir, "documents")).select("doc_id", "group_id", "group_size", "kept", "class_size")
+
+
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .personal_data import personal_data, span_digests
 
@@ -112,7 +118,7 @@ FROM dw LEFT JOIN hits USING (r) LEFT JOIN its USING (r)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_bpe, op3_decontaminate, op4_kneser_ney, op5_chat_windows, op7_personal_data, op8_toxicity, op9_length_histogram, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_token_files, op2_bpe, op3_decontaminate, op4_kneser_ney, op5_chat_windows, op6_order_minhash, op7_personal_data, op8_toxicity, op9_length_histogram, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
