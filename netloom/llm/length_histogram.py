@@ -13,7 +13,7 @@ from .common import text_column, written
 from .word_ids import library_ids
 
 #: Lengths to a block: sums run within blocks, and over one row for each block.
-BLOCK = 4096
+BLOCK = 256
 
 
 def length_histogram(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:

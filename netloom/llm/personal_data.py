@@ -412,7 +412,8 @@ def span_digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     as_text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     rank = lambda s: F.array_position(F.array(*map(F.lit, KINDS)), s["kind"])
     in_order = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(rank(s).alias("r"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    is_kind = lambda k: lambda s: s["kind"] == k
+    counts = [F.size(F.filter("base", is_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select(id_col, *counts, F.sha2(as_text(F.col("base")), 256).alias("base_sha256"), as_text(in_order).alias("spans"))
 
 
