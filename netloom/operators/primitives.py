@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from netloom.graph import Graph
 
+#: Reports that news travels between two cuts of the lineage.
+HOPS_A_ROUND = 4
+
 
 def neighbors(graph: Graph, node) -> DataFrame:
     """(id): successors, or neighbours of an undirected graph; the node itself if it has a loop."""
@@ -103,8 +106,12 @@ def reached(seller: DataFrame, reports: DataFrame, max_hops: int | None = 2) ->
         return known.distinct()
     frontier = known = materialized(known)
     while not frontier.isEmpty():
-        frontier = materialized(frontier.join(step, ["auction", "bidder"]).select("auction", F.col("reported").alias("bidder")).distinct().join(known, ["auction", "bidder"], "left_anti"))
-        known = known.unionByName(frontier)
+        found, ahead = None, frontier
+        for _ in range(HOPS_A_ROUND):
+            ahead = ahead.join(step, ["auction", "bidder"]).select("auction", F.col("reported").alias("bidder")).distinct()
+            found = ahead if found is None else found.unionByName(ahead)
+        frontier = materialized(found.distinct().join(known, ["auction", "bidder"], "left_anti"))
+        known = materialized(known.unionByName(frontier))
     return known
 
 
@@ -112,6 +119,6 @@ def by_priority(df: DataFrame, *priority: Column | str, group: list[str] | None
     """df with place: the order in which a queue would give its rows, least priority first, later columns breaking ties; per group if given. take: only so many."""
     if group is None and take is not None:
         first = df.orderBy(*priority).limit(take)
-        return first.withColumn("place", F.row_number().over(Window.orderBy(*priority)))
-    ranked = df.withColumn("place", F.row_number().over(Window.partitionBy(*(group or [F.lit(0)])).orderBy(*priority)))
+        return first.withColumn("place", F.row_number().over(Window.orderBy(*priority)).cast("long"))
+    ranked = df.withColumn("place", F.row_number().over(Window.partitionBy(*(group or [F.lit(0)])).orderBy(*priority)).cast("long"))
     return ranked if take is None else ranked.filter(F.col("place") <= take)
