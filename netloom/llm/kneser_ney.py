@@ -215,8 +215,8 @@ def gathered(arrays: DataFrame, buckets: int, reduce, schema: str) -> DataFrame:
         if held:
             yield reduce(bucket, held)
 
-    # Buckets are dealt out evenly; a bucket that nobody sent has no file.
-    return arrays.repartitionByRange(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+    # Dealt out by hash: ranges would be found by counting everything once more. A bucket that nobody sent has no file.
+    return arrays.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
 
 
 @dataclass
