@@ -26,6 +26,8 @@ from .common import coded_words, kept_rows, mix, run_sums, text_column, text_sli
 
 K, SKETCHES, LEAST, SIMILARITY = 5, 32, 2, 0.8
 HOT_SHARE = 1 / 256
+#: Bytes of the filter that keeps texts without candidates from being moved.
+FILTER_BYTES = 16 << 20
 #: Classes of a bucket that are sorted together.
 PART = 2000
 POSITION = np.uint64((1 << 24) - 1)
@@ -268,6 +270,45 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def key_filter(wanted: DataFrame, rows: int) -> np.ndarray:
+    """A Bloom filter of the keys, (256, bytes): one bitmap for each first byte, at most FILTER_BYTES in all.
+
+    It only saves moving what is surely not wanted; a join decides. With more keys than it can tell apart it lets more through.
+    """
+    size = int(np.clip(2 ** np.ceil(np.log2(max(rows, 1) / 128)), 64, FILTER_BYTES // 256))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maps: dict[int, np.ndarray] = {}
+        for batch in batches:
+            keys = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, 16)
+            first, places = filter_places(keys, size)
+            for f in np.unique(first):
+                own = maps.setdefault(int(f), np.zeros(size * 8, bool))
+                own[places[first == f].ravel()] = True
+        yield pa.record_batch([pa.array(list(maps), pa.int32()), pa.array([np.packbits(m).tobytes() for m in maps.values()], pa.binary())], ["f", "m"])
+
+    first = F.conv(F.hex(F.substring("k", 1, 1)), 16, 10).cast("int")
+    made = wanted.select("k", first.alias("f")).repartition("f").select("k").mapInArrow(run, "f int, m binary")
+    out = np.zeros((256, size * 8), bool)
+    for f, m in made.collect():  # at most 256 rows
+        out[f] = np.unpackbits(np.frombuffer(m, np.uint8)).astype(bool)
+    return np.packbits(out, axis=1)
+
+
+def filter_places(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, three bits in its bitmap) of each key."""
+    h = np.ascontiguousarray(keys).view(np.uint64).reshape(-1, 2)
+    bits = np.uint64(size * 8)
+    return keys[:, 0].astype(np.int64), np.stack([(h[:, 0] >> np.uint64(8)) % bits, h[:, 1] % bits, (h[:, 1] >> np.uint64(24)) % bits], 1).astype(np.int64)
+
+
+def passes(keys: list[bytes], table: np.ndarray) -> np.ndarray:
+    if not keys:
+        return np.zeros(0, bool)
+    first, places = filter_places(np.frombuffer(b"".join(keys), np.uint8).reshape(-1, 16), table.shape[1])
+    return ((table[first[:, None], places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & 1).all(1)
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY, count: int = SKETCHES, least: int = LEAST, k: int = K) -> DataFrame:
     """One row per input row: id_col, group_id, group_size, kept, class_size, _row, _sha.
 
@@ -280,15 +321,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = candidates(classes)
     wanted = written(found.select(F.explode(F.array("a", "b")).alias("k")).distinct(), "wanted")
 
+    sent = docs.sparkSession.sparkContext.broadcast(key_filter(wanted, wanted.count()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = text_column(batch.column(0))
             for a, b in text_slices(texts):
                 words, counts = words_of(texts.slice(a, b - a))
-                ends = np.cumsum(counts).tolist()
-                short = words.astype(np.uint32)
-                own = [short[e - n : e].tobytes() for e, n in zip(ends, counts.tolist(), strict=True)]
-                yield pa.record_batch([pa.array(class_keys(words, counts), pa.binary()), pa.array(own, pa.binary())], ["k", "w"])
+                keys, ends = class_keys(words, counts), np.cumsum(counts)
+                short, on = words.astype(np.uint32), np.flatnonzero(passes(keys, sent.value)).tolist()
+                own = [short[ends[i] - counts[i] : ends[i]].tobytes() for i in on]
+                yield pa.record_batch([pa.array([keys[i] for i in on], pa.binary()), pa.array(own, pa.binary())], ["k", "w"])
 
     text = docs.select(F.col(text_col).cast("string").alias("t"))
     words = written(text.mapInArrow(run, "k binary, w binary").join(wanted, "k", "left_semi").dropDuplicates(["k"]), "words")

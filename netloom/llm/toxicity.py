@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import coded, coded_words, joined, ragged, run_sums, text_column, text_slices, word_hashes
+from .common import coded, coded_words, joined, ragged, run_sums, text_column, text_slices, word_hashes, written
 
 BITS = 20
 #: Labelled rows that a fit may take.
@@ -66,11 +66,6 @@ class Model:
     w: np.ndarray
     v: np.ndarray
 
-    def lookup(self) -> np.ndarray:
-        table = np.full(1 << BITS, -1, np.int64)
-        table[self.terms] = np.arange(len(self.terms))
-        return table
-
     def scores(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         linear = run_sums(self.w[terms], counts)
         both = np.zeros(len(counts))
@@ -80,27 +75,22 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.w0 + linear + both / 2, -50, 50)))
 
 
-def fit_machine(terms: np.ndarray, counts: np.ndarray, labels: np.ndarray, most_terms: int = MOST_TERMS, factors: int = FACTORS, steps: int = 150, l1: float = 2e-4, l2: float = 1e-4, rate: float = 0.08, seed: int = 7) -> Model:
-    """Adam over all rows at once, with a soft threshold on w: terms that say nothing stay without weight."""
-    n = len(labels)
-    if n == 0 or labels.min() == labels.max():
-        share = (labels.sum() + 0.5) / (n + 2)
-        return Model(np.zeros(0, np.int64), float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, factors)))
-    row = np.repeat(np.arange(n), counts)
-    df = np.bincount(terms, minlength=1 << BITS).astype(float)
-    pos = np.bincount(terms, labels[row], minlength=1 << BITS)
+def constant(positive: int, n: int, factors: int = FACTORS) -> Model:
+    """The model for rows of one label, or none: the same score for all."""
+    share = (positive + 0.5) / (n + 2)
+    return Model(np.zeros(0, np.int64), float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, factors)))
+
+
+def fit_machine(chosen: np.ndarray, col: np.ndarray, counts: np.ndarray, labels: np.ndarray, factors: int = FACTORS, steps: int = 150, l1: float = 2e-4, l2: float = 1e-4, rate: float = 0.08, seed: int = 7) -> Model:
+    """Adam over all rows at once, with a soft threshold on w: terms that say nothing stay without weight.
+
+    chosen: buckets with weights; col, counts: each row's distinct terms as places in chosen.
+    """
+    n, m = len(labels), len(chosen)
     rate_all = labels.mean()
-    chi = np.where(df >= 3, (pos - df * rate_all) ** 2 / np.maximum(df, 1) / (rate_all * (1 - rate_all)), -1.0)
-    chosen = np.sort(np.argsort(-chi, kind="stable")[:most_terms])
-    chosen = chosen[chi[chosen] > 0]
-    table = np.full(1 << BITS, -1, np.int64)
-    table[chosen] = np.arange(len(chosen))
-    kept = table[terms] >= 0
-    row, col = row[kept], table[terms[kept]]
-    m = len(chosen)
+    row = np.repeat(np.arange(n), counts)
     by_col = np.argsort(col, kind="stable")
     row_of, col_of = row[by_col], col[by_col]
-    counts = np.bincount(row, minlength=n)
     rng = np.random.default_rng(seed)
     w0, w, v = float(np.log(rate_all / (1 - rate_all))), np.zeros(m), rng.normal(0, 0.01, (m, factors))
     weight = np.where(labels == 1, 0.5 / rate_all, 0.5 / (1 - rate_all)) ** 0.5  # part of the way to balance
@@ -135,7 +125,7 @@ def fold(id_col: Column, folds: int = 5) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % folds
 
 
-def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, most_rows: int = MOST_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, most_rows: int = MOST_ROWS, most_terms: int = MOST_TERMS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on at most most_rows labelled rows (those of least hash), whole texts.
 
     where: which ids may be learned from. Labels that are null are left out; of several for one id the greatest counts.
@@ -146,21 +136,54 @@ def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, most_
         given = given.filter(where)
     picked = given.groupBy(F.col(id_col).alias("_i")).agg(F.max(label_col).cast("int").alias("_y")).orderBy(F.xxhash64("_i"), "_i").limit(most_rows)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def with_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = text_column(batch.column(2))
             for a, b in text_slices(texts):
                 terms, counts = term_buckets(texts.slice(a, b - a))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(terms.astype(np.int32)))
-                yield pa.record_batch([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), lists], ["h", "y", "terms"])
+                yield pa.record_batch([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), as_lists(terms, counts)], ["h", "y", "terms"])
 
     rows = docs.select(F.col(id_col).alias("_i"), F.col(text_col).cast("string").alias("_t")).join(F.broadcast(picked), "_i")
     rows = rows.select(F.xxhash64("_i", "_t").alias("h"), F.col("_y").alias("y"), F.col("_t").alias("t"))
-    got = rows.mapInArrow(run, "h long, y int, terms array<int>").orderBy("h").limit(most_rows).toArrow()
+    sample = written(rows.mapInArrow(with_terms, "h long, y int, terms array<int>"), "sample")
+    n = sample.count()
+    if n > most_rows:  # ids that many documents share
+        last = sample.select("h").orderBy("h").limit(most_rows).agg(F.max("h")).first()[0]
+        sample = sample.filter(F.col("h") <= last)
+    n, positive = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
+    if not 0 < positive < n:
+        return constant(positive, n)
+    # Terms that tell the labels apart, by chi squared; counted in Spark, so that the driver sees those that are taken alone.
+    share = positive / n
+    counted = sample.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("y").alias("pos")).filter("df >= 3")
+    chi = F.pow(F.col("pos") - F.col("df") * share, F.lit(2.0)) / F.col("df")
+    chosen = np.sort(np.array([r.term for r in counted.orderBy(F.desc(chi), "term").limit(most_terms).select("term").collect()], np.int64))
+    if not len(chosen):
+        return constant(positive, n)
+
+    def only_chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = lookup_of(chosen)
+        for batch in batches:
+            lists = batch.column(2)
+            found = lookup[lists.flatten().to_numpy()]
+            own = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+            yield pa.record_batch([batch.column(0), batch.column(1), as_lists(found[found >= 0], run_sums((found >= 0).astype(np.int64), own))], ["h", "y", "terms"])
+
+    got = sample.mapInArrow(only_chosen, "h long, y int, terms array<int>").orderBy("h").limit(most_rows).toArrow()  # at most most_rows * most_terms numbers
     lists = got.column("terms").combine_chunks()
-    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
     counts = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-    return fit_machine(lists.values.to_numpy(zero_copy_only=False).astype(np.int64), counts, got.column("y").to_numpy().astype(float))
+    return fit_machine(chosen, lists.flatten().to_numpy().astype(np.int64), counts, got.column("y").to_numpy().astype(float))
+
+
+def as_lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values.astype(np.int32)))
+
+
+def lookup_of(terms: np.ndarray) -> np.ndarray:
+    """bucket -> place among the terms that have weights, or -1."""
+    table = np.full(1 << BITS, -1, np.int64)
+    table[terms] = np.arange(len(terms))
+    return table
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", only_clean: bool = False) -> DataFrame:
@@ -175,7 +198,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", only_clean: boo
     schema = base.schema if only_clean else StructType([*base.schema.fields, *StructType.fromDDL("score double, predicted int").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = model.lookup()
+        lookup = lookup_of(model.terms)
         for batch in batches:
             texts = text_column(batch.column(at))
             for a, b in text_slices(texts):
