@@ -1,6 +1,6 @@
 """Near-duplicate detection by Order MinHash, verified by banded alignment.
 
-A text is its lower-cased words between white space. Its k-mers (five words) are labelled by occurrence, so
+A text is its lower-cased words between white space. Its k-mers (five words; pairs in short texts) are labelled by occurrence, so
 that a repeated one counts as often as it occurs. Each of several sketches takes the k-mers of least hash
 and keeps them in the order of the text, so two texts agree on a sketch as they agree in words and in their
 order. Texts that agree on a sketch are candidates; a pair is a link if its edit similarity,
@@ -22,9 +22,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import coded_words, kept_rows, mix, run_sums, text_column, text_slices, word_hashes, written
+from .common import coded_words, kept_rows, mix, ragged, run_sums, text_column, text_slices, word_hashes, written
 
 K, SKETCHES, LEAST, SIMILARITY = 5, 32, 2, 0.8
+#: Texts of at most SHORT[1] words are sketched by pairs of words, those of more than SHORT[0] by k-mers, so that two texts of
+#: like length share a kind: an edit in a short text would leave few of its k-mers.
+SHORT, SHORT_K = (40, 50), 2
 HOT_SHARE = 1 / 256
 #: Bytes of the filter that keeps texts without candidates from being moved.
 FILTER_BYTES = 16 << 20
@@ -78,7 +81,7 @@ def kmers(words: np.ndarray, counts: np.ndarray, k: int = K) -> tuple[np.ndarray
     return out, n
 
 
-def sketches(grams: np.ndarray, n: np.ndarray, count: int = SKETCHES, least: int = LEAST) -> np.ndarray:
+def sketches(grams: np.ndarray, n: np.ndarray, count: int = SKETCHES, least: int = LEAST, kind: int = 0) -> np.ndarray:
     """(texts, count): hash of the `least` k-mers of least hash, in text order, for each of `count` orders. Only for texts with k-mers."""
     starts = np.cumsum(n) - n
     place = (np.arange(len(grams), dtype=np.uint64) - np.repeat(starts, n).astype(np.uint64)) & POSITION
@@ -100,7 +103,7 @@ def sketches(grams: np.ndarray, n: np.ndarray, count: int = SKETCHES, least: int
             where.append(np.where(gone, -1, at))
             v[at[~gone]] = top
         where = np.sort(np.stack(where, 1), 1)
-        h = np.full(len(n), np.uint64(c + 1))
+        h = np.full(len(n), np.uint64(kind * count + c + 1))
         with np.errstate(over="ignore"):
             for j in range(least):
                 own = where[:, j] >= 0
@@ -211,11 +214,17 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, count: int, least: int
             texts = text_column(batch.column(3))
             for a, b in text_slices(texts, 4_000_000):
                 words, counts = words_of(texts.slice(a, b - a))
-                grams, n = kmers(words, counts, k)
-                full = n > 0
-                own = sketches(grams, n[full], count, least) if full.any() else np.zeros((0, count), np.uint64)
-                size = np.where(full, count, 0)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(own.view(np.int64).ravel()))
+                size, parts = np.zeros(b - a, np.int64), []
+                for kind, (on, length) in enumerate(((counts > SHORT[0], k), ((counts > 0) & (counts <= SHORT[1]), SHORT_K))):
+                    if on.any():
+                        own = words[ragged((np.cumsum(counts) - counts)[on], counts[on])]
+                        parts.append((np.flatnonzero(on), sketches(*kmers(own, counts[on], length), count, least, kind)))
+                        size[on] += count
+                flat, at = np.zeros(int(size.sum()), np.uint64), np.cumsum(size) - size
+                for on, own in parts:
+                    flat[ragged(at[on], np.full(len(on), count))] = own.ravel()
+                    at[on] += count
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(flat.view(np.int64)))
                 yield pa.record_batch([*(batch.column(c).slice(a, b - a) for c in range(3)), pa.array(class_keys(words, counts), pa.binary()), lists], ["i", "r", "s", "k", "m"])
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
