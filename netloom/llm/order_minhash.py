@@ -333,17 +333,23 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sent = docs.sparkSession.sparkContext.broadcast(key_filter(wanted, wanted.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()  # a task sends a class once, however many copies it reads
         for batch in batches:
             texts = text_column(batch.column(0))
             for a, b in text_slices(texts):
                 words, counts = words_of(texts.slice(a, b - a))
                 keys, ends = class_keys(words, counts), np.cumsum(counts)
-                short, on = words.astype(np.uint32), np.flatnonzero(passes(keys, sent.value)).tolist()
+                short, on = words.astype(np.uint32), []
+                for i in np.flatnonzero(passes(keys, sent.value)).tolist():
+                    if keys[i] not in seen:
+                        seen.add(keys[i])
+                        on.append(i)
                 own = [short[ends[i] - counts[i] : ends[i]].tobytes() for i in on]
                 yield pa.record_batch([pa.array([keys[i] for i in on], pa.binary()), pa.array(own, pa.binary())], ["k", "w"])
 
     text = docs.select(F.col(text_col).cast("string").alias("t"))
-    words = written(text.mapInArrow(run, "k binary, w binary").join(wanted, "k", "left_semi").dropDuplicates(["k"]), "words")
+    words = text.mapInArrow(run, "k binary, w binary").groupBy("k").agg(F.first("w").alias("w"))
+    words = written(words.join(wanted, "k", "left_semi"), "words")
     best = Window.partitionBy("a").orderBy(F.desc("n"), "b")
     ranked = found.withColumn("rank", F.row_number().over(best))
     links = written(verified(ranked.filter("rank = 1"), words, threshold), "links")
