@@ -186,10 +186,10 @@ def vote_rank(graph: Graph, top_k: int | None = None, plan: str | None = None) -
 
     Each round the vertices not yet elected give their ability (1 at first) to their successors not yet elected; the one with
     the greatest sum, the least id among equals, is elected. Its ability is 0 from then on, and that of each vertex with an arc to it
-    falls by 1 / (average out-degree), not below 0. Elections follow one another, so a graph of checked size is elected
+    falls by 1 / (average out-degree), not below 0. Loops are left out. Elections follow one another, so a graph of checked size is elected
     in one task; a larger one by a join a round, for which top_k should be given.
     """
-    n, m = graph.vertices.count(), graph.arcs(loops=True).count()
+    n, m = graph.vertices.count(), graph.arcs().count()
     take = n if top_k is None else min(top_k, n)
     fall = n / m if m else 0.0
     kind, spark = id_type(graph), graph.vertices.sparkSession

@@ -91,7 +91,7 @@ def oracle_sql() -> dict[str, str]:
     reach = "r AS (SELECT id AS s, id AS v FROM v UNION SELECT r.s, a.dst FROM r JOIN a ON a.src = r.v)"
     label = "c AS MATERIALIZED (SELECT s AS id, min(v) AS cluster FROM r GROUP BY s)"
     bfs = BFS.format(cap=12)
-    vote = """
+    vote = lambda rounds: f"""
 nn AS (SELECT (SELECT count(*) FROM v) AS n, (SELECT count(*) FROM v)::DOUBLE / (SELECT count(*) FROM a) AS f),
 vr AS (
   SELECT 0 AS i, id, 1.0::DOUBLE AS ability, CAST(NULL AS BIGINT) AS rank FROM v
@@ -99,7 +99,7 @@ vr AS (
   SELECT i + 1, id, CASE WHEN id = best THEN 0.0 WHEN id IN (SELECT src FROM a WHERE dst = best) THEN greatest(0.0, ability - f) ELSE ability END, CASE WHEN id = best THEN n - i ELSE rank END
   FROM (SELECT *, first_value(id) OVER (ORDER BY rank IS NOT NULL, round(votes, 9) DESC, id) AS best FROM (
     SELECT vr.i, vr.id, any_value(vr.ability) AS ability, any_value(vr.rank) AS rank, coalesce(sum(u.ability), 0) AS votes
-    FROM vr LEFT JOIN a ON a.dst = vr.id LEFT JOIN vr u ON u.id = a.src AND u.rank IS NULL WHERE vr.i < 10 GROUP BY vr.i, vr.id)), nn)"""
+    FROM vr LEFT JOIN a ON a.dst = vr.id LEFT JOIN vr u ON u.id = a.src AND u.rank IS NULL WHERE vr.i < {rounds} GROUP BY vr.i, vr.id)), nn)"""
     vcg = """
 best AS (SELECT *, row_number() OVER (PARTITION BY auction ORDER BY bid DESC, bidder) AS place FROM b JOIN inside USING (auction, bidder)),
 price AS (SELECT auction, bid AS price FROM best WHERE place = 5)"""
@@ -119,7 +119,8 @@ price AS (SELECT auction, bid AS price FROM best WHERE place = 5)"""
         "hits_both": f"WITH RECURSIVE {SUPP}, {hits(10, 'a')} SELECT id, {r('0.5 * hub + 0.5 * authority', 'score')} FROM ht WHERE i = 10",
         "hits_hubbiness": f"WITH RECURSIVE {USER}, {hits(10, 'e')} SELECT id, {r('hub', 'hub')} FROM ht WHERE i = 10",
         "hits_authority": f"WITH RECURSIVE {USER}, {hits(10, 'e')} SELECT id, {r('authority', 'authority')} FROM ht WHERE i = 10",
-        "vote_rank": f"WITH RECURSIVE {SUPP}, {vote} SELECT id, rank FROM vr WHERE i = 10 AND rank IS NOT NULL",
+        "vote_rank": f"WITH RECURSIVE {SUPP}, {vote(10)} SELECT id, rank FROM vr WHERE i = 10 AND rank IS NOT NULL",
+        "vote_rank_all": f"WITH RECURSIVE {USER}, {vote('(SELECT count(*) FROM v)')} SELECT id, rank FROM vr WHERE i = (SELECT count(*) FROM v)",
         "closeness": f"WITH RECURSIVE {SUPP}, {bfs} SELECT s AS id, CAST(sum(d) AS BIGINT) AS closeness FROM q GROUP BY s",
         "closeness_directed": f"WITH RECURSIVE {DAG}, {BFS.format(cap=60)} SELECT s AS id, CAST(sum(d) AS BIGINT) AS closeness FROM q GROUP BY s",
         "all_pairs": f"WITH RECURSIVE {SUPP}, {bfs}, {SIGMA} SELECT s, v, d, {r('sigma', 'sigma')} FROM m",

@@ -76,6 +76,10 @@ def _priority(spark: SparkSession, d: str) -> DataFrame:
     return primitives.by_priority(bids, F.desc("bid"), "bidder", group=["auction"], take=3)
 
 
+def _scan(graph) -> DataFrame:
+    return mining.stream_diameter_in_order(graph, graph.edges.select("src", "dst", (F.col("src") * 1_000_000 + F.col("dst")).alias("pos")))
+
+
 def _weighted(spark: SparkSession, d: str):
     graph = t.nation_flow(spark, d)
     top = graph.edges.agg(F.max("weight").alias("top"))
@@ -140,12 +144,14 @@ def queries() -> dict[str, Query]:
         "clustering_coefficient_reference": of_graph(t.part_dag, lambda g: mining.clustering_coefficient(g, semantics="reference")),
         "average_clustering": of_graph(t.supp_hot, mining.average_clustering),
         "stream_diameter": of_graph(t.supp_hot, mining.stream_diameter),
+        "stream_diameter_in_order": of_graph(t.supp_hot, _scan),
         "connected_components": of_graph(t.part_hot, components.connected_components),
         "strong_components": of_graph(t.user_next, components.connected_components),
         "strong_components_dag": of_graph(t.part_dag, components.connected_components),
         "modularity": _modularity,
         "modularity_directed": _modularity_directed,
         "laplacian": of_graph(t.supp_hot, primitives.laplacian),
+        "laplacian_directed": of_graph(t.nation_flow, primitives.laplacian),
         "neighbors": of_graph(t.user_next, lambda g: primitives.neighbors(g, 3)),
         "predecessors": of_graph(t.user_next, lambda g: primitives.predecessors(g, 3)),
         "non_neighbors": of_graph(t.supp_hot, lambda g: primitives.non_neighbors(g, 3)),
@@ -175,6 +181,7 @@ def queries() -> dict[str, Query]:
         "two_means": of_graph(t.supp_hot, lambda g: community.two_means(g, [1, 2, 3])),
         "two_means_parts": of_graph(t.supp_hot, lambda g: community.two_means(g, [1, 2], parts=4)),
         "bandit_rewards": lambda spark, d: bandits.rewards(_weighted(spark, d), 8, seed=1),
+        "bandit_reachable": lambda spark, d: bandits.reachable(_weighted(spark, d), 3, 8, seed=1),
         "bandit_regret": _regret,
         "bandit_curves": lambda spark, d: rounded(bandits.reference_curves(spark, 25, 400)),
         "decay_functions": _functions,
