@@ -62,7 +62,7 @@ def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .order_minhash import near_groups
 
-    return near_groups(table(spark, sf_dir, "documents")).select("doc_id", "group_id", "group_size", "kept", "class_size")
+    return near_groups(table(spark, sf_dir, "documents")).select("doc_id", "group_id", "group_size", "kept")
 
 
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,9 +117,34 @@ FROM dw LEFT JOIN hits USING (r) LEFT JOIN its USING (r)
 """
 
 
+SQL_OP5 = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), k AS (SELECT *, CAST(ceil(strlen(text) / 4.0) AS BIGINT) + 6 AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM c),
+s AS (
+  SELECT *, k = 1 AND role = 'system' AS sys,
+    length('<|im_start|>') + length(replace(replace(replace(role, '\', '\\'), '<', '\l'), '[', '\b')) + 1 + length(replace(replace(replace(text, '\', '\\'), '<', '\l'), '[', '\b')) + length('<|im_end|>') + 1 AS size
+  FROM k
+), b AS (
+  SELECT *, max(CASE WHEN sys THEN n ELSE 0 END) OVER (PARTITION BY conv_id) AS sys_n, max(CASE WHEN sys THEN size ELSE 0 END) OVER (PARTITION BY conv_id) AS sys_size,
+    CAST(coalesce(sum(CASE WHEN sys THEN 0 ELSE n END) OVER (PARTITION BY conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM s
+), p AS (SELECT *, greatest(1, 768 - sys_n) AS stride FROM b),
+q AS (
+  SELECT *, CASE WHEN sys THEN 0 ELSE before // stride * 2 + CASE WHEN before + n > (before // stride + 1) * stride THEN 1 ELSE 0 END END AS span,
+    CAST(coalesce(sum(CASE WHEN sys THEN 0 ELSE size END) OVER (PARTITION BY conv_id ORDER BY before RANGE BETWEEN 256 PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS history FROM p
+), o AS (SELECT *, CASE WHEN sys THEN 0 WHEN lag(span) OVER w IS NULL OR lag(span) OVER w <> span OR lag(sys) OVER w THEN 1 ELSE 0 END AS opens FROM q WINDOW w AS (PARTITION BY conv_id ORDER BY k)),
+t AS (SELECT conv_id, sum(CASE WHEN sys THEN 0 ELSE size END + opens * history) + greatest(1, sum(opens)) * max(sys_size) AS chars FROM o GROUP BY conv_id)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  length(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(any_value(chars) AS BIGINT) AS formatted_chars
+FROM k JOIN t USING (conv_id) GROUP BY conv_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_token_files, op2_bpe, op3_decontaminate, op4_kneser_ney, op5_chat_windows, op6_order_minhash, op7_personal_data, op8_toxicity, op9_length_histogram, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": SQL_OP3, "op10_exact_dedup": SQL_OP10}
+    return {"op3_decontaminate": SQL_OP3, "op5_chat_windows": SQL_OP5, "op10_exact_dedup": SQL_OP10}

@@ -68,6 +68,6 @@ def test_registered_queries_agree_with_sql(spark):
         if name.startswith("op"):
             df = found[name](spark, SMALL)
             got = sorted(map(tuple, df.select(*sorted(df.columns)).collect()), key=str)
-            rel = con.execute(sql[name]).fetch_arrow_table()
+            rel = con.execute(sql[name]).to_arrow_table()
             want = sorted(zip(*(rel.column(c).to_pylist() for c in sorted(rel.column_names)), strict=True), key=str)
             assert got == want, name
