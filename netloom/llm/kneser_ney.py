@@ -30,8 +30,11 @@ from .common import coded_words, mix, mounted, put_file, run_sums, shared_path,
 
 #: Hashes of the start mark and the end token, which no word has but by chance.
 START, END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xC2B2AE3D27D4EB4F)
-#: Bytes of text that give a bucket; buckets grow in number with the corpus, not in size.
+#: Bytes of text that give a bucket; buckets grow in number with the corpus, and in size only past MOST_BUCKETS (2 TB).
 BUCKET_BYTES = 8_000_000
+MOST_BUCKETS = 1 << 18
+#: Files that a scoring task keeps mapped at once.
+OPEN_FILES = 4000
 #: A word that starts more than this share of all bigrams has its own bigrams spread over the buckets; there are at most 1 / HOT such words.
 HOT = 1 / 512
 FLUSH = 1_600_000
@@ -58,10 +61,10 @@ def bigrams_of(codes: np.ndarray, counts: np.ndarray, hashes: np.ndarray) -> np.
 
 
 def gram(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """The hash of a bigram: the top 16 bits are those of the word before, scrambled, so that buckets follow it."""
+    """The hash of a bigram: the top 20 bits are those of the word before, scrambled, so that buckets follow it."""
     with np.errstate(over="ignore"):
-        low = mix(before * U64(0x9E3779B97F4A7C15) + word) >> U64(16)
-    return (mix(before) & U64(0xFFFF000000000000)) | low
+        low = mix(before * U64(0x9E3779B97F4A7C15) + word) >> U64(20)
+    return (mix(before) & U64(0xFFFFF00000000000)) | low
 
 
 def spread_gram(before: np.ndarray, word: np.ndarray, hot: np.ndarray) -> np.ndarray:
@@ -264,7 +267,7 @@ def train(docs: DataFrame, text_col: str = "text", bucket_bytes: int = BUCKET_BY
     spark = docs.sparkSession
     folder = mounted(shared_path(spark, "kneser-ney"))
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
-    model = Model(folder, min(1 << 15, power_of_two(size / bucket_bytes / 4)), min(1 << 15, power_of_two(size / bucket_bytes)))
+    model = Model(folder, min(MOST_BUCKETS, power_of_two(size / bucket_bytes / 4)), min(MOST_BUCKETS, power_of_two(size / bucket_bytes)))
     os.makedirs(folder, exist_ok=True)
 
     def words(bucket: int, parts: list[bytes]) -> pa.RecordBatch:
@@ -334,6 +337,8 @@ class Sorted:
 
     def files(self, bucket: int):
         if bucket not in self.open:
+            if len(self.open) >= OPEN_FILES:
+                self.open.clear()
             path = f"{self.folder}/{self.kind}-{bucket}"
             self.open[bucket] = np.memmap(path, np.uint8, "r") if os.path.exists(path) else np.zeros(8, np.uint8)
         data = self.open[bucket]
