@@ -347,3 +347,26 @@ def test_streaming_degrees(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("degrees").collect())) == sorted(map(tuple, windowed_degrees(rows).collect()))
+
+
+def test_best_level_equals_every_level():
+    import numpy as np
+    import pyarrow as pa
+
+    from netloom.operators.matrix import compact_arrays
+
+    rng = random.Random(1)
+    for _ in range(30):
+        n = rng.randint(3, 14)
+        pairs = [(a, b) for a in range(n) for b in range(a) if rng.random() < 0.35] or [(1, 0)]
+        src, dst = (np.array([p[k] for p in pairs] + [p[1 - k] for p in pairs]) for k in (0, 1))
+        c = compact_arrays(pa.array(range(n)), src, dst, False)
+        order = [int(k) for k in np.unique(community.pair_keys(c))]
+        rng.shuffle(order)
+        order = order[: rng.randint(1, len(order))]
+        level, best = community.best_level(c, order)
+        left, each = c, [community.quality(c, components.labels_of(c))]
+        for k in order:
+            left = community.without(left, k)
+            each.append(community.quality(c, components.labels_of(left)))
+        assert best == pytest.approx(max(each)) and each[level] == pytest.approx(best) and all(q < best - 1e-12 for q in each[:level])
