@@ -20,8 +20,28 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def materialized(df: DataFrame, files: int | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back. files: at most so many, for small state of a loop."""
-    path = f"{shared_dir(df.sparkSession)}/state-{uuid.uuid4().hex}"
-    (df.coalesce(files) if files else df).write.parquet(path)
+#: Paths that this process has written, for drop_shared().
+WRITTEN: list[str] = []
+
+
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A new path below the shared folder."""
+    WRITTEN.append(f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}")
+    return WRITTEN[-1]
+
+
+def materialized(df: DataFrame, kind: str = "state") -> DataFrame:
+    """df as a Parquet table in the shared folder, read back: later jobs neither recompute it nor need its executors."""
+    path = shared_path(df.sparkSession, kind)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_shared(spark: SparkSession) -> int:
+    """Delete what this process has written to the shared folder, once no result that reads it is needed any more; how many paths."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
