@@ -10,34 +10,16 @@ from urllib.parse import urlparse
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in local tests.
-LOCAL_SHARED = "/tmp/checkpoints/netloom"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(LOCAL_SHARED)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def shared_path(spark: SparkSession, kind: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+from netloom.plans.loop import materialized
+from netloom.plans.loop import shared_path as shared_path  # the operators take it from here
 
 
 def written(df: DataFrame, kind: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back: later jobs neither recompute it nor need its executors."""
-    spark = df.sparkSession
-    path = shared_path(spark, kind)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """df as a Parquet table in the shared folder, read back."""
+    return materialized(df, kind)
 
 
 def mounted(path: str) -> str:
@@ -86,7 +68,7 @@ def text_column(column: pa.Array) -> pa.Array:
     return pc.fill_null(column.cast(pa.string()), "")
 
 
-def text_slices(column: pa.Array, most: int = 8_000_000) -> Iterator[tuple[int, int]]:
+def text_slices(column: pa.Array, most: int = 5_000_000) -> Iterator[tuple[int, int]]:
     """(start, end) of runs of texts of about `most` bytes in all, so that a batch of long texts needs bounded memory."""
     if len(column):
         at = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))

@@ -363,10 +363,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sizes = rows.groupBy("_key").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("least"), F.count(F.lit(1)).alias("class_size"))
     sizes = sizes.join(parts, sizes["_key"] == parts["k"], "left").withColumn("root", F.coalesce("root", "_key"))
     sizes = written(sizes.filter("class_size > 1 OR k IS NOT NULL").select("_key", "root", "least", "class_size"), "classes")
-    groups = sizes.groupBy("root").agg(F.min("least").alias("first"), F.sum("class_size").alias("group_size"))
-    sizes = written(sizes.select("_key", "root", "class_size").join(groups, "root"), "groups")
+    groups = written(sizes.groupBy("root").agg(F.min("least").alias("first"), F.sum("class_size").alias("group_size")), "groups")
     total = rows.count()
-    hot = F.broadcast(sizes.filter(F.col("class_size") > total * HOT_SHARE))  # at most 1 / HOT_SHARE rows
+    large = F.broadcast(groups.filter(F.col("group_size") > total * HOT_SHARE))  # at most 1 / HOT_SHARE rows, as below
+    own = sizes.select("_key", "root", "class_size")
+    others = own.join(large.select("root"), "root", "left_anti").join(groups.filter(F.col("group_size") <= total * HOT_SHARE), "root")
+    sizes = written(own.join(large, "root").unionByName(others), "classes")
+    hot = F.broadcast(sizes.filter(F.col("class_size") > total * HOT_SHARE))
     base = rows.select("_id", "_row", "_sha", "_key")
     joined = base.join(hot, "_key").unionByName(base.join(hot.select("_key"), "_key", "left_anti").join(sizes.filter(F.col("class_size") <= total * HOT_SHARE), "_key", "left"))
     alone = F.col("first").isNull()

@@ -139,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, most_
     def with_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = text_column(batch.column(2))
-            for a, b in text_slices(texts):
+            for a, b in text_slices(texts, 2_000_000):
                 terms, counts = term_buckets(texts.slice(a, b - a))
                 yield pa.record_batch([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), as_lists(terms, counts)], ["h", "y", "terms"])
 
