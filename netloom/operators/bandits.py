@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from netloom.functions import epsilon_schedule
 from netloom.graph import Graph
 
+from .paths import drawn
+
 
 def alive_arcs(graph: Graph, simulations: int, seed: int = 0) -> DataFrame:
     """(sim, src, dst): arcs that are alive in each simulation; an undirected edge is so both ways. A missing weight counts as 0.
@@ -25,8 +27,8 @@ def alive_arcs(graph: Graph, simulations: int, seed: int = 0) -> DataFrame:
     """
     edges = graph.edges.select("src", "dst", F.coalesce("weight", F.lit(0.0)).alias("weight"))
     sims = graph.edges.sparkSession.range(simulations).withColumnRenamed("id", "sim")
-    drawn = F.pmod(F.xxhash64(F.lit(seed), "sim", "src", "dst"), F.lit(1 << 53)) / float(1 << 53)
-    alive = edges.join(F.broadcast(sims)).filter(drawn < F.col("weight")).select("sim", "src", "dst")
+    share = F.conv(F.substring(drawn(seed, "sim", "src", "dst"), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    alive = edges.join(F.broadcast(sims)).filter(share < F.col("weight")).select("sim", "src", "dst")
     if graph.directed:
         return alive
     return alive.unionByName(alive.filter("src != dst").select("sim", F.col("dst").alias("src"), F.col("src").alias("dst")))

@@ -80,6 +80,10 @@ def r(x: str, name: str) -> str:
     return f"round({x}, 6) + 0.0 AS {name}"
 
 
+#: Arcs of the weighted graph that are alive in each of eight simulations.
+ALIVE = f"f AS ({FLOW}), g AS (SELECT src, dst, weight / (SELECT max(weight) FROM f) AS weight FROM f), alive AS (SELECT sim, src, dst FROM g, range(0, 8) s(sim) WHERE CAST('0x' || substr(md5('1:' || sim || ':' || src || ':' || dst), 1, 8) AS BIGINT) / 4294967296.0 < weight)"
+
+
 def oracle_sql() -> dict[str, str]:
     near = "coalesce((SELECT sum({x}) FROM {arcs} JOIN d w ON w.id = {end} WHERE {own} = d.id), 0)"
     loops = "(SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e WHERE src <> dst) z"
@@ -115,6 +119,13 @@ price AS (SELECT auction, bid AS price FROM best WHERE place = 5)"""
         "pagerank": f"WITH RECURSIVE {USER}, {pagerank(10)} SELECT id, {r('rank', 'rank')} FROM pr WHERE i = 10",
         "pagerank_reference": f"WITH RECURSIVE {USER}, {pagerank(10, '1.0')} SELECT id, {r('rank', 'rank')} FROM pr WHERE i = 10",
         "pagerank_dangling": f"WITH RECURSIVE {DAG}, {pagerank(5, dangling=True)} SELECT id, {r('rank', 'rank')} FROM pr WHERE i = 5",
+        "pagerank_converged": f"""WITH RECURSIVE {USER}, o AS (SELECT src, count(*) AS o FROM e GROUP BY src), nn AS (SELECT count(*)::DOUBLE AS n FROM v),
+  pr AS (SELECT 0 AS i, id, 1.0 / n AS rank, 1.0::DOUBLE AS change FROM v, nn
+    UNION ALL SELECT i, id, rank, sum(abs(rank - old)) OVER () FROM (
+      SELECT i + 1 AS i, id, 0.15 / n + 0.85 * sum(x) AS rank, sum(old) AS old FROM (
+        SELECT x.i AS i, e.dst AS id, x.rank / o.o AS x, 0.0 AS old FROM pr x JOIN e ON e.src = x.id JOIN o ON o.src = x.id WHERE x.i < 30 AND x.change > 1e-6
+        UNION ALL SELECT i, id, 0, rank FROM pr WHERE i < 30 AND change > 1e-6), nn GROUP BY i, id, n))
+  SELECT id, {r('rank', 'rank')} FROM pr WHERE i = (SELECT max(i) FROM pr)""",
         "hits": f"WITH RECURSIVE {USER}, {hits(10, 'e')} SELECT id, {r('0.5 * hub + 0.5 * authority', 'score')}, {r('hub', 'hub')}, {r('authority', 'authority')} FROM ht WHERE i = 10",
         "hits_both": f"WITH RECURSIVE {SUPP}, {hits(10, 'a')} SELECT id, {r('0.5 * hub + 0.5 * authority', 'score')} FROM ht WHERE i = 10",
         "hits_hubbiness": f"WITH RECURSIVE {USER}, {hits(10, 'e')} SELECT id, {r('hub', 'hub')} FROM ht WHERE i = 10",
@@ -132,11 +143,28 @@ price AS (SELECT auction, bid AS price FROM best WHERE place = 5)"""
   SELECT e.src, e.dst, {r('coalesce(b, 0)', 'betweenness')} FROM e LEFT JOIN x USING (src, dst)""",
         "node_betweenness": f"""WITH RECURSIVE {SUPP}, {bfs}, {SIGMA},
   x AS (SELECT p.v AS id, sum(p.sigma * t.sigma / st.sigma) AS b FROM m p JOIN m t ON t.s = p.v JOIN m st ON st.s = p.s AND st.v = t.v AND st.d = p.d + t.d WHERE p.s <> p.v GROUP BY 1)
+  SELECT v.id, {r('coalesce(b, 0)', 'betweenness')} FROM v LEFT JOIN x USING (id)""",
+        "edge_betweenness_sampled": f"""WITH RECURSIVE {USER}, {bfs}, {SIGMA}, picked AS (SELECT id FROM v ORDER BY md5('1:' || id), id LIMIT 20),
+  x AS (SELECT least(a.src, a.dst) AS src, greatest(a.src, a.dst) AS dst, sum(p.sigma * t.sigma / st.sigma) AS b
+    FROM a JOIN m p ON p.v = a.src AND p.s IN (SELECT id FROM picked) JOIN m t ON t.s = a.dst JOIN m st ON st.s = p.s AND st.v = t.v AND st.d = p.d + 1 + t.d GROUP BY 1, 2),
+  u AS (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM a)
+  SELECT src, dst, {r('coalesce(b, 0)', 'betweenness')} FROM u LEFT JOIN x USING (src, dst)""",
+        "node_betweenness_stratified": f"""WITH RECURSIVE {USER}, {bfs}, {SIGMA},
+  picked AS (SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY CAST('0x' || substr(md5('2:' || id), 1, 4) AS BIGINT) % 4 ORDER BY md5('1:' || id), id) AS k FROM v) WHERE k <= 5),
+  x AS (SELECT p.v AS id, sum(p.sigma * t.sigma / st.sigma) AS b FROM m p JOIN m t ON t.s = p.v JOIN m st ON st.s = p.s AND st.v = t.v AND st.d = p.d + t.d WHERE p.s <> p.v AND p.s IN (SELECT id FROM picked) GROUP BY 1)
   SELECT v.id, {r('coalesce(b, 0)', 'betweenness')} FROM v LEFT JOIN x USING (id)""",
         "shapley_closeness": f"""WITH RECURSIVE {SUPP}, {bfs},
   l AS (SELECT s, d, exp(-0.1 * d) AS f, sum(count(*)) OVER (PARTITION BY s ORDER BY d) AS b, sum(count(*)) OVER (PARTITION BY s ORDER BY d) - count(*) AS a0 FROM q GROUP BY s, d),
   y AS (SELECT *, CASE WHEN d > 0 THEN f * (1.0 / a0 - 1.0 / b) ELSE 0 END AS tt FROM l),
   z AS (SELECT s, d, CASE WHEN d > 0 THEN f / b ELSE f END - coalesce(sum(tt) OVER (PARTITION BY s ORDER BY d ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS val FROM y)
+  SELECT q.v AS id, {r('sum(val)', 'shapley')} FROM q JOIN z ON z.s = q.s AND z.d = q.d GROUP BY q.v""",
+        "shapley_closeness_weighted": f"""WITH RECURSIVE {DIRECTED.format(edges=FLOW)}, w AS MATERIALIZED (SELECT src, dst, weight / (SELECT max(weight) FROM e) AS w FROM e WHERE src <> dst),
+  bf AS (SELECT 0 AS k, x.id AS s, y.id AS v, CASE WHEN x.id = y.id THEN 0.0 ELSE 'Infinity'::DOUBLE END AS d FROM v x, v y
+    UNION ALL SELECT k + 1, s, v, min(d) FROM (SELECT bf.k, bf.s, w.dst AS v, bf.d + w.w AS d FROM bf JOIN w ON w.src = bf.v WHERE bf.k < 24 UNION ALL SELECT k, s, v, d FROM bf WHERE k < 24) GROUP BY k, s, v),
+  q AS MATERIALIZED (SELECT s, v, d FROM bf WHERE k = 24 AND d < 'Infinity'::DOUBLE),
+  l AS (SELECT s, d, exp(-0.1 * d) AS f, sum(count(*)) OVER (PARTITION BY s ORDER BY d) AS b, sum(count(*)) OVER (PARTITION BY s ORDER BY d) - count(*) AS a0 FROM q GROUP BY s, d),
+  y AS (SELECT *, CASE WHEN a0 > 0 THEN f * (1.0 / a0 - 1.0 / b) ELSE 0 END AS tt FROM l),
+  z AS (SELECT s, d, CASE WHEN a0 > 0 THEN f / b ELSE f END - coalesce(sum(tt) OVER (PARTITION BY s ORDER BY d ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS val FROM y)
   SELECT q.v AS id, {r('sum(val)', 'shapley')} FROM q JOIN z ON z.s = q.s AND z.d = q.d GROUP BY q.v""",
         "triangles": f"WITH {SUPP}, {TRIANGLES} SELECT count(*) AS triangles FROM t",
         "triangles_directed": f"WITH {DAG}, {TRIANGLES}, {RULE} SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS triangles FROM n",
@@ -167,6 +195,12 @@ price AS (SELECT auction, bid AS price FROM best WHERE place = 5)"""
   k AS (SELECT cluster, sum(o) AS o, sum(i) AS i, sum(l) AS l FROM (SELECT x.cluster, 1 AS o, 0 AS i, CAST(x.cluster = y.cluster AS INT) AS l FROM e JOIN c x ON x.id = e.src JOIN c y ON y.id = e.dst UNION ALL SELECT y.cluster, 0, 1, 0 FROM e JOIN c y ON y.id = e.dst) GROUP BY 1)
   SELECT {r('sum(l / m - o * i / (m * m))', 'modularity')} FROM k, m""",
         "laplacian": f"WITH {SUPP} SELECT src AS i, dst AS j, -1.0::DOUBLE AS value FROM a UNION ALL SELECT src, src, count(*)::DOUBLE FROM a GROUP BY src",
+        "laplacian_directed": f"""WITH RECURSIVE {DIRECTED.format(edges=FLOW)}, nn AS (SELECT count(*)::DOUBLE AS n FROM v), o AS (SELECT src, count(*) AS o FROM a GROUP BY src),
+  p AS MATERIALIZED (SELECT x.id AS i, y.id AS j, 0.05 / n + 0.95 * CASE WHEN o IS NULL THEN 1.0 / n WHEN a.src IS NULL THEN 0.0 ELSE 1.0 / o END AS p
+    FROM v x CROSS JOIN v y CROSS JOIN nn LEFT JOIN o ON o.src = x.id LEFT JOIN a ON a.src = x.id AND a.dst = y.id),
+  ph AS (SELECT 0 AS k, id, 1.0 / n AS f FROM v, nn UNION ALL SELECT ph.k + 1, p.j, sum(ph.f * p.p) FROM ph JOIN p ON p.i = ph.id WHERE ph.k < 200 GROUP BY ph.k, p.j),
+  f AS (SELECT id, f FROM ph WHERE k = 200)
+  SELECT x.i, x.j, {r('CASE WHEN x.i = x.j THEN 1.0 ELSE 0.0 END - (sqrt(s.f / t.f) * x.p + sqrt(t.f / s.f) * y.p) / 2', 'value')} FROM p x JOIN p y ON y.i = x.j AND y.j = x.i JOIN f s ON s.id = x.i JOIN f t ON t.id = x.j""",
         "neighbors": f"WITH {USER} SELECT DISTINCT dst AS id FROM e WHERE src = 3",
         "predecessors": f"WITH {USER} SELECT DISTINCT src AS id FROM e WHERE dst = 3",
         "non_neighbors": f"WITH {SUPP} SELECT id FROM v WHERE id <> 3 AND id NOT IN (SELECT dst FROM a WHERE src = 3)",
@@ -180,6 +214,8 @@ price AS (SELECT auction, bid AS price FROM best WHERE place = 5)"""
         "priority_queue": f"WITH {AUCTION} SELECT * FROM (SELECT auction, bidder, bid, row_number() OVER (PARTITION BY auction ORDER BY bid DESC, bidder) AS place FROM b) WHERE place <= 3",
         "vcg": f"WITH {AUCTION}, {HOPS}, {vcg} SELECT b.auction, b.bidder, place IS NOT NULL AND place <= 4 AND price IS NOT NULL AS allocated, {r('CASE WHEN place <= 4 THEN coalesce(price, 0) ELSE 0 END', 'payment')} FROM b LEFT JOIN best USING (auction, bidder) LEFT JOIN price ON price.auction = b.auction",
         "vcg_canonical": f"WITH {AUCTION}, {HOPS}, {vcg} SELECT b.auction, b.bidder, place IS NOT NULL AND place <= 4 AS allocated, {r('CASE WHEN place <= 4 THEN coalesce(price, 0) ELSE 0 END', 'payment')} FROM b LEFT JOIN best USING (auction, bidder) LEFT JOIN price ON price.auction = b.auction",
+        "bandit_rewards": f"WITH {ALIVE}, v AS (SELECT src AS id FROM g UNION SELECT dst FROM g) SELECT sim, id AS arm, (SELECT count(*) FROM alive WHERE alive.sim = s.sim AND src = id) AS reward FROM v, range(0, 8) s(sim)",
+        "bandit_reachable": f"WITH {ALIVE} SELECT sim, dst AS id FROM alive WHERE src = 3",
         "bandit_curves": f"SELECT t, {r('pow(t, 2.0 / 3) * pow(50.0 * ln(t), 1.0 / 3)', 'eps_greedy')}, {r('sqrt(25.0 * t * ln(400))', 'ucb')} FROM range(1, 401) x(t)",
         "decay_functions": f"SELECT t AS id, {r('CASE WHEN t = 0 THEN 1.0 ELSE 1.0 / t END', 'inverse')}, {r('exp(-0.1 * t)', 'exponential')}, {r('CASE WHEN t = 0 THEN 1.0 ELSE pow(t, -0.1) END', 'power')}, CAST(t % 2 + t % 3 % 2 * 2 + 4 AS BIGINT) AS cluster FROM range(0, 50) x(t)",
         "streaming_degrees": """WITH x AS (SELECT date_trunc('day', ts) AS start, user_id AS src, user_id % 7 AS dst FROM events)
