@@ -80,8 +80,8 @@ def r(x: str, name: str) -> str:
     return f"round({x}, 6) + 0.0 AS {name}"
 
 
-#: Arcs of the weighted graph that are alive in each of eight simulations.
-ALIVE = f"f AS ({FLOW}), g AS (SELECT src, dst, weight / (SELECT max(weight) FROM f) AS weight FROM f), alive AS (SELECT sim, src, dst FROM g, range(0, 8) s(sim) WHERE CAST('0x' || substr(md5('1:' || sim || ':' || src || ':' || dst), 1, 8) AS BIGINT) / 4294967296.0 < weight)"
+#: Arcs of the weighted graph that are alive in each of fifty simulations.
+ALIVE = f"f AS ({FLOW}), g AS (SELECT src, dst, weight / (SELECT max(weight) FROM f) AS weight FROM f), alive AS (SELECT sim, src, dst FROM g, range(0, 50) s(sim) WHERE CAST('0x' || substr(md5('1:' || sim || ':' || src || ':' || dst), 1, 8) AS BIGINT) / 4294967296.0 < weight)"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -110,7 +110,7 @@ price AS (SELECT auction, bid AS price FROM best WHERE place = 5)"""
     found = {
         "degree": f"WITH {SUPP}, {UD} SELECT id, n AS degree FROM d",
         "degree_directed": f"WITH {USER}, {DD} SELECT id, i AS in_degree, o AS out_degree FROM d",
-        "degree_sample": f"WITH {SUPP}, {UD} SELECT id, n AS degree FROM d WHERE id % 3 = 0",
+        "degree_sample": f"WITH {SUPP}, {UD} SELECT id, n AS degree FROM d ORDER BY md5('1:' || id), id LIMIT 30",
         "shapley_degree": f"WITH {SUPP}, {UD} SELECT id, {r('1.0 / (1 + n) + ' + und('1.0 / (1 + w.n)'), 'shapley')} FROM d",
         "shapley_degree_directed": f"WITH {USER}, {DD} SELECT id, {r('1.0 / (1 + i) + ' + succ('1.0 / (1 + w.i)'), 'in_shapley')}, {r('1.0 / (1 + o) + ' + succ('1.0 / (1 + w.o)'), 'out_shapley')} FROM d",
         "shapley_threshold": f"WITH {SUPP}, {UD} SELECT id, {r('least(1.0, 2.0 / (1 + n)) + ' + und('(' + share('w.n') + ') / (1 + w.n)'), 'shapley')} FROM d",
@@ -205,18 +205,18 @@ price AS (SELECT auction, bid AS price FROM best WHERE place = 5)"""
         "predecessors": f"WITH {USER} SELECT DISTINCT src AS id FROM e WHERE dst = 3",
         "non_neighbors": f"WITH {SUPP} SELECT id FROM v WHERE id <> 3 AND id NOT IN (SELECT dst FROM a WHERE src = 3)",
         "out_degrees": f"WITH {USER}, {DD} SELECT id, o AS degree FROM d",
-        "subgraph": f"WITH {SUPP} SELECT src, dst FROM e WHERE src % 2 = 0 AND dst % 2 = 0",
+        "subgraph": f"WITH {SUPP}, picked AS (SELECT id FROM v ORDER BY md5('1:' || id), id LIMIT 50) SELECT src, dst FROM e WHERE src IN (FROM picked) AND dst IN (FROM picked)",
         "has_edge": f"WITH {USER} SELECT x.dst AS src, x.src AS dst FROM e x JOIN e y ON y.src = x.dst AND y.dst = x.src",
-        "remove_edges": f"WITH {SUPP} SELECT src, dst FROM e WHERE (src + dst) % 5 <> 0",
+        "remove_edges": f"WITH {SUPP}, picked AS (SELECT id FROM v ORDER BY md5('1:' || id), id LIMIT 20) SELECT src, dst FROM e WHERE src NOT IN (FROM picked)",
         "add_edges": f"WITH {SUPP} SELECT src, dst FROM e UNION SELECT id, id + 1 FROM v",
         "reached": f"WITH {AUCTION}, {HOPS} SELECT auction, bidder FROM inside",
         "reached_closure": f"WITH RECURSIVE {AUCTION}, inside AS (SELECT auction, bidder FROM sel UNION SELECT rep.auction, rep.reported FROM rep JOIN inside ON inside.auction = rep.auction AND inside.bidder = rep.bidder) SELECT auction, bidder FROM inside",
         "priority_queue": f"WITH {AUCTION} SELECT * FROM (SELECT auction, bidder, bid, row_number() OVER (PARTITION BY auction ORDER BY bid DESC, bidder) AS place FROM b) WHERE place <= 3",
         "vcg": f"WITH {AUCTION}, {HOPS}, {vcg} SELECT b.auction, b.bidder, place IS NOT NULL AND place <= 4 AND price IS NOT NULL AS allocated, {r('CASE WHEN place <= 4 THEN coalesce(price, 0) ELSE 0 END', 'payment')} FROM b LEFT JOIN best USING (auction, bidder) LEFT JOIN price ON price.auction = b.auction",
         "vcg_canonical": f"WITH {AUCTION}, {HOPS}, {vcg} SELECT b.auction, b.bidder, place IS NOT NULL AND place <= 4 AS allocated, {r('CASE WHEN place <= 4 THEN coalesce(price, 0) ELSE 0 END', 'payment')} FROM b LEFT JOIN best USING (auction, bidder) LEFT JOIN price ON price.auction = b.auction",
-        "bandit_rewards": f"WITH {ALIVE}, v AS (SELECT src AS id FROM g UNION SELECT dst FROM g) SELECT sim, id AS arm, (SELECT count(*) FROM alive WHERE alive.sim = s.sim AND src = id) AS reward FROM v, range(0, 8) s(sim)",
+        "bandit_rewards": f"WITH {ALIVE}, v AS (SELECT src AS id FROM g UNION SELECT dst FROM g) SELECT sim, id AS arm, (SELECT count(*) FROM alive WHERE alive.sim = s.sim AND src = id) AS reward FROM v, range(0, 50) s(sim)",
         "bandit_reachable": f"WITH {ALIVE} SELECT sim, dst AS id FROM alive WHERE src = 3",
-        "bandit_curves": f"SELECT t, {r('pow(t, 2.0 / 3) * pow(50.0 * ln(t), 1.0 / 3)', 'eps_greedy')}, {r('sqrt(25.0 * t * ln(400))', 'ucb')} FROM range(1, 401) x(t)",
+        "bandit_curves": f"SELECT t, {r('pow(t, 2.0 / 3) * pow(50.0 * ln(t), 1.0 / 3)', 'eps_greedy')}, {r('sqrt(25.0 * t * ln(5000))', 'ucb')} FROM range(1, 5001) x(t)",
         "decay_functions": f"SELECT t AS id, {r('CASE WHEN t = 0 THEN 1.0 ELSE 1.0 / t END', 'inverse')}, {r('exp(-0.1 * t)', 'exponential')}, {r('CASE WHEN t = 0 THEN 1.0 ELSE pow(t, -0.1) END', 'power')}, CAST(t % 2 + t % 3 % 2 * 2 + 4 AS BIGINT) AS cluster FROM range(0, 50) x(t)",
         "streaming_degrees": """WITH x AS (SELECT date_trunc('day', ts) AS start, user_id AS src, user_id % 7 AS dst FROM events)
   SELECT start, id, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree FROM (SELECT start, src AS id, 0 AS i, 1 AS o FROM x UNION ALL SELECT start, dst, 1, 0 FROM x) GROUP BY 1, 2""",

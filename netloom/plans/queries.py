@@ -38,12 +38,13 @@ def _modularity_directed(spark: SparkSession, d: str) -> DataFrame:
     return rounded(primitives.modularity(graph, graph.vertices.select("id", (F.col("id") % 3).alias("cluster"))))
 
 
-def _some(graph, every: int) -> DataFrame:
-    return graph.vertices.filter(F.col("id") % every == 0)
+def _some(graph, size: int) -> DataFrame:
+    """The argument of operators on a sample of vertices."""
+    return paths.sample_vertices(graph, size, seed=1)
 
 
 def _subgraph(graph) -> DataFrame:
-    return primitives.subgraph(graph, _some(graph, 2)).edges.select("src", "dst")
+    return primitives.subgraph(graph, _some(graph, 50)).edges.select("src", "dst")
 
 
 def _existing(graph) -> DataFrame:
@@ -52,7 +53,8 @@ def _existing(graph) -> DataFrame:
 
 
 def _without(graph) -> DataFrame:
-    return primitives.without_edges(graph, graph.edges.filter("(src + dst) % 5 = 0")).edges.select("src", "dst")
+    some = _some(graph, 20).withColumnRenamed("id", "src")
+    return primitives.without_edges(graph, graph.edges.join(some, "src", "left_semi")).edges.select("src", "dst")
 
 
 def _added(graph) -> DataFrame:
@@ -88,7 +90,7 @@ def _weighted(spark: SparkSession, d: str):
 
 
 def _regret(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(bandits.mean_regret(bandits.play(_weighted(spark, d), simulations=8, horizon=400, seed=1)))
+    return rounded(bandits.mean_regret(bandits.play(_weighted(spark, d), simulations=50, horizon=5000, seed=1)))
 
 
 def _functions(spark: SparkSession, d: str) -> DataFrame:
@@ -103,11 +105,10 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     gn = community.girvan_newman
-    small = {"max_removals": 12}
     found: dict[str, Query] = {
         "degree": of_graph(t.supp_hot, centrality.degree),
         "degree_directed": of_graph(t.user_next, centrality.degree),
-        "degree_sample": of_graph(t.supp_hot, lambda g: centrality.degree(g, _some(g, 3))),
+        "degree_sample": of_graph(t.supp_hot, lambda g: centrality.degree(g, _some(g, 30))),
         "shapley_degree": of_graph(t.supp_hot, centrality.shapley_degree),
         "shapley_degree_directed": of_graph(t.user_next, centrality.shapley_degree),
         "shapley_threshold": of_graph(t.supp_hot, centrality.shapley_threshold),
@@ -167,12 +168,12 @@ def queries() -> dict[str, Query]:
         "vcg_canonical": _auction(lambda b, r, s, k: auctions.vcg(b, r, s, k, "canonical")),
         "mudan": _auction(auctions.mudan),
         "snca": _auction(lambda b, r, s, k: auctions.snca(b, r, s, k, start_price=5)),
-        "girvan_newman": of_graph(t.supp_hot, lambda g: gn(g, **small)),
+        "girvan_newman": of_graph(t.supp_hot, gn),
         "girvan_newman_reference": of_graph(t.supp_hot, lambda g: gn(g, semantics="reference")),
         "girvan_newman_heuristic": of_graph(t.supp_hot, lambda g: gn(g, heuristic=True)),
-        "girvan_newman_sampled": of_graph(t.supp_hot, lambda g: gn(g, sample_size=20, seed=1, **small)),
+        "girvan_newman_sampled": of_graph(t.supp_hot, lambda g: gn(g, sample_size=20, seed=1)),
         "girvan_newman_sampled_heuristic": of_graph(t.supp_hot, lambda g: gn(g, heuristic=True, sample_size=20, seed=1)),
-        "girvan_newman_stratified": of_graph(t.supp_hot, lambda g: gn(g, sample_size=5, strata=4, seed=1, **small)),
+        "girvan_newman_stratified": of_graph(t.supp_hot, lambda g: gn(g, sample_size=5, strata=4, seed=1)),
         "spectral": of_graph(t.supp_hot, community.spectral),
         "spectral_multi_cluster": of_graph(t.supp_hot, community.spectral_multi_cluster),
         "spectral_multi_cluster_v2": of_graph(t.supp_hot, community.spectral_multi_cluster_v2),
@@ -180,10 +181,10 @@ def queries() -> dict[str, Query]:
         "hierarchical_reference": of_graph(t.supp_hot, lambda g: community.hierarchical(g, semantics="reference")),
         "two_means": of_graph(t.supp_hot, lambda g: community.two_means(g, [1, 2, 3])),
         "two_means_parts": of_graph(t.supp_hot, lambda g: community.two_means(g, [1, 2], parts=4)),
-        "bandit_rewards": lambda spark, d: bandits.rewards(_weighted(spark, d), 8, seed=1),
-        "bandit_reachable": lambda spark, d: bandits.reachable(_weighted(spark, d), 3, 8, seed=1),
+        "bandit_rewards": lambda spark, d: bandits.rewards(_weighted(spark, d), 50, seed=1),
+        "bandit_reachable": lambda spark, d: bandits.reachable(_weighted(spark, d), 3, 50, seed=1),
         "bandit_regret": _regret,
-        "bandit_curves": lambda spark, d: rounded(bandits.reference_curves(spark, 25, 400)),
+        "bandit_curves": lambda spark, d: rounded(bandits.reference_curves(spark, 25, 5000)),
         "decay_functions": _functions,
         "streaming_degrees": _stream,
         "graph_user_next": lambda spark, d: t.user_next(spark, d).edges.select("src", "dst"),

@@ -140,6 +140,10 @@ def test_sampled_betweenness(karate):
     a, b = (paths.sampled_betweenness(karate, 5, seed=s)[0].agg(F.sum("betweenness")).first()[0] for s in (1, 1))
     assert a == b < full.agg(F.sum("betweenness")).first()[0]
     assert paths.sample_vertices(karate, 3, strata=4).count() == 12
+    c = compact(karate)
+    for strata in (1, 4):
+        own = {c.ids[int(k)].as_py() for k in community.sampled_numbers(c, 3, 5, strata)}
+        assert own == {r.id for r in paths.sample_vertices(karate, 3, 5, strata).collect()}
     assert paths.sample_vertices(karate, 7).count() == 7
 
 
