@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from netloom.plans.ship import ship
+
 from .primitives import reached
 
 #: The highest price that snca tries (fixed value).
@@ -39,6 +41,7 @@ def _each(bids: DataFrame, reports: DataFrame, seller: DataFrame, run: Callable[
     """run(bids, reports, seller) -> payments of the winners, for each auction by itself."""
     id_kind, kind = (bids.schema[c].dataType.simpleString() for c in ("auction", "bidder"))
     none = F.lit(None)
+    ship(bids.sparkSession)
     rows = bids.select("auction", F.lit(0).alias("what"), "bidder", none.cast(kind).alias("other"), F.col("bid").cast("double").alias("bid"))
     rows = rows.unionByName(reports.select("auction", F.lit(1).alias("what"), "bidder", F.col("reported").cast(kind).alias("other"), none.cast("double").alias("bid")))
     rows = rows.unionByName(seller.select("auction", F.lit(2).alias("what"), "bidder", none.cast(kind).alias("other"), none.cast("double").alias("bid")))

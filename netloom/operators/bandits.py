@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from netloom.functions import epsilon_schedule
 from netloom.graph import Graph
+from netloom.plans.ship import ship
 
 from .paths import drawn
 
@@ -76,6 +77,7 @@ def play_ucb(reward: np.ndarray, horizon: int, known_horizon: bool) -> np.ndarra
 
 def play(graph: Graph, simulations: int = 50, horizon: int = 5000, seed: int = 0, eps: Callable[[int], float] | None = None, known_horizon: bool = True) -> DataFrame:
     """(sim, learner, t, arm, reward, best) for learners "eps_greedy" and "ucb", t from 0; best: reward of the best arm."""
+    ship(graph.vertices.sparkSession)
     kind = graph.vertices.schema["id"].dataType.simpleString()
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -6,12 +6,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ship import ship
+
 #: Used only where the session names no shared folder, as in local tests.
 LOCAL_SHARED = "/tmp/checkpoints/netloom"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
+    ship(spark)
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
