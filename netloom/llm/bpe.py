@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCodes, coded, coded_words, mounted, put_file, ragged, shared_path, text_column, text_slices, written
+from .common import WordCodes, coded, coded_words, mounted, put_file, ragged, shared_path, ship, text_column, text_slices, written
 from .word_ids import PieceIds, Pieces, TextIds, byte_letters, specials_of
 
 #: Words in the lexicon; the file has a bounded size whatever the corpus.
@@ -273,6 +273,8 @@ def lexicon_pieces(merges: Merges, lexicon: Lexicon | None):
 def word_counts(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
     """(word, count): how often the tokenizer's words occur in all texts. Each task adds up its own before any row moves."""
 
+    ship(docs.sparkSession)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, text_ids = Pieces(tokenizer), TextIds(None, specials_of(tokenizer))
         codes, total = WordCodes(), np.zeros(0, np.int64)
@@ -350,6 +352,7 @@ def decode_ids(ids: list[int], strings: list[str | None]) -> str:
 
 def encode(docs: DataFrame, tokenizer: str, lexicon: str | None = None, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """docs with ids_col array<int>. Null counts as empty and gives an empty list; an older column ids_col is replaced."""
+    ship(docs.sparkSession)
     docs = docs.drop(ids_col)
     fields = docs.schema
     at = fields.fieldNames().index(text_col)
@@ -368,6 +371,7 @@ def encode(docs: DataFrame, tokenizer: str, lexicon: str | None = None, text_col
 
 def decode(df: DataFrame, tokenizer: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """df with text_col: the text of its ids; null ids count as none."""
+    ship(df.sparkSession)
     df = df.drop(text_col)
     fields = df.schema
     at = fields.fieldNames().index(ids_col)
@@ -391,6 +395,7 @@ def _with(fields, name: str, kind: str):
 
 def round_trip_digests(docs: DataFrame, tokenizer: str, lexicon: str | None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Each text encoded, and its ids decoded: id_col, n_tokens, ids_sha256, decoded_sha256, and ids if asked for; else they don't leave the task."""
+    ship(docs.sparkSession)
     names, schema = ["i", "n", "s", "d"] + ["ids"] * with_ids, "n long, s string, d string" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.plans.loop import materialized
-from netloom.plans.loop import shared_path as shared_path  # the operators take it from here
+from netloom.plans.loop import shared_path as shared_path  # the operators take these from here
+from netloom.plans.ship import ship as ship
 
 
 def written(df: DataFrame, kind: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import coded_words, mix, mounted, put_file, run_sums, shared_path, text_column, text_slices, word_hashes, written
+from .common import coded_words, mix, mounted, put_file, run_sums, shared_path, ship, text_column, text_slices, word_hashes, written
 
 #: Hashes of the start mark and the end token, which no word has but by chance.
 START, END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -435,6 +435,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     Null counts as empty: one token, the end. Repeated rows get the same scores.
     """
     new = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]
+    ship(docs.sparkSession)
     base = docs.drop(*new)
     at = base.columns.index(text_col)
     schema = StructType([*base.schema.fields, *StructType.fromDDL("n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double").fields])

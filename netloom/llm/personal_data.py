@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import coded_words, text_column, text_slices
+from .common import coded_words, ship, text_column, text_slices
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
@@ -389,6 +389,7 @@ def personal_data(docs: DataFrame, field: Field | None = None, id_col: str = "do
     Null counts as empty; an empty text has no spans. Repeated rows get the same result. Other columns aren't read.
     """
     field = field or default_field()
+    ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     rank = {k: n for n, k in enumerate(KINDS)}

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import text_column, text_slices
+from .common import ship, text_column, text_slices
 from .word_ids import library_ids
 
 LAYOUT = {
@@ -37,6 +37,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     lie next to each other. first is the number of ids before the row in its part. Null text counts as
     empty. Other columns aren't written. An empty table gives files without rows.
     """
+    ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,6 +78,7 @@ def part_starts(tokens: DataFrame) -> DataFrame:
 
 def token_digests(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """id_col, start, n_tokens, ids_crc32 of each row, from the ids as read."""
+    ship(tokens.sparkSession)
     kind = tokens.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

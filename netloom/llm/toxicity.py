@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import coded, coded_words, joined, ragged, run_sums, text_column, text_slices, word_hashes, written
+from .common import coded, coded_words, joined, ragged, run_sums, ship, text_column, text_slices, word_hashes, written
 
 BITS = 20
 #: Labelled rows that a fit may take.
@@ -192,6 +192,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", only_clean: boo
     Null counts as empty; an empty text gets the score of no terms. only_clean: the rows with predicted 0 alone,
     with the columns of docs.
     """
+    ship(docs.sparkSession)
     new = ["score", "predicted"]
     base = docs if only_clean else docs.drop(*new)
     at = base.columns.index(text_col)
