@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import coded, coded_words, joined, ragged, run_sums, ship, text_column, text_slices, word_hashes, written
+from .order_minhash import kmers, words_of
 
 BITS = 20
 #: Labelled rows that a fit may take.
@@ -81,9 +82,11 @@ def constant(positive: int, n: int, factors: int = FACTORS) -> Model:
     return Model(np.zeros(0, np.int64), float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, factors)))
 
 
-def fit_machine(chosen: np.ndarray, col: np.ndarray, counts: np.ndarray, labels: np.ndarray, factors: int = FACTORS, steps: int = 150, l1: float = 2e-4, l2: float = 1e-4, rate: float = 0.08, seed: int = 7) -> Model:
-    """Adam over all rows at once, with a soft threshold on w: terms that say nothing stay without weight.
+def fit_machine(chosen: np.ndarray, col: np.ndarray, counts: np.ndarray, labels: np.ndarray, factors: int = FACTORS, steps: int = 600, pair_steps: int = 200, l2: float = 3e-4, l2_pairs: float = 3e-3, rate: float = 0.05, seed: int = 7) -> Model:
+    """Adam over all rows at once: first the terms' own weights, then these and the pairs together.
 
+    A term that tells by itself so gets its weight before pairs can take it over, and a text with one such term is known too;
+    for the same reason w0 stays at the labels' own odds rather than learn that most texts have none.
     chosen: buckets with weights; col, counts: each row's distinct terms as places in chosen.
     """
     n, m = len(labels), len(chosen)
@@ -97,26 +100,29 @@ def fit_machine(chosen: np.ndarray, col: np.ndarray, counts: np.ndarray, labels:
     weight /= weight.mean()
     per_col = np.bincount(col_of, minlength=m)
     state = [np.zeros(1), np.zeros(m), np.zeros((m, factors))], [np.zeros(1), np.zeros(m), np.zeros((m, factors))]
-    for t in range(1, steps + 1):
-        sums = np.stack([run_sums(v[col, f], counts) for f in range(factors)], 1)
-        squares = sum(run_sums(v[col, f] ** 2, counts) for f in range(factors))
-        z = w0 + run_sums(w[col], counts) + ((sums**2).sum(1) - squares) / 2
+    for t in range(1, steps + pair_steps + 1):
+        pairs = t > steps
+        z = w0 + run_sums(w[col], counts)
+        if pairs:
+            sums = np.stack([run_sums(v[col, f], counts) for f in range(factors)], 1)
+            squares = sum(run_sums(v[col, f] ** 2, counts) for f in range(factors))
+            z = z + ((sums**2).sum(1) - squares) / 2
         err = weight * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - labels) / n
         e = err[row_of]
         gw = run_sums(e, per_col)
-        gv = np.stack([run_sums(e * sums[row_of, f], per_col) for f in range(factors)], 1) - gw[:, None] * v + l2 * v
-        for k, (x, g) in enumerate((((w0), np.array([err.sum()])), (w, gw + l2 * w), (v, gv))):
+        grads = [None, gw + l2 * w]
+        if pairs:
+            grads.append(np.stack([run_sums(e * sums[row_of, f], per_col) for f in range(factors)], 1) - gw[:, None] * v + l2_pairs * v)
+        for k, g in enumerate(grads[1:], 1):
             a, b = state[0][k], state[1][k]
+            u = t if k < 2 else t - steps
             a += 0.1 * (g - a)
-            b += 0.01 * (g * g - b)
-            step = rate * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.99**t)) + 1e-5)
-            if k == 0:
-                w0 = float(x - step[0])
-            elif k == 1:
-                w = x - step
-                w = np.sign(w) * np.maximum(np.abs(w) - rate * l1 / (np.sqrt(b / (1 - 0.99**t)) + 1e-5), 0)
+            b += 0.05 * (g * g - b)
+            step = rate * (a / (1 - 0.9**u)) / (np.sqrt(b / (1 - 0.95**u)) + 1e-7)
+            if k == 1:
+                w = w - step
             else:
-                v = x - step
+                v = v - step
     return Model(chosen, w0, w, v)
 
 
@@ -141,11 +147,13 @@ def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, most_
             texts = text_column(batch.column(2))
             for a, b in text_slices(texts, 2_000_000):
                 terms, counts = term_buckets(texts.slice(a, b - a))
-                yield pa.record_batch([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), as_lists(terms, counts)], ["h", "y", "terms"])
+                yield pa.record_batch([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(family(texts.slice(a, b - a))), as_lists(terms, counts)], ["h", "y", "f", "terms"])
 
     rows = docs.select(F.col(id_col).alias("_i"), F.col(text_col).cast("string").alias("_t")).join(F.broadcast(picked), "_i")
     rows = rows.select(F.xxhash64("_i", "_t").alias("h"), F.col("_y").alias("y"), F.col("_t").alias("t"))
-    sample = written(rows.mapInArrow(with_terms, "h long, y int, terms array<int>"), "sample")
+    # Copies, also slightly changed ones, share words for no reason of their own: one of each family is learned from.
+    found = rows.mapInArrow(with_terms, "h long, y int, f long, terms array<int>")
+    sample = written(found.groupBy("f", "y").agg(F.min_by(F.struct("h", "terms"), "h").alias("x")).select("x.h", "y", "x.terms"), "sample")
     n = sample.count()
     if n > most_rows:  # ids that many documents share
         last = sample.select("h").orderBy("h").limit(most_rows).agg(F.max("h")).first()[0]
@@ -153,11 +161,15 @@ def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, most_
     n, positive = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not 0 < positive < n:
         return constant(positive, n)
-    # Terms that tell the labels apart, by chi squared; counted in Spark, so that the driver sees those that are taken alone.
+    # Terms that tell the labels apart: by chance as many documents would so agree for less than a tenth of a term
+    # (a bound on the binomial tail). Counted in Spark, so that the driver sees those that are taken alone.
     share = positive / n
     counted = sample.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("y").alias("pos")).filter("df >= 3")
-    chi = F.pow(F.col("pos") - F.col("df") * share, F.lit(2.0)) / F.col("df")
-    chosen = np.sort(np.array([r.term for r in counted.orderBy(F.desc(chi), "term").limit(most_terms).select("term").collect()], np.int64))
+    counted = written(counted, "terms")
+    part = lambda k, of: F.when(k > 0, k * F.log(k / (F.col("df") * of))).otherwise(0.0)
+    sure = part(F.col("pos"), share) + part(F.col("df") - F.col("pos"), 1 - share)
+    taken = counted.filter(sure >= float(np.log(10 * max(counted.count(), 1)))).orderBy(F.desc(sure), "term").limit(most_terms)
+    chosen = np.sort(np.array([r.term for r in taken.select("term").collect()], np.int64))
     if not len(chosen):
         return constant(positive, n)
 
@@ -175,6 +187,16 @@ def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, most_
     return fit_machine(chosen, lists.flatten().to_numpy().astype(np.int64), counts, got.column("y").to_numpy().astype(float))
 
 
+def family(column: pa.Array) -> np.ndarray:
+    """The least hash among the five-word runs of each text, which most near copies share and other texts don't; 0 without words."""
+    words, counts = words_of(column)
+    grams, n = kmers(words, counts)
+    out = np.zeros(len(counts), np.int64)
+    if len(grams):
+        out[n > 0] = np.minimum.reduceat(grams, (np.cumsum(n) - n)[n > 0]).view(np.int64)
+    return out
+
+
 def as_lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values.astype(np.int32)))
 
