@@ -45,15 +45,12 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     cut = whole.withColumn("_chunks", chunks(F.col("_text"), least, most))
     distinct = cut.select(F.explode("_chunks").alias("c")).select(chunk_hash(F.col("c"), bits).alias("h"), "c").distinct()
     shared = distinct.groupBy("h").count().filter("count > 1").select("h").limit(NAMED_COLLISIONS + 1).collect()  # bounded
-    if not shared:
-        recipe = F.transform("_chunks", lambda c: F.struct(chunk_hash(c, bits).alias("h"), F.lit("").alias("s")))
-    elif len(shared) <= NAMED_COLLISIONS:
-        named = F.array(*[F.lit(r.h) for r in shared])
-        recipe = F.transform("_chunks", lambda c: F.struct(chunk_hash(c, bits).alias("h"), F.when(F.array_contains(named, chunk_hash(c, bits)), F.sha2(c, 256)).otherwise("").alias("s")))
-    else:
-        recipe = F.transform("_chunks", lambda c: F.struct(chunk_hash(c, bits).alias("h"), F.sha2(c, 256).alias("s")))
-    if not shared:  # plain hashes: shorter to move and to compare
+    if not shared:  # plain hashes: short to move and to compare
         recipe = F.transform("_chunks", lambda c: chunk_hash(c, bits))
+    else:
+        named = F.array(*[F.lit(r.h) for r in shared])
+        doubtful = (lambda c: F.array_contains(named, chunk_hash(c, bits))) if len(shared) <= NAMED_COLLISIONS else (lambda c: F.lit(True))
+        recipe = F.transform("_chunks", lambda c: F.struct(chunk_hash(c, bits).alias("h"), F.when(doubtful(c), F.sha2(c, 256)).otherwise("").alias("s")))
     out = cut.select("_id", F.monotonically_increasing_id().alias("_row"), recipe.alias("_recipe"), F.sha2("_text", 256).alias("_sha256"))
     return written(out, "recipes")
 
