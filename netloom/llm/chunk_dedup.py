@@ -37,7 +37,7 @@ def chunk_hash(chunk: Column, bits: int = 64) -> Column:
 
 
 def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 128, most: int = 4096, bits: int = 64) -> DataFrame:
-    """(_id, _row, _recipe, _sha256) for each row: its verified chunk identifiers in order.
+    """(_id, _row, _recipe, _sha256, _digest) for each row: its verified chunk identifiers in order, and their digest.
 
     _row numbers the rows of one run apart, also equal ones. bits < 64 is for tests of collisions.
     """
@@ -47,12 +47,14 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     shared = distinct.groupBy("h").count().filter("count > 1").select("h").limit(NAMED_COLLISIONS + 1).collect()  # bounded
     if not shared:  # plain hashes: short to move and to compare
         recipe = F.transform("_chunks", lambda c: chunk_hash(c, bits))
+        parts = F.transform("_recipe", lambda c: c.cast("string"))
     else:
         named = F.array(*[F.lit(r.h) for r in shared])
         doubtful = (lambda c: F.array_contains(named, chunk_hash(c, bits))) if len(shared) <= NAMED_COLLISIONS else (lambda c: F.lit(True))
         recipe = F.transform("_chunks", lambda c: F.struct(chunk_hash(c, bits).alias("h"), F.when(doubtful(c), F.sha2(c, 256)).otherwise("").alias("s")))
+        parts = F.transform("_recipe", lambda c: F.concat_ws(":", c["h"].cast("string"), c["s"]))
     out = cut.select("_id", F.monotonically_increasing_id().alias("_row"), recipe.alias("_recipe"), F.sha2("_text", 256).alias("_sha256"))
-    return written(out, "recipes")
+    return written(out.withColumn("_digest", F.unhex(F.sha2(F.array_join(parts, ","), 256))), "recipes")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 128, most: int = 4096, bits: int = 64) -> DataFrame:
@@ -64,12 +66,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = recipes(docs, id_col, text_col, least, most, bits)
     total = rows.count()
-    groups = rows.groupBy("_recipe").agg(F.max(F.struct("_id", "_row")).alias("_keep"), F.count(F.lit(1)).alias("_size")).filter("_size > 1")
-    groups = written(groups, "groups")
+    groups = rows.groupBy("_digest", "_recipe").agg(F.max(F.struct("_id", "_row")).alias("_keep"), F.count(F.lit(1)).alias("_size")).filter("_size > 1")
+    groups = written(groups.drop("_recipe"), "groups")  # lists have been compared; their digests, of one size, lead back to the rows
     hot = F.broadcast(groups.filter(F.col("_size") > total * HOT_SHARE))
     rest = groups.filter(F.col("_size") <= total * HOT_SHARE)
-    of_hot = rows.join(hot, "_recipe").select("_id", "_row", "_sha256", "_keep", "_size")
-    others = rows.join(hot.select("_recipe"), "_recipe", "left_anti").join(rest, "_recipe", "left").select("_id", "_row", "_sha256", "_keep", "_size")
+    of_hot = rows.join(hot, "_digest").select("_id", "_row", "_sha256", "_keep", "_size")
+    others = rows.join(hot.select("_digest"), "_digest", "left_anti").join(rest, "_digest", "left").select("_id", "_row", "_sha256", "_keep", "_size")
     alone = F.col("_keep").isNull()
     return of_hot.unionByName(others).select(
         F.col("_id").alias(id_col),
