@@ -7,9 +7,10 @@ order. Texts that agree on a sketch are candidates; a pair is a link if its edit
 1 - (word edits) / (words of the longer), is at least the threshold. Groups are the connected parts.
 
 Texts with equal words are one class throughout, known by a 128-bit hash of their words, and only classes are
-compared. A bucket of n classes gives about 2n candidates (each with the least of the bucket and with its
-neighbour), never all pairs; the buckets of different sketches hold different neighbours. First each
-class's best candidate is verified, then those of the others that lie in different groups yet.
+compared. A bucket of n classes gives about 2n candidates at first (each with the least of the bucket and with its
+neighbour). Each class's best candidate is verified, then those of the others that lie in different groups yet.
+Buckets that are still in several groups, as those of a shared template are, go on exactly: two similar texts
+have one of their rarest words in common (see prefixes()), so all pairs that do are verified, and no other can be a link.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ HOT_SHARE = 1 / 256
 FILTER_BYTES = 16 << 20
 #: Classes of a bucket that are sorted together.
 PART = 2000
+#: Bits of the hash by which words of open buckets are counted, to order them by rarity.
+RARITY_BITS = 18
 POSITION = np.uint64((1 << 24) - 1)
 
 
@@ -233,8 +236,8 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, count: int, least: int
     return written(out.toDF("_id", "_row", "_sha", "_key", "_sketches"), "sketches")
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """(a, b, n): pairs of classes, a > b, that agree on n sketches, as far as buckets give them."""
+def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b, n): pairs of classes, a > b, that agree on n sketches, each with the least of a bucket or its neighbour there; and (s, _key, size), the buckets."""
     bucket = classes.select("_key", F.explode("_sketches").alias("s"))
     sizes = bucket.groupBy("s").agg(F.min("_key").alias("least"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     full = written(bucket.join(sizes, "s"), "buckets")
@@ -243,7 +246,116 @@ def candidates(classes: DataFrame) -> DataFrame:
     ordered = Window.partitionBy("s", "part").orderBy("_key")
     near = full.withColumn("part", parts).withColumn("b", F.lag("_key").over(ordered)).filter("b IS NOT NULL").select(F.col("_key").alias("a"), "b")
     pairs = full.filter("_key != least").select(F.col("_key").alias("a"), F.col("least").alias("b")).unionByName(near)
-    return written(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "candidates")
+    return written(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "candidates"), full.select("s", "_key", "size")
+
+
+def open_classes(buckets: DataFrame, parts: DataFrame) -> DataFrame:
+    """(k, root): the classes of buckets that lie in several groups. In a bucket of up to three, candidates() gives all pairs."""
+    rooted = buckets.filter("size > 3").join(parts, F.col("_key") == F.col("k"), "left").select("s", "_key", F.coalesce("root", "_key").alias("root"))
+    rooted = written(rooted, "rooted")
+    several = rooted.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("s")
+    return written(rooted.join(several, "s", "left_semi").select(F.col("_key").alias("k"), "root").distinct(), "open")
+
+
+def labelled(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word with its occurrence in its text, number of each text), so that words in common count as often as both have them."""
+    counts = np.array([len(w) for w in words], np.int64)
+    return kmers(mix(np.concatenate(words).astype(np.uint64)), counts, 1) if len(words) else (np.zeros(0, np.uint64), counts)
+
+
+def prefixes(tokens: np.ndarray, counts: np.ndarray, df: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each token that is kept, how many of each text): the floor((1 - threshold) n) + 1 rarest of n.
+
+    Similar texts of n <= m words have at least m - floor((1 - threshold) m) in common, so in any one order of the
+    tokens their prefixes meet; df, by hash, only makes the order a good one. Tokens that are counted once meet none.
+    """
+    seen = df[(tokens >> np.uint64(64 - RARITY_BITS)).astype(np.int64)]
+    text = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((tokens, seen, text))
+    place = np.arange(len(tokens)) - np.repeat(np.cumsum(counts) - counts, counts)
+    most = np.floor((1 - threshold) * counts + 1e-9).astype(np.int64) + 1
+    at = order[(place < np.repeat(most, counts)) & (seen[order] > 1)]
+    return at, np.bincount(text[at], minlength=len(counts))
+
+
+def meeting(token: np.ndarray, block: np.ndarray, own: np.ndarray, key: np.ndarray, root: np.ndarray, n: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (a, b) of rows of one token and block pair, key of a > key of b, in different groups and of like length.
+
+    Rows stand in order of token and block; of a pair of different blocks only rows of both are paired. key, root: (rows, 2) big-endian halves.
+    """
+    if not len(token):
+        return
+    new = np.concatenate([[True], (token[1:] != token[:-1]) | (block[1:] != block[:-1])])
+    ends = np.append(np.flatnonzero(new)[1:], len(token))[np.cumsum(new) - 1]
+    at, d = np.arange(len(token)), 1
+    while len(at := at[at + d < ends[at]]):
+        x, y = at, at + d
+        longer = np.maximum(n[x], n[y])
+        ok = (root[x] != root[y]).any(1) & (np.abs(n[x] - n[y]) <= np.floor((1 - threshold) * longer + 1e-9)) & ((own[x] != own[y]) | (block[x] % 65536 == block[x] // 65536))
+        x, y = x[ok], y[ok]
+        more = (key[x, 0] > key[y, 0]) | ((key[x, 0] == key[y, 0]) & (key[x, 1] > key[y, 1]))
+        if len(x):
+            yield np.where(more, x, y), np.where(more, y, x)
+        d += 1
+
+
+def open_pairs(opened: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): the pairs of open classes in different groups, a > b, that share a token of their prefixes and are of like length."""
+    own = written(words.join(opened, "k").select("k", "root", "w"), "open-words")
+
+    def texts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+        for a, b in text_slices(batch.column("w"), 4_000_000):
+            part = batch.slice(a, b - a)
+            yield part, *labelled([np.frombuffer(w.as_py(), np.uint32) for w in part.column("w")])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(1 << RARITY_BITS, np.int64)
+        for batch in batches:
+            for _, tokens, _ in texts(batch):
+                df += np.bincount((tokens >> np.uint64(64 - RARITY_BITS)).astype(np.int64), minlength=len(df))
+        at = np.flatnonzero(df)
+        yield pa.record_batch([pa.array(at), pa.array(df[at])], ["h", "n"])
+
+    df = np.zeros(1 << RARITY_BITS, np.int64)
+    counted = own.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).toArrow()  # at most 2 ** RARITY_BITS rows
+    df[counted.column("h").to_numpy()] = counted.column("n").to_numpy()
+    sent = own.sparkSession.sparkContext.broadcast(df)
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, tokens, counts in texts(batch):
+                at, size = prefixes(tokens, counts, sent.value, threshold)
+                row = pa.array(np.repeat(np.arange(len(counts)), size))
+                yield pa.record_batch([pa.array(tokens[at].view(np.int64)), part.column("k").take(row), part.column("root").take(row), pa.array(counts).take(row)], ["t", "k", "root", "n"])
+
+    posts = written(own.mapInArrow(post, "t long, k binary, root binary, n long"), "posts")
+    lists = posts.groupBy("t").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("size")).filter("x != y")
+    # A long list is cut by hash into parts, and each row goes to all pairs of its own part with another: all its pairs meet, some thousand rows at a time.
+    cut = posts.join(lists.select("t", F.ceil(F.col("size") / PART).alias("parts")), "t").withColumn("own", F.pmod(F.xxhash64("k"), F.col("parts")))
+    block = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda j: F.least("own", j) * 65536 + F.greatest("own", j))
+    cut = cut.select("t", F.explode(block).alias("block"), "own", "k", "root", "n").repartition("t", "block").sortWithinPartitions("t", "block")
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        halves = lambda c: np.frombuffer(b"".join(c.to_pylist()), ">u8").reshape(-1, 2)
+        left: pa.Table | None = None
+
+        def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            t, block, own, k, root, n = (table.column(c).combine_chunks() for c in table.column_names)
+            for a, b in meeting(t.to_numpy(), block.to_numpy(), own.to_numpy(), halves(k), halves(root), n.to_numpy(), threshold):
+                yield pa.record_batch([k.take(pa.array(a)), k.take(pa.array(b))], ["a", "b"])
+
+        for batch in batches:  # the last list of a batch may go on in the next
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([left, table]) if left is not None else table
+            t, block = table.column("t").to_numpy(), table.column("block").to_numpy()
+            change = np.flatnonzero((t[1:] != t[:-1]) | (block[1:] != block[:-1])) + 1
+            at = int(change[-1]) if len(change) else 0
+            yield from found(table.slice(0, at)) if at else ()
+            left = table.slice(at)
+        if left is not None:
+            yield from found(left)
+
+    return cut.mapInArrow(pair, "a binary, b binary").distinct()
 
 
 def verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
@@ -327,7 +439,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = sketched(docs, id_col, text_col, count, least, k)
     classes = rows.groupBy("_key").agg(F.first("_sketches").alias("_sketches"))
-    found = candidates(classes)
+    found, buckets = candidates(classes)
     wanted = written(found.select(F.explode(F.array("a", "b")).alias("k")).distinct(), "wanted")
 
     sent = docs.sparkSession.sparkContext.broadcast(key_filter(wanted, wanted.count()))
@@ -358,7 +470,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     others = ranked.filter("rank > 1").join(of("a"), "a", "left").join(of("b"), "b", "left")
     others = others.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
     more = written(verified(written(others.select("a", "b"), "others"), words, threshold), "links")
-    parts = components(links.unionByName(more)) if not more.isEmpty() else parts
+    links, parts = (links.unionByName(more), components(links.unionByName(more))) if not more.isEmpty() else (links, parts)
+    opened = open_classes(buckets, parts)
+    if not opened.isEmpty():
+        rest = written(open_pairs(opened, words, threshold).join(found, ["a", "b"], "left_anti"), "rest")
+        more = written(verified(rest, words, threshold), "links")
+        parts = components(links.unionByName(more)) if not more.isEmpty() else parts
 
     sizes = rows.groupBy("_key").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("least"), F.count(F.lit(1)).alias("class_size"))
     sizes = sizes.join(parts, sizes["_key"] == parts["k"], "left").withColumn("root", F.coalesce("root", "_key"))

@@ -387,6 +387,19 @@ def test_near_groups(spark):
     assert order_minhash.near_groups(table(spark).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("part", [order_minhash.PART, 7])
+def test_near_pairs_under_a_template(spark, monkeypatch, part):
+    monkeypatch.setattr(order_minhash, "PART", part)
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    template = [word() for _ in range(234)]
+    texts = [[word() for _ in range(66)] for _ in range(200)]
+    for k in range(10):  # every other word differs, so that the texts agree on no sketch that the template doesn't give: similarity 0.89
+        texts[2 * k + 1] = [w if j % 2 else word() for j, w in enumerate(texts[2 * k])]
+    got = order_minhash.near_groups(table(spark, [(i, " ".join(template + x)) for i, x in enumerate(texts)])).collect()
+    assert {r.doc_id: r.group_id for r in got} == {i: i - i % 2 if i < 20 else i for i in range(200)}
+
+
 def test_order_minhash_sees_order():
     rng = np.random.default_rng(0)
     words = rng.integers(1 << 62, size=400).astype(np.uint64)
