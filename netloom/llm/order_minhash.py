@@ -1,6 +1,6 @@
 """Near-duplicate detection by Order MinHash, verified by banded alignment.
 
-A text is its lower-cased words between white space. Its k-mers (five words; pairs in short texts) are labelled by occurrence, so
+A text is its lower-cased words between white space. Its k-mers (pairs of words) are labelled by occurrence, so
 that a repeated one counts as often as it occurs. Each of several sketches takes the k-mers of least hash
 and keeps them in the order of the text, so two texts agree on a sketch as they agree in words and in their
 order. Texts that agree on a sketch are candidates; a pair is a link if its edit similarity,
@@ -25,10 +25,15 @@ from pyspark.sql import functions as F
 
 from .common import coded_words, kept_rows, mix, ragged, run_sums, text_column, text_slices, word_hashes, written
 
-K, SKETCHES, LEAST, SIMILARITY = 5, 32, 2, 0.8
-#: Texts of at most SHORT[1] words are sketched by pairs of words, those of more than SHORT[0] by k-mers, so that two texts of
-#: like length share a kind: an edit in a short text would leave few of its k-mers.
-SHORT, SHORT_K = (40, 50), 2
+K, LEAST, SIMILARITY = 5, 2, 0.8
+#: Sketches are of pairs of words, as an edit leaves few of the longer k-mers: with every fifth word edited (similarity 0.8) no 5-mer
+#: is left but 3 in 5 of the pairs, and one of 80 sketches of three pairs agrees in 99.8 % of cases.
+SKETCHES, SKETCH_K, SKETCH_LEAST = 80, 2, 3
+#: Texts of at most SHORT[1] words are sketched by the least SHORT_LEAST pairs, those of more than SHORT[0] by the least
+#: SKETCH_LEAST, so that two texts of like length share a kind.
+SHORT, SHORT_LEAST = (40, 50), 2
+#: K-mers that are sketched at a time, few enough for the cache.
+BLOCK = 32_000
 HOT_SHARE = 1 / 256
 #: Bytes of the filter that keeps texts without candidates from being moved.
 FILTER_BYTES = 16 << 20
@@ -87,6 +92,9 @@ def kmers(words: np.ndarray, counts: np.ndarray, k: int = K) -> tuple[np.ndarray
 def sketches(grams: np.ndarray, n: np.ndarray, count: int = SKETCHES, least: int = LEAST, kind: int = 0) -> np.ndarray:
     """(texts, count): hash of the `least` k-mers of least hash, in text order, for each of `count` orders. Only for texts with k-mers."""
     starts = np.cumsum(n) - n
+    cuts = np.flatnonzero(np.diff(starts // BLOCK)) + 1
+    if len(cuts):
+        return np.concatenate([sketches(g, x, count, least, kind) for g, x in zip(np.split(grams, starts[cuts]), np.split(n, cuts), strict=True)])
     place = (np.arange(len(grams), dtype=np.uint64) - np.repeat(starts, n).astype(np.uint64)) & POSITION
     out = np.zeros((len(n), count), np.uint64)
     rng = np.random.default_rng(20240229)
@@ -218,10 +226,10 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, count: int, least: int
             for a, b in text_slices(texts, 4_000_000):
                 words, counts = words_of(texts.slice(a, b - a))
                 size, parts = np.zeros(b - a, np.int64), []
-                for kind, (on, length) in enumerate(((counts > SHORT[0], k), ((counts > 0) & (counts <= SHORT[1]), SHORT_K))):
+                for kind, (on, few) in enumerate(((counts > SHORT[0], least), ((counts > 0) & (counts <= SHORT[1]), SHORT_LEAST))):
                     if on.any():
                         own = words[ragged((np.cumsum(counts) - counts)[on], counts[on])]
-                        parts.append((np.flatnonzero(on), sketches(*kmers(own, counts[on], length), count, least, kind)))
+                        parts.append((np.flatnonzero(on), sketches(*kmers(own, counts[on], k), count, few, kind)))
                         size[on] += count
                 flat, at = np.zeros(int(size.sum()), np.uint64), np.cumsum(size) - size
                 for on, own in parts:
@@ -430,7 +438,7 @@ def passes(keys: list[bytes], table: np.ndarray) -> np.ndarray:
     return ((table[first[:, None], places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & 1).all(1)
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY, count: int = SKETCHES, least: int = LEAST, k: int = K) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY, count: int = SKETCHES, least: int = SKETCH_LEAST, k: int = SKETCH_K) -> DataFrame:
     """One row per input row: id_col, group_id, group_size, kept, class_size, _row, _sha.
 
     group_id: the least id of the rows that are near-duplicates, directly or by way of others (null only if all their

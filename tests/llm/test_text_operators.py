@@ -400,6 +400,35 @@ def test_near_pairs_under_a_template(spark, monkeypatch, part):
     assert {r.doc_id: r.group_id for r in got} == {i: i - i % 2 if i < 20 else i for i in range(200)}
 
 
+def even_edits(rng, length, every, pairs):
+    """Pairs of texts with each every-th word replaced, as hashes, in turn."""
+    out = []
+    for _ in range(pairs):
+        a = rng.integers(1 << 62, size=length).astype(np.uint64)
+        b = a.copy()
+        b[every - 1 :: every] = rng.integers(1 << 62, size=length // every).astype(np.uint64)
+        out += [a, b]
+    return np.concatenate(out), np.full(2 * pairs, length)
+
+
+@pytest.mark.parametrize("every", [5, 6, 7, 8])  # similarity 0.8, 0.833, 0.857, 0.875
+def test_sketch_recall_down_to_the_threshold(every):
+    words, counts = even_edits(np.random.default_rng(every), 400, every, 500)
+    s = order_minhash.sketches(*order_minhash.kmers(words, counts, order_minhash.SKETCH_K), order_minhash.SKETCHES, order_minhash.SKETCH_LEAST)
+    assert (s[::2] == s[1::2]).any(1).mean() >= 0.99
+
+
+def test_evenly_spread_edits_are_found(spark):
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    rows = []
+    for _ in range(20):
+        a = [word() for _ in range(400)]
+        rows += [a, [w if j % 5 else word() for j, w in enumerate(a)]]
+    got = order_minhash.near_groups(table(spark, [(i, " ".join(x)) for i, x in enumerate(rows)])).collect()
+    assert {r.doc_id: r.group_id for r in got} == {i: i - i % 2 for i in range(40)}
+
+
 def test_order_minhash_sees_order():
     rng = np.random.default_rng(0)
     words = rng.integers(1 << 62, size=400).astype(np.uint64)
