@@ -341,8 +341,44 @@ PLAUSIBLE = {
 }
 
 
+#: Characters of a piece of a run: more than a spelled-out address has.
+PIECE = 400
+
+
+def bare(text: str, start: int, end: int) -> tuple[int, int]:
+    """The span without marks at its ends."""
+    said = text[start:end]
+    lead = re.match(r"[\s\"'<{|«„“,;:]*", said).end()
+    tail = len(said) - len(re.sub(r"[\s\"'>},;:!?|»“”.]+$", "", said))
+    return start + lead, end - tail
+
+
+def pieces(text: str, words: list[tuple[int, int]], kind: str) -> list[tuple[int, int]]:
+    """The plausible spans from word ends to word ends that cover most words; of these as many as can be, of like length."""
+    digits = {"phone": 15, "card": 19, "ip": 12}.get(kind)
+    best: list[tuple] = [(0, 0, 0, 0, None)] * (len(words) + 1)  # words covered, pieces, -squares; words to go on after, span
+    for k in range(len(words) - 1, -1, -1):
+        best[k] = (*best[k + 1][:3], k + 1, None)
+        for z in range(k, len(words)):
+            if words[z][1] - words[k][0] > PIECE or (digits and len(digits_of(text[words[k][0] : words[z][1]])) > digits):
+                break
+            start, end = bare(text, words[k][0], words[z][1])
+            if start < end and PLAUSIBLE[kind](text[start:end]):
+                n, after = z - k + 1, best[z + 1]
+                best[k] = max(best[k], (after[0] + n, after[1] + 1, after[2] - n * n, z + 1, (start, end)), key=lambda x: x[:3])
+    out, k = [], 0
+    while k < len(words):
+        if best[k][4]:
+            out.append(best[k][4])
+        k = best[k][3]
+    return out
+
+
 def added_spans(text: str, labels: np.ndarray, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Spans of runs of equal labels that touch no base span, without marks at their ends."""
+    """Spans of runs of equal labels, without marks at their ends and without words that touch a base span.
+
+    A run that isn't plausible as a whole, as several finds side by side, is split at word ends.
+    """
     where = [m.span() for m in TOKEN.finditer(text)]
     out, k = [], 0
     while k < len(labels):
@@ -352,14 +388,19 @@ def added_spans(text: str, labels: np.ndarray, base: list[tuple[str, int, int]])
         z = k
         while z + 1 < len(labels) and labels[z + 1] == labels[k]:
             z += 1
-        start, end = where[k][0], where[z][1]
-        said = text[start:end]
-        lead = re.match(r"[\s\"'<{|«„“,;:]*", said).end()
-        tail = len(said) - len(re.sub(r"[\s\"'>},;:!?|»“”.]+$", "", said))
-        start, end = start + lead, end - tail
         kind = LABELS[labels[k]]
-        if start < end and PLAUSIBLE[kind](text[start:end]) and all(e <= start or s >= end for _, s, e in base):
-            out.append((kind, start, end))
+        free: list[list[tuple[int, int]]] = [[]]
+        whole = bare(text, where[k][0], where[z][1])
+        near = [x for x in base if x[1] < whole[1] and x[2] > whole[0]]
+        for word in where[k : z + 1]:
+            if all(e <= word[0] or s >= word[1] for _, s, e in near):
+                free[-1].append(word)
+            elif free[-1]:
+                free.append([])
+        for words in free:
+            start, end = bare(text, words[0][0], words[-1][1]) if words else (0, 0)
+            if start < end:
+                out += [(kind, x, y) for x, y in ([(start, end)] if PLAUSIBLE[kind](text[start:end]) else pieces(text, words, kind))]
         k = z + 1
     return out
 

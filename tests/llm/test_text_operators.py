@@ -233,6 +233,22 @@ def test_viterbi_is_exact():
         at += len(ws)
 
 
+@pytest.mark.parametrize(
+    "kind, text, want",
+    [
+        ("phone", "555-123-4567, 555-987-6543", ["555-123-4567", "555-987-6543"]),
+        ("phone", "(030) 555-0199 (030) 555-0142 (030) 555-0111", ["(030) 555-0199", "(030) 555-0142", "(030) 555-0111"]),
+        ("email", "joe at mail dot org, ann at post dot net", ["joe at mail dot org", "ann at post dot net"]),
+    ],
+)
+def test_finds_side_by_side(kind, text, want):
+    n = len(text.split())
+    labels = np.full(n, list(personal_data.LABELS).index(kind))
+    said = lambda base: [text[a:z] for _, a, z in personal_data.added_spans(text, labels, base)]
+    assert said([]) == want
+    assert said([(kind, 0, len(want[0]))]) == want[1:]
+
+
 def test_added_spans(spark):
     texts = ["write ann at mail dot example dot org please", "call me at (556) 555-7508 now", "bob[at]mail[dot]com is here", "nothing at all in 2020, see point 5.", "a@b.cd and +1 (555) 555-0100, 10.0.0.1; 4111 1111 1111 1111", None, "", "a" * 10_000, "At the dot com era. Licensed under CC BY-NC 4.0."]
     got = {r.doc_id: r for r in personal_data.personal_data(table(spark, list(enumerate(texts)))).collect()}
