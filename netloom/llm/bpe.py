@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCodes, coded, coded_words, mounted, put_file, ragged, shared_path, ship, text_column, text_slices, written
+from .common import coded, coded_words, map_batches, mounted, put_file, ragged, shared_path, ship, text_column, text_slices, written, WordCodes
 from .word_ids import PieceIds, Pieces, TextIds, byte_letters, specials_of
 
 #: Words in the lexicon; the file has a bounded size whatever the corpus.
@@ -366,7 +366,7 @@ def encode(docs: DataFrame, tokenizer: str, lexicon: str | None = None, text_col
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(flat.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, lists], [*batch.schema.names, ids_col])
 
-    return docs.mapInArrow(run, _with(fields, ids_col, "array<int>"))
+    return map_batches(docs, run, _with(fields, ids_col, "array<int>"))
 
 
 def decode(df: DataFrame, tokenizer: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -384,7 +384,7 @@ def decode(df: DataFrame, tokenizer: str, ids_col: str = "ids", text_col: str =
                 texts = [decode_ids(ids or [], strings) for ids in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*batch.schema.names, text_col])
 
-    return df.mapInArrow(run, _with(fields, text_col, "string"))
+    return map_batches(df, run, _with(fields, text_col, "string"))
 
 
 def _with(fields, name: str, kind: str):

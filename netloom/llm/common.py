@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from netloom.plans.loop import materialized
 from netloom.plans.loop import shared_path as shared_path  # the operators take these from here
@@ -130,10 +131,39 @@ def word_hashes(words: list) -> np.ndarray:
     return np.fromiter((one(w) for w in words), np.uint64, len(words))
 
 
+def column(name: str) -> Column:
+    """The column of just this name, whatever marks are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def kept_rows(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of docs whose id and text's SHA-256 are in kept (_kept_id, _kept_sha as hex), one of each, all columns as they are."""
-    key = lambda i, sha: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("-")), sha)
-    own = docs.withColumn("_own_key", key(F.col(id_col), F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)))
-    wanted = kept.select(key(F.col("_kept_id"), F.col("_kept_sha")).alias("_own_key"))
-    one = Window.partitionBy("_own_key").orderBy("_own_key")
-    return own.join(wanted, "_own_key", "left_semi").withColumn("_own_n", F.row_number().over(one)).filter("_own_n = 1").select(*docs.columns)
+    """The rows of docs whose id and text's SHA-256 are in kept (_kept_id, _kept_sha as hex), one of each, all columns as they are.
+
+    A row travels as one struct, so no column of docs can clash with the key. A null id is an id of its own. An empty table stays empty.
+    """
+    key = lambda i, sha: F.concat_ws(":", F.coalesce(F.concat(F.lit("="), i.cast("string")), F.lit("-")), sha)
+    sha = F.sha2(F.coalesce(column(text_col).cast("string"), F.lit("")), 256)
+    own = docs.select(key(column(id_col), sha).alias("key"), F.struct(*map(column, docs.columns)).alias("row"))
+    wanted = kept.select(key(F.col("_kept_id"), F.col("_kept_sha")).alias("key"))
+    one = Window.partitionBy("key").orderBy("key")
+    rows = own.join(wanted, "key", "left_semi").withColumn("n", F.row_number().over(one)).filter("n = 1")
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
+    """mapInArrow for tables with columns of any names: they go in and come out by place."""
+    fields = StructType([StructField(f"c{k}", f.dataType, f.nullable) for k, f in enumerate(schema.fields)])
+    places = fields.fieldNames()
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(batches):
+            yield pa.RecordBatch.from_arrays(out.columns, places)
+
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]).mapInArrow(placed, fields).toDF(*schema.fieldNames())
+
+
+def parts_for(df: DataFrame, part_bytes: int = 32 << 20) -> int:
+    """Partitions for a shuffle of df: the session's number, more if the plan's size in bytes (known without reading) asks for it."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return least if size >= 1 << 60 else max(least, -(-size // part_bytes))  # an unknown size is given as a huge one

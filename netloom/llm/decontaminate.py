@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import coded, coded_words, joined, mounted, put_file, ragged, run_sums, shared_path, text_column, text_slices
+from .common import coded, coded_words, joined, map_batches, mounted, put_file, ragged, run_sums, shared_path, text_column, text_slices
 
 #: Fixed value: what a word is, after A-Z are lower-cased.
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+|\n")
@@ -197,4 +197,4 @@ def flag_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, te
                 else:
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n_words), pa.array(n_hit), pa.array(items, pa.list_(pa.string())), pa.array(n_hit > 0)], [*part.schema.names, *new])
 
-    return base.mapInArrow(run, schema)
+    return map_batches(base, run, schema)

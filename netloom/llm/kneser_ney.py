@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import coded_words, mix, mounted, put_file, run_sums, shared_path, ship, text_column, text_slices, word_hashes, written
+from .common import coded_words, map_batches, mix, mounted, put_file, run_sums, shared_path, ship, text_column, text_slices, word_hashes, written
 
 #: Hashes of the start mark and the end token, which no word has but by chance.
 START, END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -449,7 +449,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 more = [n, known, np.full(b - a, model.tokens), plain, own, 10 ** (-own / n)]
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *map(pa.array, more)], [*batch.schema.names, *new])
 
-    return base.mapInArrow(run, schema)
+    return map_batches(base, run, schema)
 
 
 def held_out(id_col: Column, folds: int = 5, fold: int = 1) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import coded, coded_words, joined, ragged, run_sums, ship, text_column, text_slices, word_hashes, written
+from .common import coded, coded_words, joined, map_batches, ragged, run_sums, ship, text_column, text_slices, word_hashes, written
 from .order_minhash import kmers, words_of
 
 BITS = 20
@@ -232,4 +232,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", only_clean: boo
                 else:
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*part.schema.names, *new])
 
-    return base.mapInArrow(run, schema)
+    return map_batches(base, run, schema)

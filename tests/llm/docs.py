@@ -26,4 +26,4 @@ def table(spark, rows=ODD, clash=True):
     df = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], SCHEMA)
     from pyspark.sql import functions as F
 
-    return df.withColumns({c: F.lit("x") for c in ("ids", "n", "i", "t", "h", "part", "count", "_id", "_row", "keep_id", "score", "word")}) if clash else df.repartition(3)
+    return df.withColumns({c: F.lit("x") for c in ("ids", "n", "i", "t", "h", "part", "count", "_id", "_row", "keep_id", "score", "word", "key", "row", "_own_key", "_own_n", "a.b")}) if clash else df.repartition(3)
