@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ship, text_column, text_slices
+from .common import parts_for, ship, text_column, text_slices
 from .word_ids import library_ids
 
 LAYOUT = {
@@ -54,9 +54,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(np.full(b - a, part, np.int32)), pa.array(first + ends - n), pa.array(n), ids], ["i", "part", "first", "n_tokens", "ids"])
                 first += int(ends[-1])
 
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).withColumn("h", F.xxhash64("t"))
-    count = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(count, "i", "h").sortWithinPartitions("i", "h").select("i", "t")
+    # Rows of one id may be many: they are spread by size, which costs nothing to take, and put in order by hash where they have arrived.
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).withColumn("size", F.octet_length("t"))
+    ordered = rows.repartitionByRange(files or parts_for(rows), "i", "size").sortWithinPartitions("i", "size", F.xxhash64("t")).select("i", "t")
     tokens = ordered.mapInArrow(run, f"i {kind}, part int, first long, n_tokens long, ids array<int>").withColumnRenamed("i", id_col)
     tokens.write.options(**LAYOUT).parquet(path)
 

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import WordCodes, coded, coded_words, joined, ragged, run_sums, text_slices
+from .common import WordCodes, coded_words, joined, ragged, run_sums, text_slices
 
 
 def specials_of(path: str) -> dict[str, int]:
@@ -87,6 +87,16 @@ LETTERS, NUMBERS = classes()
 SPACE = r"\t\n\x0b\x0c\r \x85\xa0"
 PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACE}{LETTERS}{NUMBERS}]+|\n")
 BEYOND = re.compile("[^\x00-\u01ff]")
+# The normal form and the word pattern that a tokenizer file must name, for PIECE to cut as it does.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 
 class Pieces:
@@ -100,6 +110,8 @@ class Pieces:
             spec = json.load(f)
         if spec["model"].get("end_of_word_suffix") != "</w>" or spec.get("decoder"):
             raise ValueError(f"{path}: a BPE tokenizer with word ends and no decoder is expected")
+        if spec.get("normalizer") != NORMALIZER or spec.get("pre_tokenizer") != PRE_TOKENIZER:
+            raise ValueError(f"{path}: another normal form or word pattern than PIECE stands for")
         self.normalize, self.cut = tok.normalizer.normalize_str, tok.pre_tokenizer.pre_tokenize_str
         self.byte = {chr(v): k for k, v in byte_letters().items()}
 
@@ -120,27 +132,40 @@ class Pieces:
 class PieceIds:
     """encode_words by way of distinct pieces; encode_pieces(list of pieces) gives (ids, ids of each piece).
 
-    Pieces once encoded are kept, in a table of bounded size.
+    Pieces once encoded are kept in a table of bounded size. When it is full, pieces that occurred in one slice only go
+    first, then those that occurred in fewest; frequent ones are never encoded again.
     """
 
-    def __init__(self, pieces: Pieces, encode_pieces: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 200_000):
+    def __init__(self, pieces: Pieces, encode_pieces: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 250_000):
         self.pieces, self.encode_pieces, self.codes = pieces, encode_pieces, WordCodes(most)
-        self.clear()
-
-    def clear(self) -> None:
-        self.codes.reset()
         self.codes["\n"]  # code 0, without ids
-        self.lens, self.starts, self.pool = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.lens, self.starts, self.pool, self.slices = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def trim(self) -> None:
+        """Keep the pieces of several slices, at most half of the table, and halve what they have been counted."""
+        order = np.argsort(-self.slices[1:], kind="stable")[: self.codes.most // 2] + 1
+        kept = np.concatenate([[0], np.sort(order[self.slices[order] > 1])])
+        words = [self.codes.words[k] for k in kept.tolist()]
+        self.pool = self.pool[ragged(self.starts[kept], self.lens[kept])]
+        self.lens, self.slices = self.lens[kept], self.slices[kept] // 2
+        self.starts = np.cumsum(self.lens) - self.lens
+        self.codes.reset()
+        for w in words:
+            self.codes[w]
 
     def __call__(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if self.codes.over():
-            self.clear()
-        at, distinct = coded(self.pieces(words))
-        c = np.fromiter(map(self.codes.__getitem__, distinct), np.int64, len(distinct))[at]
+            self.trim()
+        found = self.pieces(words)
+        c = np.fromiter(map(self.codes.__getitem__, found), np.int64, len(found))
         if new := self.codes.words[len(self.lens) :]:
             flat, lens = self.encode_pieces(new)
             self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lens) - lens])
             self.lens, self.pool = np.concatenate([self.lens, lens]), np.concatenate([self.pool, flat])
+            self.slices = np.concatenate([self.slices, np.zeros(len(new), np.int64)])
+        here = np.zeros(len(self.lens), bool)
+        here[c] = True
+        self.slices += here
         lens = self.lens[c]
         ends = np.flatnonzero(c == 0)
         return self.pool[ragged(self.starts[c], lens)], run_sums(lens, np.diff(ends, prepend=-1))
