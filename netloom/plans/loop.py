@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,18 +22,21 @@ def shared_dir(spark: SparkSession) -> str:
     if found:
         return found.rstrip("/")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(LOCAL_SHARED)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-#: Paths that this process has written, for drop_shared().
+#: Paths that this process has written, for drop_shared(); within temporary_state(), those written there.
 WRITTEN: list[str] = []
+_NOTED: ContextVar[list[str]] = ContextVar("netloom_written", default=WRITTEN)
 
 
 def shared_path(spark: SparkSession, kind: str) -> str:
     """A new path below the shared folder."""
-    WRITTEN.append(f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}")
-    return WRITTEN[-1]
+    _NOTED.get().append(f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}")
+    return _NOTED.get()[-1]
 
 
 def materialized(df: DataFrame, kind: str = "state") -> DataFrame:
@@ -40,11 +46,29 @@ def materialized(df: DataFrame, kind: str = "state") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_shared(spark: SparkSession) -> int:
-    """Delete what this process has written to the shared folder, once no result that reads it is needed any more; how many paths."""
+def drop_shared(spark: SparkSession, paths: list[str] | None = None) -> int:
+    """Delete paths (all that this process has written, unless given), once no result that reads them is needed any more; how many there were."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    n = 0
-    while WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+    paths, n = WRITTEN if paths is None else paths, 0
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
         n += bool(path.getFileSystem(conf).delete(path, True))
     return n
+
+
+@contextmanager
+def temporary_state(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Gives keep(df, kind), which writes a table to stay; all else that is written to the shared folder inside is deleted at the end."""
+    noted: list[str] = []
+    token = _NOTED.set(noted)
+
+    def keep(df: DataFrame, kind: str) -> DataFrame:
+        out = materialized(df, kind)
+        WRITTEN.append(noted.pop())
+        return out
+
+    try:
+        yield keep
+    finally:
+        _NOTED.reset(token)
+        drop_shared(spark, noted)
