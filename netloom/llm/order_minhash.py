@@ -7,7 +7,7 @@ order. Texts that agree on a sketch are candidates; a pair is a link if its edit
 1 - (word edits) / (words of the longer), is at least the threshold. Groups are the connected parts.
 
 Texts with equal words are one class throughout, known by a 128-bit hash of their words, and only classes are
-compared. A bucket of n classes gives about 2n candidates at first (each with the least of the bucket and with its
+compared; words are their 64-bit hashes, as long as the text needs. A bucket of n classes gives about 2n candidates at first (each with the least of the bucket and with its
 neighbour). Each class's best candidate is verified, then those of the others that lie in different groups yet.
 Buckets that are still in several groups, as those of a shared template are, go on exactly: two similar texts
 have one of their rarest words in common (see prefixes()), so all pairs that do are verified, and no other can be a link.
@@ -41,7 +41,9 @@ FILTER_BYTES = 16 << 20
 PART = 2000
 #: Bits of the hash by which words of open buckets are counted, to order them by rarity.
 RARITY_BITS = 18
-POSITION = np.uint64((1 << 24) - 1)
+#: K-mers are ordered by the high bits of their hash, then by place. Up to LONG k-mers a place fits into the low bits.
+LONG = 1 << 24
+POSITION = np.uint64(LONG - 1)
 
 
 def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -79,9 +81,12 @@ def kmers(words: np.ndarray, counts: np.ndarray, k: int = K) -> tuple[np.ndarray
     doc = np.repeat(np.arange(len(counts), dtype=np.uint64), n)
     with np.errstate(over="ignore"):
         own = mix(out + doc * np.uint64(0x9E3779B97F4A7C15))
-    order = np.argsort(own, kind="stable")
-    same = np.concatenate([[False], own[order][1:] == own[order][:-1]])
-    if same.any():
+    order = np.argsort(own)
+    equal = own[order][1:] == own[order][:-1]
+    if equal.any():
+        again = order[np.concatenate([[False], equal]) | np.concatenate([equal, [False]])]
+        order = again[np.lexsort((again, own[again]))]  # repeated ones only, in the order of the text
+        same = np.concatenate([[False], own[order][1:] == own[order][:-1]])
         run = np.arange(len(order)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
         with np.errstate(over="ignore"):
             label = run[same].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
@@ -89,12 +94,19 @@ def kmers(words: np.ndarray, counts: np.ndarray, k: int = K) -> tuple[np.ndarray
     return out, n
 
 
+def leasts(v: np.ndarray, least: int) -> np.ndarray:
+    """Places of the least values, ties by place; for texts of any length. A text of more than LONG k-mers has enough of them."""
+    at = np.flatnonzero(v <= np.partition(v, least - 1)[least - 1])
+    return at[np.argsort(v[at], kind="stable")[:least]]
+
+
 def sketches(grams: np.ndarray, n: np.ndarray, count: int = SKETCHES, least: int = LEAST, kind: int = 0) -> np.ndarray:
     """(texts, count): hash of the `least` k-mers of least hash, in text order, for each of `count` orders. Only for texts with k-mers."""
     starts = np.cumsum(n) - n
     cuts = np.flatnonzero(np.diff(starts // BLOCK)) + 1
     if len(cuts):
         return np.concatenate([sketches(g, x, count, least, kind) for g, x in zip(np.split(grams, starts[cuts]), np.split(n, cuts), strict=True)])
+    long = int(n.max()) > LONG  # such a text is a block of its own
     place = (np.arange(len(grams), dtype=np.uint64) - np.repeat(starts, n).astype(np.uint64)) & POSITION
     out = np.zeros((len(n), count), np.uint64)
     rng = np.random.default_rng(20240229)
@@ -105,15 +117,20 @@ def sketches(grams: np.ndarray, n: np.ndarray, count: int = SKETCHES, least: int
             v = grams * seeds[c, 0]
             v ^= v >> np.uint64(32)
             v *= seeds[c, 1]
-        v = (v & ~POSITION) | place
-        where = []
-        for _ in range(least):
-            low = np.minimum.reduceat(v, starts)
-            at = starts + (low & POSITION).astype(np.int64)
-            gone = low == top  # no k-mer is left
-            where.append(np.where(gone, -1, at))
-            v[at[~gone]] = top
-        where = np.sort(np.stack(where, 1), 1)
+        v &= ~POSITION
+        if long:
+            where = np.concatenate([leasts(v[a : a + m], least) + a for a, m in zip(starts, n, strict=True)]).reshape(-1, least)
+        else:
+            v |= place
+            found = []
+            for _ in range(least):
+                low = np.minimum.reduceat(v, starts)
+                at = starts + (low & POSITION).astype(np.int64)
+                gone = low == top  # no k-mer is left
+                found.append(np.where(gone, -1, at))
+                v[at[~gone]] = top
+            where = np.stack(found, 1)
+        where = np.sort(where, 1)
         h = np.full(len(n), np.uint64(kind * count + c + 1))
         with np.errstate(over="ignore"):
             for j in range(least):
@@ -268,7 +285,7 @@ def open_classes(buckets: DataFrame, parts: DataFrame) -> DataFrame:
 def labelled(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word with its occurrence in its text, number of each text), so that words in common count as often as both have them."""
     counts = np.array([len(w) for w in words], np.int64)
-    return kmers(mix(np.concatenate(words).astype(np.uint64)), counts, 1) if len(words) else (np.zeros(0, np.uint64), counts)
+    return kmers(mix(np.concatenate(words)), counts, 1) if len(words) else (np.zeros(0, np.uint64), counts)
 
 
 def prefixes(tokens: np.ndarray, counts: np.ndarray, df: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -314,7 +331,7 @@ def open_pairs(opened: DataFrame, words: DataFrame, threshold: float) -> DataFra
     def texts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
         for a, b in text_slices(batch.column("w"), 4_000_000):
             part = batch.slice(a, b - a)
-            yield part, *labelled([np.frombuffer(w.as_py(), np.uint32) for w in part.column("w")])
+            yield part, *labelled([np.frombuffer(w.as_py(), np.uint64) for w in part.column("w")])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(1 << RARITY_BITS, np.int64)
@@ -375,7 +392,7 @@ def verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
             cuts = np.unique(np.concatenate([[0], np.flatnonzero(np.diff(np.cumsum(size) // 8_000_000)) + 1, [batch.num_rows]]))
             for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 part = batch.slice(x, y - x)
-                both = [(np.frombuffer(a.as_py(), np.uint32), np.frombuffer(b.as_py(), np.uint32)) for a, b in zip(part.column(2), part.column(3), strict=True)]
+                both = [(np.frombuffer(a.as_py(), np.int64), np.frombuffer(b.as_py(), np.int64)) for a, b in zip(part.column(2), part.column(3), strict=True)]
                 ok = pa.array(similar(both, threshold))
                 yield pa.record_batch([part.column(0), part.column(1)], ["a", "b"]).filter(ok)
 
@@ -459,12 +476,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for a, b in text_slices(texts):
                 words, counts = words_of(texts.slice(a, b - a))
                 keys, ends = class_keys(words, counts), np.cumsum(counts)
-                short, on = words.astype(np.uint32), []
+                on = []
                 for i in np.flatnonzero(passes(keys, sent.value)).tolist():
                     if keys[i] not in seen:
                         seen.add(keys[i])
                         on.append(i)
-                own = [short[ends[i] - counts[i] : ends[i]].tobytes() for i in on]
+                own = [words[ends[i] - counts[i] : ends[i]].tobytes() for i in on]
                 yield pa.record_batch([pa.array([keys[i] for i in on], pa.binary()), pa.array(own, pa.binary())], ["k", "w"])
 
     text = docs.select(F.col(text_col).cast("string").alias("t"))

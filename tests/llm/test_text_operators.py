@@ -427,11 +427,54 @@ def even_edits(rng, length, every, pairs):
     return np.concatenate(out), np.full(2 * pairs, length)
 
 
+@pytest.mark.parametrize("length", [20, 60, 100, 300, 1000])
 @pytest.mark.parametrize("every", [5, 6, 7, 8])  # similarity 0.8, 0.833, 0.857, 0.875
-def test_sketch_recall_down_to_the_threshold(every):
-    words, counts = even_edits(np.random.default_rng(every), 400, every, 500)
-    s = order_minhash.sketches(*order_minhash.kmers(words, counts, order_minhash.SKETCH_K), order_minhash.SKETCHES, order_minhash.SKETCH_LEAST)
-    assert (s[::2] == s[1::2]).any(1).mean() >= 0.99
+def test_sketch_recall_down_to_the_threshold(every, length):
+    words, counts = even_edits(np.random.default_rng(every), length, every, 300)
+    pairs = [(words[2 * k * length : (2 * k + 1) * length], words[(2 * k + 1) * length : (2 * k + 2) * length]) for k in range(300)]
+    assert order_minhash.similar(pairs).all()  # all are links
+    least = order_minhash.SKETCH_LEAST if length > order_minhash.SHORT[1] else order_minhash.SHORT_LEAST
+    s = order_minhash.sketches(*order_minhash.kmers(words, counts, order_minhash.SKETCH_K), order_minhash.SKETCHES, least)
+    assert (s[::2] == s[1::2]).any(1).mean() >= 0.98
+
+
+def test_sketches_of_very_long_texts(monkeypatch):
+    rng = np.random.default_rng(1)
+    grams, n = rng.integers(1 << 62, size=3000).astype(np.uint64), np.array([2500, 500])
+    grams[100:200] = grams[0]  # ties go to the earlier place
+    want = order_minhash.sketches(grams, n, 8, 3)
+    monkeypatch.setattr(order_minhash, "LONG", 64)
+    monkeypatch.setattr(order_minhash, "BLOCK", 2600)
+    assert (order_minhash.sketches(grams, n, 8, 3) == want).all()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the driver's tables aren't here")
+def test_near_groups_equal_all_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, (r.text or "").lower().split()) for r in docs.collect()]
+    number = {}
+    coded = [np.array([number.setdefault(w, len(number)) for w in words], np.int64) for _, words in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if min(len(coded[i]), len(coded[j])) >= 0.8 * max(len(coded[i]), len(coded[j]))]
+    root = list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for (i, j), near in zip(pairs, order_minhash.similar([(coded[i], coded[j]) for i, j in pairs]), strict=True):
+        if near and len(coded[i]) and len(coded[j]):
+            root[top(i)] = top(j)
+    empty = [i for i in range(len(rows)) if not len(coded[i])]
+    for i in empty[1:]:
+        root[top(i)] = top(empty[0])
+    want = {}
+    for i, (d, _) in enumerate(rows):
+        want.setdefault(top(i), set()).add(d)
+    got = {}
+    for r in order_minhash.near_groups(docs).collect():
+        got.setdefault(r.group_id, set()).add(r.doc_id)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
 def test_evenly_spread_edits_are_found(spark):
