@@ -7,7 +7,7 @@ order. Texts that agree on a sketch are candidates; a pair is a link if its edit
 1 - (word edits) / (words of the longer), is at least the threshold. Groups are the connected parts.
 
 Texts with equal words are one class throughout, known by a 128-bit hash of their words, and only classes are
-compared; words are their 64-bit hashes, as long as the text needs. A bucket of n classes gives about 2n candidates at first (each with the least of the bucket and with its
+compared; a pair whose counts of words by hash class rule a link out isn't aligned (see least_edits()). Words are their 64-bit hashes, as long as the text needs. A bucket of n classes gives about 2n candidates at first (each with the least of the bucket and with its
 neighbour). Each class's best candidate is verified, then those of the others that lie in different groups yet.
 Buckets that are still in several groups, as those of a shared template are, go on exactly: two similar texts
 have one of their rarest words in common (see prefixes()), so all pairs that do are verified, and no other can be a link.
@@ -401,6 +401,33 @@ def verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "wa", "wb").mapInArrow(run, "a binary, b binary")
 
 
+def signatures(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """(texts, 256) bytes: how many of each text's words fall into each of 256 hash classes, at most 255."""
+    text = np.repeat(np.arange(len(counts)), counts)
+    return np.minimum(np.bincount(text * 256 + (words >> np.uint64(56)).astype(np.int64), minlength=256 * len(counts)), 255).astype(np.uint8).reshape(-1, 256)
+
+
+def least_edits(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """A lower bound on the word edits of each pair from signatures and lengths: a replaced word changes two classes by one, a dropped one changes one."""
+    return (np.abs(a.astype(np.int16) - b).sum(1, dtype=np.int64) + np.abs(n - m)) // 2
+
+
+def plausible(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b, and other columns) that their signatures and lengths leave possible; whole texts move only for these."""
+    names = pairs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, 256) for c in ("ga", "gb"))
+            n, m = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            ok = least_edits(a, b, n, m) <= np.floor((1 - threshold) * np.maximum(n, m) + 1e-9)
+            yield batch.select(names).filter(pa.array(ok))
+
+    of = lambda c: words.select(F.col("k").alias(c), F.col("g").alias(f"g{c}"), F.col("n").alias(f"n{c}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    return both.select(*names, "ga", "gb", "na", "nb").mapInArrow(run, pairs.schema)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(k, root): the least key of each connected part, by least labels of neighbours and jumps to the label's label."""
     both = written(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))), "links")
@@ -481,12 +508,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     if keys[i] not in seen:
                         seen.add(keys[i])
                         on.append(i)
-                own = [words[ends[i] - counts[i] : ends[i]].tobytes() for i in on]
-                yield pa.record_batch([pa.array([keys[i] for i in on], pa.binary()), pa.array(own, pa.binary())], ["k", "w"])
+                for at in range(0, len(on), 2000):
+                    part = np.array(on[at : at + 2000])
+                    own = [words[ends[i] - counts[i] : ends[i]] for i in part.tolist()]
+                    sums = signatures(np.concatenate(own), counts[part])
+                    yield pa.record_batch([pa.array([keys[i] for i in part.tolist()], pa.binary()), pa.array([w.tobytes() for w in own], pa.binary()), pa.array([g.tobytes() for g in sums], pa.binary())], ["k", "w", "g"])
 
     text = docs.select(F.col(text_col).cast("string").alias("t"))
-    words = text.mapInArrow(run, "k binary, w binary").groupBy("k").agg(F.first("w").alias("w"))
-    words = written(words.join(wanted, "k", "left_semi"), "words")
+    words = text.mapInArrow(run, "k binary, w binary, g binary").groupBy("k").agg(F.first(F.struct("w", "g")).alias("x"))
+    words = words.join(wanted, "k", "left_semi").select("k", "x.w", "x.g", F.expr("octet_length(x.w) DIV 8").alias("n"))
+    words = written(words, "words")
+    found = written(plausible(found, words, threshold), "plausible")
     best = Window.partitionBy("a").orderBy(F.desc("n"), "b")
     ranked = found.withColumn("rank", F.row_number().over(best))
     links = written(verified(ranked.filter("rank = 1"), words, threshold), "links")
@@ -498,7 +530,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links, parts = (links.unionByName(more), components(links.unionByName(more))) if not more.isEmpty() else (links, parts)
     opened = open_classes(buckets, parts)
     if not opened.isEmpty():
-        rest = written(open_pairs(opened, words, threshold).join(found, ["a", "b"], "left_anti"), "rest")
+        rest = written(plausible(open_pairs(opened, words, threshold).join(found, ["a", "b"], "left_anti"), words, threshold), "rest")
         more = written(verified(rest, words, threshold), "links")
         parts = components(links.unionByName(more)) if not more.isEmpty() else parts
 

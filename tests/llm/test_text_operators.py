@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -353,6 +354,20 @@ def test_similar_equals_plain_distance():
     assert got.tolist() == [edits(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9 for a, b in pairs]
 
 
+def test_least_edits_is_a_bound():
+    rng = random.Random(2)
+    pairs = []
+    for _ in range(300):
+        a = [rng.randrange(1 << 64) for _ in range(rng.randint(1, 400))] * rng.choice([1, 1, 3])
+        b = [w if rng.random() < rng.choice([0.5, 0.9]) else rng.randrange(1 << 64) for w in a if rng.random() < 0.9]
+        pairs.append((np.array(a, np.uint64), np.array(b, np.uint64)))
+    for a, b in pairs:
+        n, m = np.array([len(a)]), np.array([len(b)])
+        least = order_minhash.least_edits(order_minhash.signatures(a, n), order_minhash.signatures(b, m), n, m)[0]
+        common = sum((collections.Counter(a.tolist()) & collections.Counter(b.tolist())).values())
+        assert least <= max(len(a), len(b)) - common
+
+
 def test_near_groups(spark):
     rng = random.Random(12)
     vocabulary = [f"{a}{b}" for a in "bcdfgh" for b in ("an", "er", "ion", "ish", "ock", "um")]
