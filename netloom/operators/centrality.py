@@ -103,13 +103,30 @@ def _arcs_with_share(graph: Graph) -> DataFrame:
     return arcs.join(shares, "src").repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def pagerank(graph: Graph, damping: float = 0.85, steps: int = 75, confidence: float = 0.0, semantics: str = "canonical", dangling: bool = False) -> DataFrame:
+def pagerank(graph: Graph, damping: float = 0.85, steps: int = 75, confidence: float = 0.0, semantics: str = "canonical", dangling: bool = False, plan: str | None = None) -> DataFrame:
     """(id, rank) after `steps` steps, or fewer if the ranks' absolute changes add up to at most confidence.
 
     rank = (1 - damping) / n + damping * (sum over arcs of rank / out-degree); semantics="reference" leaves the factor out, so that the mass
     grows. What vertices without arcs hold is dropped, or dealt to all with dangling=True. A confidence of 0 would stop at
-    an exact fixed point only, where more steps change nothing; it isn't tested.
+    an exact fixed point only, where more steps change nothing; it isn't tested. A graph of checked size is iterated as arrays in
+    one task, a larger one (or plan="joins") by a join a step.
     """
+    if plan != "joins" and fits(graph):
+        c = compact(graph, loops=True)
+        factor = damping if semantics == "canonical" else 1.0
+
+        def make() -> pa.RecordBatch:
+            src, out = c.sources(), np.diff(c.start)
+            rank = np.full(c.n, 1.0 / max(c.n, 1))
+            for _ in range(steps if c.n else 0):
+                lost = rank[out == 0].sum() / c.n if dangling else 0.0
+                new = (1 - damping) / c.n + factor * (np.bincount(c.target, (rank / np.maximum(out, 1))[src], c.n) + lost)
+                change, rank = np.abs(new - rank).sum(), new
+                if 0 < confidence and change <= confidence:
+                    break
+            return pa.record_batch([c.ids, pa.array(rank)], ["id", "rank"])
+
+        return in_one_task(graph.vertices.sparkSession, make, f"id {id_type(graph)}, rank double")
     vertices = materialized(graph.vertices)
     n = vertices.count()
     if not n:
@@ -138,11 +155,29 @@ def pagerank(graph: Graph, damping: float = 0.85, steps: int = 75, confidence: f
         arcs.unpersist()
 
 
-def hits(graph: Graph, steps: int = 75, confidence: float = 0.0, authority_weight: float = 0.5, hub_weight: float = 0.5) -> DataFrame:
+def hits(graph: Graph, steps: int = 75, confidence: float = 0.0, authority_weight: float = 0.5, hub_weight: float = 0.5, plan: str | None = None) -> DataFrame:
     """(id, score, hub, authority): both from the step before, each scaled to sum 1; score is the weighted sum of the two.
 
-    A graph without arcs has zeros. Stops early if both measures' absolute changes add up to at most confidence (above 0).
+    A graph without arcs has zeros. Stops early if both measures' absolute changes add up to at most confidence (above 0). A graph of
+    checked size is iterated as arrays in one task, a larger one (or plan="joins") by a join a step.
     """
+    score = (authority_weight * F.col("authority") + hub_weight * F.col("hub")).alias("score")
+    if plan != "joins" and fits(graph):
+        c = compact(graph, loops=True)
+
+        def make() -> pa.RecordBatch:
+            src = c.sources()
+            scaled = lambda x: x / x.sum() if x.sum() else np.zeros(c.n)
+            hub = authority = np.full(c.n, 1.0 / max(c.n, 1))
+            for _ in range(steps):
+                new = scaled(np.bincount(src, authority[c.target], c.n)), scaled(np.bincount(c.target, hub[src], c.n))
+                change = max(np.abs(new[0] - hub).sum(), np.abs(new[1] - authority).sum())
+                hub, authority = new
+                if 0 < confidence and change <= confidence:
+                    break
+            return pa.record_batch([c.ids, pa.array(hub), pa.array(authority)], ["id", "hub", "authority"])
+
+        return in_one_task(graph.vertices.sparkSession, make, f"id {id_type(graph)}, hub double, authority double").select("id", score, "hub", "authority")
     vertices = materialized(graph.vertices)
     n = vertices.count()
     # Each arc carries a hub value ahead and an authority value back: one join and one exchange a step.
@@ -172,7 +207,7 @@ def hits(graph: Graph, steps: int = 75, confidence: float = 0.0, authority_weigh
         state = materialized(state)
     finally:
         both.unpersist()
-    return state.select("id", (authority_weight * F.col("authority") + hub_weight * F.col("hub")).alias("score"), "hub", "authority")
+    return state.select("id", score, "hub", "authority")
 
 
 def hits_both(graph: Graph, steps: int = 75, confidence: float = 0.0, authority_weight: float = 0.5, hub_weight: float = 0.5) -> DataFrame:

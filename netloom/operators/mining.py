@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from netloom.graph import Graph
 from netloom.plans.loop import materialized
 
-from .matrix import fits, in_one_task
+from .matrix import compact, fits, in_one_task
 from .primitives import out_degrees
 
 
@@ -113,11 +113,28 @@ def average_clustering(graph: Graph, semantics: str = "canonical") -> DataFrame:
     return clustering_coefficient(graph, semantics).agg(F.avg("coefficient").alias("average"))
 
 
-def stream_diameter(graph: Graph) -> DataFrame:
+def stream_diameter(graph: Graph, plan: str | None = None) -> DataFrame:
     """One row (rounds): rounds until the greatest degree (in + out if directed) no longer spreads, the last, without change, counted.
 
-    All vertices change at once; arcs work both ways.
+    All vertices change at once; arcs work both ways. A graph of checked size is walked as arrays in one task, a larger one (or
+    plan="joins") by a join a round.
     """
+    if plan != "joins" and fits(graph):
+        c = compact(graph, loops=True)
+
+        def make() -> pa.RecordBatch:
+            u, v = c.sources(), c.target
+            loops = np.bincount(u[u == v], minlength=c.n)
+            r = np.diff(c.start) + (np.bincount(v, minlength=c.n) if c.directed else loops)
+            rounds, changed = 0, True
+            while changed:
+                new = r.copy()
+                np.maximum.at(new, v, r[u])
+                np.maximum.at(new, u, r[v])
+                rounds, changed, r = rounds + 1, bool((new != r).any()), new
+            return pa.record_batch([pa.array([rounds], pa.int64())], ["rounds"])
+
+        return in_one_task(graph.vertices.sparkSession, make, "rounds long")
     arcs = graph.undirected().arcs().select("src", "dst").persist(StorageLevel.MEMORY_AND_DISK)
     ends = graph.edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("r"))
     state = materialized(graph.vertices.join(ends, "id", "left").select("id", F.coalesce("r", F.lit(0)).alias("r")))

@@ -110,26 +110,38 @@ price AS (SELECT auction, bid AS price FROM best WHERE place = 5)"""
     found = {
         "degree": f"WITH {SUPP}, {UD} SELECT id, n AS degree FROM d",
         "degree_directed": f"WITH {USER}, {DD} SELECT id, i AS in_degree, o AS out_degree FROM d",
+        "ordered_report": f"WITH {SUPP}, {UD} SELECT id, n AS degree FROM d",
+        "literal_graph": "SELECT id, count(*) AS degree FROM (SELECT unnest([a, b]) AS id FROM (VALUES ('A', 'B'), ('A', 'C'), ('B', 'C'), ('B', 'D'), ('D', 'E'), ('D', 'F'), ('D', 'G'), ('E', 'F'), ('F', 'G')) x(a, b)) GROUP BY id",
+        "read_konect": f"WITH {SUPP} SELECT least(src::VARCHAR, dst::VARCHAR) AS src, greatest(src::VARCHAR, dst::VARCHAR) AS dst FROM e",
+        "read_csv": f"WITH {SUPP} SELECT least(src::VARCHAR, dst::VARCHAR) AS src, greatest(src::VARCHAR, dst::VARCHAR) AS dst FROM e",
+        "read_konect_directed": f"SELECT src::VARCHAR AS src, dst::VARCHAR AS dst, weight FROM ({FLOW})",
+        "read_snap": f"SELECT src::VARCHAR AS src, dst::VARCHAR AS dst FROM ({NEXT})",
+        "stream_diameter_in_order": f"""WITH RECURSIVE {SUPP}, nr AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM v),
+  el AS (SELECT list(u.k ORDER BY src * 1000000 + dst) AS u, list(w.k ORDER BY src * 1000000 + dst) AS w, count(*) AS m FROM e JOIN nr u ON u.id = src JOIN nr w ON w.id = dst),
+  s AS (SELECT 0 AS step, list((SELECT count(*) FROM e WHERE src = id) + (SELECT count(*) FROM e WHERE dst = id) ORDER BY k) AS r, true AS changed FROM nr
+    UNION ALL SELECT step + 1, list_transform(r, lambda y, i: CASE WHEN i = p OR i = q THEN greatest(r[p], r[q]) ELSE y END), r[p] <> r[q] OR (changed AND step % m > 0)
+    FROM (SELECT s.*, m, u[step % m + 1] AS p, w[step % m + 1] AS q FROM s, el) WHERE changed OR step % m > 0)
+  SELECT max(step) // any_value(m) AS rounds FROM s, el""",
         "degree_sample": f"WITH {SUPP}, {UD} SELECT id, n AS degree FROM d ORDER BY md5('1:' || id), id LIMIT 30",
         "shapley_degree": f"WITH {SUPP}, {UD} SELECT id, {r('1.0 / (1 + n) + ' + und('1.0 / (1 + w.n)'), 'shapley')} FROM d",
         "shapley_degree_directed": f"WITH {USER}, {DD} SELECT id, {r('1.0 / (1 + i) + ' + succ('1.0 / (1 + w.i)'), 'in_shapley')}, {r('1.0 / (1 + o) + ' + succ('1.0 / (1 + w.o)'), 'out_shapley')} FROM d",
         "shapley_threshold": f"WITH {SUPP}, {UD} SELECT id, {r('least(1.0, 2.0 / (1 + n)) + ' + und('(' + share('w.n') + ') / (1 + w.n)'), 'shapley')} FROM d",
         "shapley_threshold_directed": f"WITH {DAG}, {DD} SELECT id, {r('least(1.0, 2.0 / (1 + i)) + ' + pred('(' + share('w.i') + ') / (1 + w.i)'), 'in_shapley')}, {r('least(1.0, 2.0 / (1 + o)) + ' + succ('(' + share('w.o') + ') / (1 + w.o)'), 'out_shapley')} FROM d",
         "shapley_threshold_reference": f"WITH {SUPP}, {UD} SELECT id, {r('least(1.0, 2.0 / (1 + n)) + (' + share('n') + ') * ' + und('1.0 / (1 + w.n)'), 'shapley')} FROM d",
-        "pagerank": f"WITH RECURSIVE {USER}, {pagerank(10)} SELECT id, {r('rank', 'rank')} FROM pr WHERE i = 10",
-        "pagerank_reference": f"WITH RECURSIVE {USER}, {pagerank(10, '1.0')} SELECT id, {r('rank', 'rank')} FROM pr WHERE i = 10",
-        "pagerank_dangling": f"WITH RECURSIVE {DAG}, {pagerank(5, dangling=True)} SELECT id, {r('rank', 'rank')} FROM pr WHERE i = 5",
+        "pagerank": f"WITH RECURSIVE {USER}, {pagerank(75)} SELECT id, {r('rank', 'rank')} FROM pr WHERE i = 75",
+        "pagerank_reference": f"WITH RECURSIVE {USER}, {pagerank(75, '1.0')} SELECT id, {r('rank', 'rank')} FROM pr WHERE i = 75",
+        "pagerank_dangling": f"WITH RECURSIVE {DAG}, {pagerank(75, dangling=True)} SELECT id, {r('rank', 'rank')} FROM pr WHERE i = 75",
         "pagerank_converged": f"""WITH RECURSIVE {USER}, o AS (SELECT src, count(*) AS o FROM e GROUP BY src), nn AS (SELECT count(*)::DOUBLE AS n FROM v),
   pr AS (SELECT 0 AS i, id, 1.0 / n AS rank, 1.0::DOUBLE AS change FROM v, nn
     UNION ALL SELECT i, id, rank, sum(abs(rank - old)) OVER () FROM (
       SELECT i + 1 AS i, id, 0.15 / n + 0.85 * sum(x) AS rank, sum(old) AS old FROM (
-        SELECT x.i AS i, e.dst AS id, x.rank / o.o AS x, 0.0 AS old FROM pr x JOIN e ON e.src = x.id JOIN o ON o.src = x.id WHERE x.i < 30 AND x.change > 1e-6
-        UNION ALL SELECT i, id, 0, rank FROM pr WHERE i < 30 AND change > 1e-6), nn GROUP BY i, id, n))
+        SELECT x.i AS i, e.dst AS id, x.rank / o.o AS x, 0.0 AS old FROM pr x JOIN e ON e.src = x.id JOIN o ON o.src = x.id WHERE x.i < 75 AND x.change > 1e-6
+        UNION ALL SELECT i, id, 0, rank FROM pr WHERE i < 75 AND change > 1e-6), nn GROUP BY i, id, n))
   SELECT id, {r('rank', 'rank')} FROM pr WHERE i = (SELECT max(i) FROM pr)""",
-        "hits": f"WITH RECURSIVE {USER}, {hits(10, 'e')} SELECT id, {r('0.5 * hub + 0.5 * authority', 'score')}, {r('hub', 'hub')}, {r('authority', 'authority')} FROM ht WHERE i = 10",
-        "hits_both": f"WITH RECURSIVE {SUPP}, {hits(10, 'a')} SELECT id, {r('0.5 * hub + 0.5 * authority', 'score')} FROM ht WHERE i = 10",
-        "hits_hubbiness": f"WITH RECURSIVE {USER}, {hits(10, 'e')} SELECT id, {r('hub', 'hub')} FROM ht WHERE i = 10",
-        "hits_authority": f"WITH RECURSIVE {USER}, {hits(10, 'e')} SELECT id, {r('authority', 'authority')} FROM ht WHERE i = 10",
+        "hits": f"WITH RECURSIVE {USER}, {hits(75, 'e')} SELECT id, {r('0.5 * hub + 0.5 * authority', 'score')}, {r('hub', 'hub')}, {r('authority', 'authority')} FROM ht WHERE i = 75",
+        "hits_both": f"WITH RECURSIVE {SUPP}, {hits(75, 'a')} SELECT id, {r('0.5 * hub + 0.5 * authority', 'score')} FROM ht WHERE i = 75",
+        "hits_hubbiness": f"WITH RECURSIVE {USER}, {hits(75, 'e')} SELECT id, {r('hub', 'hub')} FROM ht WHERE i = 75",
+        "hits_authority": f"WITH RECURSIVE {USER}, {hits(75, 'e')} SELECT id, {r('authority', 'authority')} FROM ht WHERE i = 75",
         "vote_rank": f"WITH RECURSIVE {SUPP}, {vote(10)} SELECT id, rank FROM vr WHERE i = 10 AND rank IS NOT NULL",
         "vote_rank_all": f"WITH RECURSIVE {USER}, {vote('(SELECT count(*) FROM v)')} SELECT id, rank FROM vr WHERE i = (SELECT count(*) FROM v)",
         "closeness": f"WITH RECURSIVE {SUPP}, {bfs} SELECT s AS id, CAST(sum(d) AS BIGINT) AS closeness FROM q GROUP BY s",

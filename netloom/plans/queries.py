@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from netloom.functions import cluster_index, exponential_decay, inverse, power_law
 from netloom.operators import auctions, bandits, centrality, community, components, mining, paths, primitives
+from netloom.plans.loop import shared_path
+from netloom.sources import edge_lists
 from netloom.sources import tables as t
 from netloom.streaming.degrees import windowed_degrees
 
@@ -16,7 +18,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 #: Items for sale in each auction.
 ITEMS = 4
-STEPS = 10
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -103,6 +104,40 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
     return windowed_degrees(events, "1 day").select("start", "id", "in_degree", "out_degree")
 
 
+def _text(df: DataFrame, comment: str, mark: str) -> str:
+    """A text file of df's rows, columns with mark between, below a comment."""
+    path = shared_path(df.sparkSession, "edge-list")
+    lines = df.select(F.concat_ws(mark, *[F.col(c).cast("string") for c in df.columns]).alias("value"))
+    df.sparkSession.createDataFrame([(comment,)], "value string").unionByName(lines).write.text(path)
+    return path
+
+
+def _konect(spark: SparkSession, d: str) -> DataFrame:
+    path = _text(t.supp_hot(spark, d).edges.select("src", "dst"), "% sym unweighted", " ")
+    return edge_lists.read_konect(spark, path, directed=False).edges.select("src", "dst")
+
+
+def _konect_directed(spark: SparkSession, d: str) -> DataFrame:
+    path = _text(t.nation_flow(spark, d).edges.select("src", "dst", "weight"), "% asym posweighted", " ")
+    return rounded(edge_lists.read_konect(spark, path, directed=True).edges.select("src", "dst", "weight"))
+
+
+def _snap(spark: SparkSession, d: str) -> DataFrame:
+    path = _text(t.user_next(spark, d).edges.select("src", "dst"), "# FromNodeId\tToNodeId", "\t")
+    return edge_lists.read_snap(spark, path).edges.select("src", "dst")
+
+
+def _csv(spark: SparkSession, d: str) -> DataFrame:
+    path = shared_path(spark, "edge-list")
+    edge_lists.write_csv(t.supp_hot(spark, d).edges.select(F.col("src").alias("id_1"), F.col("dst").alias("id_2")), path)
+    return edge_lists.read_csv(spark, path).edges.select("src", "dst")
+
+
+def _literal(spark: SparkSession, d: str) -> DataFrame:
+    demo = edge_lists.literal_graph(spark, [("A", "B"), ("A", "C"), ("B", "C"), ("B", "D"), ("D", "E"), ("D", "F"), ("D", "G"), ("E", "F"), ("F", "G")], directed=False)
+    return edge_lists.ordered(centrality.degree(demo), "degree")
+
+
 def queries() -> dict[str, Query]:
     gn = community.girvan_newman
     found: dict[str, Query] = {
@@ -114,14 +149,14 @@ def queries() -> dict[str, Query]:
         "shapley_threshold": of_graph(t.supp_hot, centrality.shapley_threshold),
         "shapley_threshold_directed": of_graph(t.part_dag, centrality.shapley_threshold),
         "shapley_threshold_reference": of_graph(t.supp_hot, lambda g: centrality.shapley_threshold(g, semantics="reference")),
-        "pagerank": of_graph(t.user_next, lambda g: centrality.pagerank(g, steps=STEPS)),
-        "pagerank_reference": of_graph(t.user_next, lambda g: centrality.pagerank(g, steps=STEPS, semantics="reference")),
-        "pagerank_dangling": of_graph(t.part_dag, lambda g: centrality.pagerank(g, steps=5, dangling=True)),
-        "pagerank_converged": of_graph(t.user_next, lambda g: centrality.pagerank(g, steps=30, confidence=1e-6)),
-        "hits": of_graph(t.user_next, lambda g: centrality.hits(g, steps=STEPS)),
-        "hits_both": of_graph(t.supp_hot, lambda g: centrality.hits_both(g, steps=STEPS)),
-        "hits_hubbiness": of_graph(t.user_next, lambda g: centrality.hits_hubbiness(g, steps=STEPS)),
-        "hits_authority": of_graph(t.user_next, lambda g: centrality.hits_authority(g, steps=STEPS)),
+        "pagerank": of_graph(t.user_next, lambda g: centrality.pagerank(g)),
+        "pagerank_reference": of_graph(t.user_next, lambda g: centrality.pagerank(g, semantics="reference")),
+        "pagerank_dangling": of_graph(t.part_dag, lambda g: centrality.pagerank(g, dangling=True)),
+        "pagerank_converged": of_graph(t.user_next, lambda g: centrality.pagerank(g, confidence=1e-6)),
+        "hits": of_graph(t.user_next, centrality.hits),
+        "hits_both": of_graph(t.supp_hot, centrality.hits_both),
+        "hits_hubbiness": of_graph(t.user_next, centrality.hits_hubbiness),
+        "hits_authority": of_graph(t.user_next, centrality.hits_authority),
         "vote_rank": of_graph(t.supp_hot, lambda g: centrality.vote_rank(g, top_k=10)),
         "vote_rank_all": of_graph(t.user_next, centrality.vote_rank),
         "closeness": of_graph(t.supp_hot, paths.closeness),
@@ -174,6 +209,7 @@ def queries() -> dict[str, Query]:
         "girvan_newman_sampled": of_graph(t.supp_hot, lambda g: gn(g, sample_size=20, seed=1)),
         "girvan_newman_sampled_heuristic": of_graph(t.supp_hot, lambda g: gn(g, heuristic=True, sample_size=20, seed=1)),
         "girvan_newman_stratified": of_graph(t.supp_hot, lambda g: gn(g, sample_size=5, strata=4, seed=1)),
+        "girvan_newman_stratified_heuristic": of_graph(t.supp_hot, lambda g: gn(g, heuristic=True, sample_size=5, strata=4, seed=1)),
         "spectral": of_graph(t.supp_hot, community.spectral),
         "spectral_multi_cluster": of_graph(t.supp_hot, community.spectral_multi_cluster),
         "spectral_multi_cluster_v2": of_graph(t.supp_hot, community.spectral_multi_cluster_v2),
@@ -187,6 +223,12 @@ def queries() -> dict[str, Query]:
         "bandit_curves": lambda spark, d: rounded(bandits.reference_curves(spark, 25, 5000)),
         "decay_functions": _functions,
         "streaming_degrees": _stream,
+        "read_konect": _konect,
+        "read_konect_directed": _konect_directed,
+        "read_snap": _snap,
+        "read_csv": _csv,
+        "literal_graph": _literal,
+        "ordered_report": of_graph(t.supp_hot, lambda g: edge_lists.ordered(centrality.degree(g), "degree")),
         "graph_user_next": lambda spark, d: t.user_next(spark, d).edges.select("src", "dst"),
         "graph_nation_flow": lambda spark, d: rounded(t.nation_flow(spark, d).edges),
         "graph_cust_supp": lambda spark, d: t.cust_supp(spark, d).edges.select("src", "dst"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from netloom.functions import inverse
 from netloom.graph import Graph
 from netloom.operators import auctions, bandits, centrality, community, components, mining, paths, primitives
-from netloom.operators.matrix import compact
+from netloom.operators.matrix import compact, least_vectors
 from netloom.sources import edge_lists
 from netloom.streaming.degrees import windowed_degrees
 
@@ -156,6 +156,23 @@ def test_pagerank_options(spark):
     assert values(centrality.pagerank(dag, steps=500, confidence=1e-12)) == pytest.approx(lost)
 
 
+def test_both_plans_of_iterations(spark, rhesus):
+    dag = edge_lists.literal_graph(spark, [(1, 2), (2, 3), (1, 3), (3, 3), (5, 4)], True, [9])
+    for g in (rhesus, dag):
+        for more in ({"steps": 6}, {"steps": 4, "dangling": True}, {"steps": 8, "confidence": 2e-2}):
+            assert values(centrality.pagerank(g, **more)) == pytest.approx(values(centrality.pagerank(g, plan="joins", **more)), abs=1e-12)
+        for more in ({"steps": 6}, {"steps": 8, "confidence": 2e-2}):
+            a, b = ({r.id: (r.hub, r.authority) for r in centrality.hits(g, plan=p, **more).collect()} for p in (None, "joins"))
+            assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-12) for k in a)
+        assert mining.stream_diameter(g).first() == mining.stream_diameter(g, plan="joins").first()
+
+
+def test_directed_spectrum_by_products(rhesus):
+    c = compact(rhesus)
+    whole, products = least_vectors(c, 3), least_vectors(c, 3, dense=0)
+    assert products == pytest.approx(whole, abs=1e-6)
+
+
 def test_vote_rank_order(karate):
     rank = values(centrality.vote_rank(karate))
     assert sorted(rank.values()) == list(range(1, 35))
@@ -257,10 +274,10 @@ def test_spectral(karate, spark):
     from netloom.operators import matrix
 
     c = compact(karate)
-    dense = matrix.least_vectors(c, 2)
+    dense = least_vectors(c, 2)
     limit, matrix.DENSE_ROWS = matrix.DENSE_ROWS, 5
     try:
-        assert np.allclose(matrix.least_vectors(c, 2), dense, atol=1e-6)
+        assert np.allclose(least_vectors(c, 2), dense, atol=1e-6)
     finally:
         matrix.DENSE_ROWS = limit
     lap = np.zeros((34, 34))
