@@ -1,13 +1,14 @@
 """Personal data by patterns and by a linear-chain conditional random field over word shapes.
 
 The patterns give the base spans. The field sees each word as a few shape features, with those of its
-neighbours, and labels words as part of an e-mail address, IP address, card or phone number that no
-pattern describes ("ann at mail dot example dot org", "(030) 555-0199"). It is trained from a small
-labelled table and decoded by Viterbi, in numpy, for all words of a slice at once.
+neighbours, and labels words as the first or a further word of an e-mail address, IP address, card or phone number
+that no pattern describes ("ann at mail dot example dot org", "(030) 555-0199"); its labels alone decide what is added. It is
+trained from a small labelled table and decoded by Viterbi, in numpy, for all words of a slice at once.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import random
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 from .common import coded_words, ship, text_column, text_slices
 
 KINDS = ("email", "ip", "card", "phone")
-LABELS = ("other", *KINDS)
+#: A find's first word, its further words, and all other words.
+LABELS = ("other", *(f"{mark}-{kind}" for kind in KINDS for mark in ("begin", "inside")))
 
 # The base patterns. Each is anchored so that a run of its characters is tried once.
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -77,7 +79,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 # Word shapes ------------------------------------------------------------------------------------
 
-EDGE = re.compile(r"^[\"'<{|«„“]+|[\"'>},;:!?|»“”.]+$")
+LEAD, TAIL = "\"'<{|«„“", "\"'>},;:!?|»“”."
 NUMBER_RUN = re.compile("[0-9]+")
 AT = {"at", "(at)", "[at]", "{at}", "<at>", "_at_"}
 DOT = {"dot", "(dot)", "[dot]", "{dot}", "punto", "punkt", "point"}
@@ -91,8 +93,8 @@ PLAIN = ("kind=word", "cue=none")
 
 
 def features(word: str) -> tuple[str, ...]:
-    """Shape, with digit runs by length; a coarser class; a cue if the word is one."""
-    w = EDGE.sub("", word)
+    """Shape, with digit runs by length; a coarser class; a cue if the word is one. The whole word counts, however long; all is linear in it."""
+    w = word.lstrip(LEAD).rstrip(TAIL)
     low = w.lower()
     if low in AT:
         return ("kind=at", "cue=at")
@@ -109,14 +111,15 @@ def features(word: str) -> tuple[str, ...]:
     n = sum(map(len, NUMBER_RUN.findall(w)))
     pure = all(c in "0123456789().-+ /" for c in w)
     size = "1" if n == 1 else "2-4" if n <= 4 else "5-6" if n <= 6 else "7-12" if n <= 12 else "13-19" if n <= 19 else "20+"
-    return ("kind=number" if pure else "kind=mixed", f"shape={shape[:24] if pure else 'mixed'}", f"size={pure}{size}")
+    more = (f"sum={luhn(digits_of(w))}",) if 13 <= n <= 19 and w.isascii() else ()
+    return ("kind=number" if pure else "kind=mixed", f"shape={shape[:24] if pure else 'mixed'}", f"size={pure}{size}", *more)
 
 
 NONE = ("kind=edge",)
 
 
 def labelled_table(seed: int = 11, copies: int = 14) -> list[tuple[list[str], list[str]]]:
-    """The small training table: (words, labels), made by rule from sentence patterns."""
+    """A small labelled table: (words, labels), made by rule from sentence patterns. Another seed gives a table to hold a field against."""
     rng = random.Random(seed)
     syllables = "an er th on re in es ou le de que ment ung keit ción la os ra st ble en ver".split()
     plain = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
@@ -132,10 +135,22 @@ def labelled_table(seed: int = 11, copies: int = 14) -> list[tuple[list[str], li
     def phone() -> list[str]:
         return rng.choice([[f"({d(3)})", f"{d(3)}-{d(4)}"], [f"{d(3)}-{d(3)}-{d(4)}"], [f"{d(3)}.{d(3)}.{d(4)}"], ["+" + d(1), f"({d(3)})", f"{d(3)}-{d(4)}"], ["+" + d(2), d(3), d(3), d(4)], [d(3), d(3), d(4)], [f"(0{d(2)})", d(3) + "-" + d(4)], ["00" + d(2), d(3), d(7)], [f"({d(3)}){d(3)}-{d(4)}"]])
 
-    card = lambda: rng.choice([[d(4), d(4), d(4), d(4)], [d(16)], [f"{d(4)}-{d(4)}-{d(4)}-{d(4)}"], [d(4), d(6), d(5)]])
+    def digits(valid: bool) -> str:
+        while True:
+            x = d(rng.choice([15, 16, 16, 16, 19]))
+            if luhn(x) == valid:
+                return x
+
+    def grouped(x: str) -> list[str]:
+        mark = rng.choice(["", "-", ".", "/"])
+        return [mark.join(x[k : k + 4] for k in range(0, len(x), 4))]
+
+    card = lambda: grouped(digits(True))
     ip = lambda: [".".join(str(rng.randint(0, 255)) for _ in range(4))]
     makers = {"email": (email, ["mail", "email", "write", "contact"]), "phone": (phone, ["call", "tel", "phone", "mobile", "fax"]), "card": (card, ["card", "visa", "credit"]), "ip": (ip, ["host", "server", "ip"])}
     harmless = [
+        lambda: [plain(), "at", plain(), rng.choice(["es", "de", "fr", "net"]), plain()], lambda: [plain(), "at", rng.choice(["es", "de", "eu"]), plain()], lambda: [plain(), "at", plain(), plain(), rng.choice(["es", "de"]), plain()],
+        lambda: grouped(digits(False)), lambda: grouped(digits(False)), lambda: [d(4), d(4), d(4), d(4)], lambda: [rng.choice(sorted(ENDS | {"at", "At", "dot", "point", "punto"}))] * rng.randint(2, 14), lambda: [rng.choice(["de", "at", "At", "es"])] * rng.randint(2, 14),
         lambda: [d(1)], lambda: [d(4)], lambda: [d(2) + "%"], lambda: ["$" + d(2) + "." + d(2)], lambda: [d(1) + "." + d(1)], lambda: ["v" + d(1) + "." + d(1) + "." + d(1)], lambda: [f"20{d(2)}-0{rng.randint(1, 9)}-1{d(1)}"], lambda: [f"1{d(1)}:{rng.randint(10, 59)}"], lambda: ["token", "=", '"' + d(3) + "ab" + d(4) + "f" + d(6) + '"'],
         lambda: ["password=" + d(2) + "e" + d(3) + "b" + d(2)], lambda: [d(3) + "," + d(3)], lambda: ["(" + d(1) + ")"], lambda: ["Licensed", "under", "CC", "BY-NC", d(1) + "." + d(1)], lambda: [d(3)], lambda: [d(3), plain(), d(3)], lambda: ["#" + d(5)], lambda: [d(5)], lambda: ["(" + d(4) + ")"], lambda: ["http://" + plain() + "." + "com/" + d(2)], lambda: [plain(), "at", plain()],
         lambda: ["at", "the"], lambda: ["dot"], lambda: [d(2), d(2)], lambda: [d(6)], lambda: [d(20)], lambda: ["|"], lambda: [plain() + "/" + plain()], lambda: ["&&&"], lambda: [plain() + "!!"], lambda: ["©", "20" + d(2)], lambda: ["point", plain()], lambda: [d(8)], lambda: ["{" + plain() + "}"],
@@ -146,10 +161,17 @@ def labelled_table(seed: int = 11, copies: int = 14) -> list[tuple[list[str], li
             before, after = [plain() for _ in range(rng.randint(0, 4))], [plain() for _ in range(rng.randint(0, 4))]
             if rng.random() < 0.5:
                 before.append(rng.choice(cues) + rng.choice(["", ":"]))
-            found = make()
-            if rng.random() < 0.4:
-                found = [*found[:-1], found[-1] + rng.choice([".", ",", ";"])]
-            out.append((before + found + after, ["other"] * len(before) + [kind] * len(found) + ["other"] * len(after)))
+            words, labels = before[:], ["other"] * len(before)
+            for more in range(rng.choice([1, 1, 1, 2, 3])):  # finds may stand side by side
+                if more and rng.random() < 0.3:
+                    words.append(rng.choice(["and", "or", "y", "und", "et", "|"]))
+                    labels.append("other")
+                found = make()
+                if rng.random() < 0.4:
+                    found = [*found[:-1], found[-1] + rng.choice([".", ",", ";"])]
+                words += found
+                labels += [f"begin-{kind}"] + [f"inside-{kind}"] * (len(found) - 1)
+            out.append((words + after, labels + ["other"] * len(after)))
     for make in harmless * copies:
         words = [plain() for _ in range(rng.randint(1, 4))] + make() + [plain() + rng.choice(["", ".", ","]) for _ in range(rng.randint(1, 4))]
         out.append((words, ["other"] * len(words)))
@@ -210,26 +232,25 @@ def train_field(rows: list[tuple[list[str], list[str]]], steps: int = 200, l2: f
     for t in range(1, steps + 1):
         score = np.zeros((n, most, m))
         score[mask] = sum(x @ p for x, p in zip(flat, params, strict=False))
-        change = params[3]
-        ahead, back = np.zeros((n, most, m)), np.zeros((n, most, m))
-        ahead[:, 0] = score[:, 0]
+        change = np.exp(params[3])
+        here = np.exp(score - score.max(2, keepdims=True))
+        ahead, back = np.zeros((n, most, m)), np.ones((n, most, m))  # each scaled to sum 1, which no ratio below notices
+        ahead[:, 0] = here[:, 0] / here[:, 0].sum(1, keepdims=True)
         for k in range(1, most):
-            z = ahead[:, k - 1, :, None] + change
-            top = z.max(1)
-            ahead[:, k] = np.where(mask[:, k, None], top + np.log(np.exp(z - top[:, None]).sum(1)) + score[:, k], ahead[:, k - 1])
+            z = (ahead[:, k - 1] @ change) * here[:, k]
+            ahead[:, k] = np.where(mask[:, k, None], z / z.sum(1, keepdims=True), ahead[:, k - 1])
         for k in range(most - 2, -1, -1):
-            z = change[None] + (score[:, k + 1] + back[:, k + 1])[:, None, :]
-            top = z.max(2)
-            back[:, k] = np.where(mask[:, k + 1, None], top + np.log(np.exp(z - top[..., None]).sum(2)), 0)
-        last = ahead[:, -1]
-        total = last.max(1) + np.log(np.exp(last - last.max(1)[:, None]).sum(1))
-        one = np.exp(ahead + back - total[:, None, None]) * mask[..., None]
+            z = (here[:, k + 1] * back[:, k + 1]) @ change.T
+            back[:, k] = np.where(mask[:, k + 1, None], z / z.sum(1, keepdims=True), 1)
+        one = ahead * back
+        one *= mask[..., None] / one.sum(2, keepdims=True)
         two = np.zeros((m, m))
         for k in range(1, most):
-            p = ahead[:, k - 1, :, None] + change + (score[:, k] + back[:, k])[:, None, :] - total[:, None, None]
-            two += (np.exp(p) * mask[:, k, None, None]).sum(0)
+            after = here[:, k] * back[:, k]
+            total = ((ahead[:, k - 1] @ change) * after).sum(1)
+            two += change * ((ahead[:, k - 1] * (mask[:, k] / total)[:, None]).T @ after)
         miss = (one - target * mask[..., None])[mask]
-        grads = [x.T @ miss / n + l2 * p for x, p in zip(flat, params, strict=False)] + [(two - pairs) / n + l2 * change]
+        grads = [x.T @ miss / n + l2 * p for x, p in zip(flat, params, strict=False)] + [(two - pairs) / n + l2 * params[3]]
         for p, g, (a, b) in zip(params, grads, state, strict=True):
             a += 0.1 * (g - a)
             b += 0.01 * (g * g - b)
@@ -295,7 +316,7 @@ class Decoder:
         out = np.full(len(words), self.known[PLAIN], np.int64)
         rest = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
         for k, w in zip(rest.tolist(), words.take(pa.array(rest)).to_pylist(), strict=True):
-            f = features(w[:200])
+            f = features(w)
             c = self.known.get(f)
             if c is None:
                 c = self.known[f] = len(self.kinds)
@@ -331,77 +352,43 @@ class Decoder:
         return out
 
 
-#: name at host dot end, each mark spelled out, in brackets or as itself
-SPELLED = re.compile(r"[\w.+-]+(?:\s+at\s+|\s*[\[({<_]at[\])}>_]\s*|\s*@\s*)[\w-]+(?:(?:\s+(?:dot|point|punto|punkt)\s+|\s*[\[({](?:dot|point|punto|punkt)[\])}]\s*|\.)[\w-]+)+", re.I)
-PLAUSIBLE = {
-    "email": lambda s: bool(SPELLED.fullmatch(s) or (s.count("@") == 1 and DOMAIN.search(s.partition("@")[2]) and s.partition("@")[0])),
-    "ip": lambda s: bool(re.fullmatch(r"\D{0,2}[0-9]{1,3}(\D{1,3}[0-9]{1,3}){3}\D{0,2}", s)),
-    "card": lambda s: 13 <= len(d := digits_of(s)) <= 19 and luhn(d),
-    "phone": lambda s: 7 <= len(digits_of(s)) <= 15,
-}
-
-
-#: Characters of a piece of a run: more than a spelled-out address has.
-PIECE = 400
-
-
 def bare(text: str, start: int, end: int) -> tuple[int, int]:
     """The span without marks at its ends."""
     said = text[start:end]
-    lead = re.match(r"[\s\"'<{|«„“,;:]*", said).end()
-    tail = len(said) - len(re.sub(r"[\s\"'>},;:!?|»“”.]+$", "", said))
-    return start + lead, end - tail
-
-
-def pieces(text: str, words: list[tuple[int, int]], kind: str) -> list[tuple[int, int]]:
-    """The plausible spans from word ends to word ends that cover most words; of these as many as can be, of like length."""
-    digits = {"phone": 15, "card": 19, "ip": 12}.get(kind)
-    best: list[tuple] = [(0, 0, 0, 0, None)] * (len(words) + 1)  # words covered, pieces, -squares; words to go on after, span
-    for k in range(len(words) - 1, -1, -1):
-        best[k] = (*best[k + 1][:3], k + 1, None)
-        for z in range(k, len(words)):
-            if words[z][1] - words[k][0] > PIECE or (digits and len(digits_of(text[words[k][0] : words[z][1]])) > digits):
-                break
-            start, end = bare(text, words[k][0], words[z][1])
-            if start < end and PLAUSIBLE[kind](text[start:end]):
-                n, after = z - k + 1, best[z + 1]
-                best[k] = max(best[k], (after[0] + n, after[1] + 1, after[2] - n * n, z + 1, (start, end)), key=lambda x: x[:3])
-    out, k = [], 0
-    while k < len(words):
-        if best[k][4]:
-            out.append(best[k][4])
-        k = best[k][3]
-    return out
+    start += len(said) - len(said.lstrip(LEAD + ",;: \t\n\x0b\x0c\r"))
+    return start, max(start, end - (len(said) - len(said.rstrip(TAIL + " \t\n\x0b\x0c\r"))))
 
 
 def added_spans(text: str, labels: np.ndarray, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Spans of runs of equal labels, without marks at their ends and without words that touch a base span.
-
-    A run that isn't plausible as a whole, as several finds side by side, is split at word ends.
+    """Spans of the field's finds, without marks at their ends. A find goes from a begin label over the inside labels of its kind; an inside
+    label after another kind begins a find too. Words that touch a base span are taken out, and what is left on either side is a span.
     """
     where = [m.span() for m in TOKEN.finditer(text)]
-    out, k = [], 0
-    while k < len(labels):
-        if not labels[k]:
-            k += 1
-            continue
-        z = k
-        while z + 1 < len(labels) and labels[z + 1] == labels[k]:
-            z += 1
-        kind = LABELS[labels[k]]
-        free: list[list[tuple[int, int]]] = [[]]
-        whole = bare(text, where[k][0], where[z][1])
-        near = [x for x in base if x[1] < whole[1] and x[2] > whole[0]]
-        for word in where[k : z + 1]:
-            if all(e <= word[0] or s >= word[1] for _, s, e in near):
-                free[-1].append(word)
-            elif free[-1]:
-                free.append([])
-        for words in free:
-            start, end = bare(text, words[0][0], words[-1][1]) if words else (0, 0)
+    taken, b = np.zeros(len(where), bool), sorted(base, key=lambda x: x[1])
+    for _, start, end in b:
+        k = bisect.bisect_right(where, (start, len(text) + 1)) - 1
+        for j in range(max(k, 0), len(where)):
+            if where[j][0] >= end:
+                break
+            taken[j] |= where[j][1] > start
+    out: list[tuple[str, int, int]] = []
+    last, run = 0, []
+
+    def close() -> None:
+        if run:
+            start, end = bare(text, run[0][0], run[-1][1])
             if start < end:
-                out += [(kind, x, y) for x, y in ([(start, end)] if PLAUSIBLE[kind](text[start:end]) else pieces(text, words, kind))]
-        k = z + 1
+                out.append((KINDS[(last - 1) // 2], start, end))
+            run.clear()
+
+    for k in np.flatnonzero(labels).tolist():
+        y = int(labels[k])
+        if not run or y % 2 or (y - 1) // 2 != (last - 1) // 2 or run[-1] != where[k - 1]:
+            close()
+        last = y
+        if not taken[k]:
+            run.append(where[k])
+    close()
     return out
 
 

@@ -217,13 +217,13 @@ def test_viterbi_is_exact():
     at = 0
     for ws in words:
         kinds = [personal_data.NONE, *map(personal_data.features, ws), personal_data.NONE]
-        weight = lambda w, fs: sum((w[field.index[f]] for f in fs if f in field.index), np.zeros(5))
+        weight = lambda w, fs: sum((w[field.index[f]] for f in fs if f in field.index), np.zeros(len(personal_data.LABELS)))
         score = [weight(field.here, kinds[k + 1]) + weight(field.before, kinds[k]) + weight(field.after, kinds[k + 2]) for k in range(len(ws))]
-        best = {(y,): score[0][y] for y in range(5)} if ws else {(): 0}
+        best = {(y,): score[0][y] for y in range(len(personal_data.LABELS))} if ws else {(): 0}
         for s in score[1:]:
             top = {}
             for path, v in best.items():
-                for y in range(5):
+                for y in range(len(personal_data.LABELS)):
                     n = v + field.change[path[-1], y] + s[y]
                     if y not in top or n > top[y][1]:
                         top[y] = (path + (y,), n)
@@ -243,13 +243,44 @@ def test_viterbi_is_exact():
     ],
 )
 def test_finds_side_by_side(kind, text, want):
-    n = len(text.split())
-    labels = np.full(n, list(personal_data.LABELS).index(kind))
+    labels = np.array([personal_data.LABELS.index(f"{'inside' if k else 'begin'}-{kind}") for w in want for k in range(len(w.split()))])
     said = lambda base: [text[a:z] for _, a, z in personal_data.added_spans(text, labels, base)]
     assert said([]) == want
     assert said([(kind, 0, len(want[0]))]) == want[1:]
 
 
+def finds(labels):
+    out = []
+    for k, x in enumerate(labels):
+        mark, _, kind = x.partition("-")
+        if mark == "begin" or (kind and not (out and out[-1][0] == kind and out[-1][2] == k)):
+            out.append([kind, k, k + 1])
+        elif kind:
+            out[-1][2] = k + 1
+    return set(map(tuple, out))
+
+
+def test_field_on_a_held_out_table():
+    rows = personal_data.labelled_table(seed=99)
+    said = {" ".join(w) for w, _ in personal_data.labelled_table()}
+    rows = [r for r in rows if " ".join(r[0]) not in said]
+    decoder = personal_data.Decoder(personal_data.default_field())
+    counts = np.array([len(w) for w, _ in rows])
+    labels = decoder.labels(decoder.classes(pa.array([w for ws, _ in rows for w in ws])), counts)
+    ends = np.cumsum(counts)
+    pairs = [(finds([personal_data.LABELS[y] for y in labels[e - n : e]]), finds(want)) for (_, want), e, n in zip(rows, ends, counts, strict=True)]
+    for kind in personal_data.KINDS:
+        own = [({x for x in a if x[0] == kind}, {x for x in b if x[0] == kind}) for a, b in pairs]
+        right, found, all_ = (sum(map(len, z)) for z in ([a & b for a, b in own], [a for a, _ in own], [b for _, b in own]))
+        assert right >= 0.95 * found and right >= 0.95 * all_ > 50, kind
+
+
+def test_words_of_any_length():
+    words = ["x" * 300 + "[at]" + "y" * 300 + "[dot]com", "7" * 200_000, "." * 200_000 + "a", "a" * 200_000 + "1"]
+    kinds = [personal_data.features(w) for w in words]
+    assert kinds[0] == personal_data.features("x[at]y[dot]com") and len(set(kinds)) == 4
+
+
 def test_added_spans(spark):
     texts = ["write ann at mail dot example dot org please", "call me at (556) 555-7508 now", "bob[at]mail[dot]com is here", "nothing at all in 2020, see point 5.", "a@b.cd and +1 (555) 555-0100, 10.0.0.1; 4111 1111 1111 1111", None, "", "a" * 10_000, "At the dot com era. Licensed under CC BY-NC 4.0."]
     got = {r.doc_id: r for r in personal_data.personal_data(table(spark, list(enumerate(texts)))).collect()}
