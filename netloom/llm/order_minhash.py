@@ -10,7 +10,7 @@ Texts with equal words are one class throughout, known by a 128-bit hash of thei
 compared; a pair whose counts of words by hash class rule a link out isn't aligned (see least_edits()). Words are their 64-bit hashes, as long as the text needs. A bucket of n classes gives about 2n candidates at first (each with the least of the bucket and with its
 neighbour). Each class's best candidate is verified, then those of the others that lie in different groups yet.
 Buckets that are still in several groups, as those of a shared template are, go on exactly: two similar texts
-have one of their rarest words in common (see prefixes()), so all pairs that do are verified, and no other can be a link.
+have one of their rarest pairs of words in common (see prefixes()), so all pairs that do are verified, and no other can be a link.
 """
 
 from __future__ import annotations
@@ -39,8 +39,8 @@ HOT_SHARE = 1 / 256
 FILTER_BYTES = 16 << 20
 #: Classes of a bucket that are sorted together.
 PART = 2000
-#: Bits of the hash by which words of open buckets are counted, to order them by rarity.
-RARITY_BITS = 18
+#: Bits of the greatest table by which pairs of words of open buckets are counted, to order them by rarity: one byte each, sent to all.
+RARITY_BITS = 26
 #: K-mers are ordered by the high bits of their hash, then by place. Up to LONG k-mers a place fits into the low bits.
 LONG = 1 << 24
 POSITION = np.uint64(LONG - 1)
@@ -283,26 +283,62 @@ def open_classes(buckets: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def labelled(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word with its occurrence in its text, number of each text), so that words in common count as often as both have them."""
+    """(hash of each pair of neighbouring words with its occurrence in its text, number of each text), so that those in common count as often as both have them."""
     counts = np.array([len(w) for w in words], np.int64)
-    return kmers(mix(np.concatenate(words)), counts, 1) if len(words) else (np.zeros(0, np.uint64), counts)
+    return kmers(mix(np.concatenate(words)), counts, 2) if len(words) else (np.zeros(0, np.uint64), counts)
+
+
+def slot(tokens: np.ndarray, bits: int) -> np.ndarray:
+    """Where a token is counted, in a table of 2 ** bits."""
+    return (tokens >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def prefixes(tokens: np.ndarray, counts: np.ndarray, df: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(place of each token that is kept, how many of each text): the floor((1 - threshold) n) + 1 rarest of n.
+    """(place of each token that is kept, how many of each text): the 2 floor((1 - threshold) n) + 2 rarest of a text of n words.
 
-    Similar texts of n <= m words have at least m - floor((1 - threshold) m) in common, so in any one order of the
-    tokens their prefixes meet; df, by hash, only makes the order a good one. Tokens that are counted once meet none.
+    An edit changes at most two pairs of neighbouring words, so similar texts of n <= m words have at least m - 1 - 2 floor((1 - threshold) m)
+    of them in common, and in any one order of the tokens their prefixes meet (the floors cost one more where m is n + 1). df, by
+    slot, only makes the order a good one; a token that is alone in its slot meets none.
     """
-    seen = df[(tokens >> np.uint64(64 - RARITY_BITS)).astype(np.int64)]
+    seen = df[slot(tokens, len(df).bit_length() - 1)]
     text = np.repeat(np.arange(len(counts)), counts)
     order = np.lexsort((tokens, seen, text))
     place = np.arange(len(tokens)) - np.repeat(np.cumsum(counts) - counts, counts)
-    most = np.floor((1 - threshold) * counts + 1e-9).astype(np.int64) + 1
+    most = 2 * np.floor((1 - threshold) * (counts + 1) + 1e-9).astype(np.int64) + 2  # a text of n words has n - 1 tokens
     at = order[(place < np.repeat(most, counts)) & (seen[order] > 1)]
     return at, np.bincount(text[at], minlength=len(counts))
 
 
+def token_counts(own: DataFrame, texts) -> np.ndarray:
+    """How often tokens occur, by slot, at most 255: two slots a token or more, up to 2 ** RARITY_BITS of them in all.
+
+    Tasks send what they have counted; 256 ranges of slots are added up apart and sent to the driver as bytes.
+    """
+    total = own.agg(F.sum(F.octet_length("w"))).first()[0] // 8
+    bits = int(np.clip(np.ceil(np.log2(max(total, 1))) + 1, 12, RARITY_BITS))
+    low = bits - 8
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, tokens, _ in texts(batch):
+                at, n = np.unique(slot(tokens, bits), return_counts=True)
+                yield pa.record_batch([pa.array((at >> low).astype(np.int32)), pa.array((at & ((1 << low) - 1)).astype(np.int32)), pa.array(np.minimum(n, 255).astype(np.int32))], ["f", "h", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranges: dict[int, np.ndarray] = {}
+        for batch in batches:
+            f, h, n = (batch.column(c).to_numpy() for c in range(3))
+            for x in np.unique(f):
+                ranges.setdefault(int(x), np.zeros(1 << low, np.int64))
+                ranges[int(x)] += np.bincount(h[f == x], n[f == x], 1 << low).astype(np.int64)
+        yield pa.record_batch([pa.array(list(ranges), pa.int32()), pa.array([np.minimum(r, 255).astype(np.uint8).tobytes() for r in ranges.values()], pa.binary())], ["f", "m"])
+
+    df = np.zeros((256, 1 << low), np.uint8)
+    for f, m in own.mapInArrow(count, "f int, h int, n int").repartition("f").mapInArrow(add, "f int, m binary").collect():  # at most 256 rows, 2 ** RARITY_BITS bytes
+        df[f] = np.frombuffer(m, np.uint8)
+    return df.ravel()
+
+
 def meeting(token: np.ndarray, block: np.ndarray, own: np.ndarray, key: np.ndarray, root: np.ndarray, n: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places (a, b) of rows of one token and block pair, key of a > key of b, in different groups and of like length.
 
@@ -333,17 +369,7 @@ def open_pairs(opened: DataFrame, words: DataFrame, threshold: float) -> DataFra
             part = batch.slice(a, b - a)
             yield part, *labelled([np.frombuffer(w.as_py(), np.uint64) for w in part.column("w")])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(1 << RARITY_BITS, np.int64)
-        for batch in batches:
-            for _, tokens, _ in texts(batch):
-                df += np.bincount((tokens >> np.uint64(64 - RARITY_BITS)).astype(np.int64), minlength=len(df))
-        at = np.flatnonzero(df)
-        yield pa.record_batch([pa.array(at), pa.array(df[at])], ["h", "n"])
-
-    df = np.zeros(1 << RARITY_BITS, np.int64)
-    counted = own.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).toArrow()  # at most 2 ** RARITY_BITS rows
-    df[counted.column("h").to_numpy()] = counted.column("n").to_numpy()
+    df = token_counts(own, texts)
     sent = own.sparkSession.sparkContext.broadcast(df)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,7 +377,8 @@ def open_pairs(opened: DataFrame, words: DataFrame, threshold: float) -> DataFra
             for part, tokens, counts in texts(batch):
                 at, size = prefixes(tokens, counts, sent.value, threshold)
                 row = pa.array(np.repeat(np.arange(len(counts)), size))
-                yield pa.record_batch([pa.array(tokens[at].view(np.int64)), part.column("k").take(row), part.column("root").take(row), pa.array(counts).take(row)], ["t", "k", "root", "n"])
+                n = pa.array(pc.binary_length(part.column("w")).to_numpy(zero_copy_only=False).astype(np.int64) // 8)
+                yield pa.record_batch([pa.array(tokens[at].view(np.int64)), part.column("k").take(row), part.column("root").take(row), n.take(row)], ["t", "k", "root", "n"])
 
     posts = written(own.mapInArrow(post, "t long, k binary, root binary, n long"), "posts")
     lists = posts.groupBy("t").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("size")).filter("x != y")
@@ -443,6 +470,16 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def merged(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """(k, root) with groups joined by more links: one link for each two groups is kept, and only the groups' roots go through components()."""
+    of = lambda c: parts.select(F.col("k").alias(c), F.col("root").alias(f"root_{c}"))
+    own = links.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    joined = components(own.filter("a != b").distinct()).select(F.col("k").alias("old"), F.col("root").alias("new"))
+    moved = parts.join(joined, parts["root"] == joined["old"], "left").select("k", F.coalesce("new", "root").alias("root"))
+    alone = joined.join(parts, joined["old"] == parts["k"], "left_anti").select(F.col("old").alias("k"), F.col("new").alias("root"))
+    return written(moved.unionByName(alone), "labels")
+
+
 def key_filter(wanted: DataFrame, rows: int) -> np.ndarray:
     """A Bloom filter of the keys, (256, bytes): one bitmap for each first byte, at most FILTER_BYTES in all.
 
@@ -488,7 +525,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     group_id: the least id of the rows that are near-duplicates, directly or by way of others (null only if all their
     ids are). kept: true for one row of each group, that of least id (a null id last; of equal ids one of them).
     Texts without words (null, empty, white space) are one class and join no other. An empty table gives an empty result.
+    A threshold below 0.7 is an error: similar texts needn't have a pair of words in common then.
     """
+    if threshold < 0.7:
+        raise ValueError("near_groups() takes thresholds of 0.7 or more")
     rows = sketched(docs, id_col, text_col, count, least, k)
     classes = rows.groupBy("_key").agg(F.first("_sketches").alias("_sketches"))
     found, buckets = candidates(classes)
@@ -527,12 +567,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     others = ranked.filter("rank > 1").join(of("a"), "a", "left").join(of("b"), "b", "left")
     others = others.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
     more = written(verified(written(others.select("a", "b"), "others"), words, threshold), "links")
-    links, parts = (links.unionByName(more), components(links.unionByName(more))) if not more.isEmpty() else (links, parts)
+    parts = merged(parts, more) if not more.isEmpty() else parts
     opened = open_classes(buckets, parts)
     if not opened.isEmpty():
         rest = written(plausible(open_pairs(opened, words, threshold).join(found, ["a", "b"], "left_anti"), words, threshold), "rest")
         more = written(verified(rest, words, threshold), "links")
-        parts = components(links.unionByName(more)) if not more.isEmpty() else parts
+        parts = merged(parts, more) if not more.isEmpty() else parts
 
     sizes = rows.groupBy("_key").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("least"), F.count(F.lit(1)).alias("class_size"))
     sizes = sizes.join(parts, sizes["_key"] == parts["k"], "left").withColumn("root", F.coalesce("root", "_key"))

@@ -399,6 +399,30 @@ def test_least_edits_is_a_bound():
         assert least <= max(len(a), len(b)) - common
 
 
+@pytest.mark.parametrize("threshold", [0.7, 0.8, 0.9])
+def test_prefixes_of_similar_texts_meet(threshold):
+    rng = random.Random(int(threshold * 10))
+    for _ in range(400):
+        n = rng.randint(2, 60)
+        a = [rng.randrange(30) for _ in range(n)]
+        b = a[:]
+        for _ in range(int((1 - threshold) * n + 1e-9)):
+            k = rng.randrange(len(b))
+            if (how := rng.randrange(3)) == 0 and len(b) > 1:
+                del b[k]
+            elif how == 1:
+                b[k] = 100 + rng.randrange(10**6)
+            else:
+                b.insert(k, 100 + rng.randrange(10**6))
+        pair = [np.array(a, np.uint64), np.array(b, np.uint64)]
+        if a == b or not order_minhash.similar([tuple(x.astype(np.int64) for x in pair)], threshold)[0]:
+            continue
+        tokens, counts = order_minhash.labelled(pair)
+        df = np.random.default_rng(1).integers(2, 9, 1 << 12).astype(np.uint8)  # any order will do
+        at, size = order_minhash.prefixes(tokens, counts, df, threshold)
+        assert set(tokens[at[: size[0]]].tolist()) & set(tokens[at[size[0] :]].tolist())
+
+
 def test_near_groups(spark):
     rng = random.Random(12)
     vocabulary = [f"{a}{b}" for a in "bcdfgh" for b in ("an", "er", "ion", "ish", "ock", "um")]
