@@ -339,10 +339,11 @@ def token_counts(own: DataFrame, texts) -> np.ndarray:
     return df.ravel()
 
 
-def meeting(token: np.ndarray, block: np.ndarray, own: np.ndarray, key: np.ndarray, root: np.ndarray, n: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (a, b) of rows of one token and block pair, key of a > key of b, in different groups and of like length.
+def meeting(token: np.ndarray, block: np.ndarray, own: np.ndarray, key: np.ndarray, root: np.ndarray, n: np.ndarray, sums: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (a, b) of rows of one token and block pair, key of a > key of b, in different groups, of like length, and not ruled out by sums.
 
-    Rows stand in order of token and block; of a pair of different blocks only rows of both are paired. key, root: (rows, 2) big-endian halves.
+    Rows stand in order of token and block; of a pair of different blocks only rows of both are paired. key, root: (rows, 2) big-endian
+    halves; sums: (rows, 128) halved signatures. So texts that share a template but are no links meet here and nothing is sent.
     """
     if not len(token):
         return
@@ -354,6 +355,10 @@ def meeting(token: np.ndarray, block: np.ndarray, own: np.ndarray, key: np.ndarr
         longer = np.maximum(n[x], n[y])
         ok = (root[x] != root[y]).any(1) & (np.abs(n[x] - n[y]) <= np.floor((1 - threshold) * longer + 1e-9)) & ((own[x] != own[y]) | (block[x] % 65536 == block[x] // 65536))
         x, y = x[ok], y[ok]
+        for k in range(0, len(x), 50_000):  # some 13 MB of signatures at a time
+            part = slice(k, k + 50_000)
+            ok[k : k + len(x[part])] = least_edits(sums[x[part]], sums[y[part]], n[x[part]], n[y[part]]) <= np.floor((1 - threshold) * np.maximum(n[x[part]], n[y[part]]) + 1e-9)
+        x, y = x[ok[: len(x)]], y[ok[: len(x)]]
         more = (key[x, 0] > key[y, 0]) | ((key[x, 0] == key[y, 0]) & (key[x, 1] > key[y, 1]))
         if len(x):
             yield np.where(more, x, y), np.where(more, y, x)
@@ -362,7 +367,7 @@ def meeting(token: np.ndarray, block: np.ndarray, own: np.ndarray, key: np.ndarr
 
 def open_pairs(opened: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
     """(a, b): the pairs of open classes in different groups, a > b, that share a token of their prefixes and are of like length."""
-    own = written(words.join(opened, "k").select("k", "root", "w"), "open-words")
+    own = written(words.join(opened, "k").select("k", "root", "w", "g"), "open-words")
 
     def texts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
         for a, b in text_slices(batch.column("w"), 4_000_000):
@@ -378,22 +383,23 @@ def open_pairs(opened: DataFrame, words: DataFrame, threshold: float) -> DataFra
                 at, size = prefixes(tokens, counts, sent.value, threshold)
                 row = pa.array(np.repeat(np.arange(len(counts)), size))
                 n = pa.array(pc.binary_length(part.column("w")).to_numpy(zero_copy_only=False).astype(np.int64) // 8)
-                yield pa.record_batch([pa.array(tokens[at].view(np.int64)), part.column("k").take(row), part.column("root").take(row), n.take(row)], ["t", "k", "root", "n"])
+                yield pa.record_batch([pa.array(tokens[at].view(np.int64)), part.column("k").take(row), part.column("root").take(row), n.take(row), halved(part.column("g")).take(row)], ["t", "k", "root", "n", "g"])
 
-    posts = written(own.mapInArrow(post, "t long, k binary, root binary, n long"), "posts")
+    posts = written(own.mapInArrow(post, "t long, k binary, root binary, n long, g binary"), "posts")
     lists = posts.groupBy("t").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("size")).filter("x != y")
     # A long list is cut by hash into parts, and each row goes to all pairs of its own part with another: all its pairs meet, some thousand rows at a time.
     cut = posts.join(lists.select("t", F.ceil(F.col("size") / PART).alias("parts")), "t").withColumn("own", F.pmod(F.xxhash64("k"), F.col("parts")))
     block = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda j: F.least("own", j) * 65536 + F.greatest("own", j))
-    cut = cut.select("t", F.explode(block).alias("block"), "own", "k", "root", "n").repartition("t", "block").sortWithinPartitions("t", "block")
+    cut = cut.select("t", F.explode(block).alias("block"), "own", "k", "root", "n", "g").repartition("t", "block").sortWithinPartitions("t", "block")
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         halves = lambda c: np.frombuffer(b"".join(c.to_pylist()), ">u8").reshape(-1, 2)
         left: pa.Table | None = None
 
         def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            t, block, own, k, root, n = (table.column(c).combine_chunks() for c in table.column_names)
-            for a, b in meeting(t.to_numpy(), block.to_numpy(), own.to_numpy(), halves(k), halves(root), n.to_numpy(), threshold):
+            t, block, own, k, root, n, g = (table.column(c).combine_chunks() for c in table.column_names)
+            sums = np.frombuffer(b"".join(g.to_pylist()), np.uint8).reshape(-1, 128)
+            for a, b in meeting(t.to_numpy(), block.to_numpy(), own.to_numpy(), halves(k), halves(root), n.to_numpy(), sums, threshold):
                 yield pa.record_batch([k.take(pa.array(a)), k.take(pa.array(b))], ["a", "b"])
 
         for batch in batches:  # the last list of a batch may go on in the next
@@ -434,6 +440,12 @@ def signatures(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount(text * 256 + (words >> np.uint64(56)).astype(np.int64), minlength=256 * len(counts)), 255).astype(np.uint8).reshape(-1, 256)
 
 
+def halved(sums: pa.Array) -> pa.Array:
+    """Signatures of 128 classes from those of 256."""
+    both = np.frombuffer(b"".join(sums.to_pylist()), np.uint8).reshape(-1, 128, 2).sum(2, dtype=np.int64)
+    return pa.array([x.tobytes() for x in np.minimum(both, 255).astype(np.uint8)], pa.binary())
+
+
 def least_edits(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """A lower bound on the word edits of each pair from signatures and lengths: a replaced word changes two classes by one, a dropped one changes one."""
     return (np.abs(a.astype(np.int16) - b).sum(1, dtype=np.int64) + np.abs(n - m)) // 2
