@@ -9,8 +9,9 @@ order. Texts that agree on a sketch are candidates; a pair is a link if its edit
 Texts with equal words are one class throughout, known by a 128-bit hash of their words, and only classes are
 compared; a pair whose counts of words by hash class rule a link out isn't aligned (see least_edits()). Words are their 64-bit hashes, as long as the text needs. A bucket of n classes gives about 2n candidates at first (each with the least of the bucket and with its
 neighbour). Each class's best candidate is verified, then those of the others that lie in different groups yet.
-Buckets that are still in several groups, as those of a shared template are, go on exactly: two similar texts
-have one of their rarest pairs of words in common (see prefixes()), so all pairs that do are verified, and no other can be a link.
+In buckets that are still in several groups, as those of a shared template are, classes try a few neighbours more, and those that remain
+go on exactly: two similar texts have one of their rarest pairs of words in common (or of their rarest words, see posted()), so all
+pairs that do are verified, and no other can be a link.
 """
 
 from __future__ import annotations
@@ -39,6 +40,10 @@ HOT_SHARE = 1 / 256
 FILTER_BYTES = 16 << 20
 #: Classes of a bucket that are sorted together.
 PART = 2000
+#: Turns in which classes of open buckets try neighbours, and neighbours of a class in each, before the exact finish.
+TURNS, TRIES = 3, 4
+#: From this many occurrences on, a pair of words is common: texts that share it must share one of their rarest words as well.
+COMMON = 256
 #: Bits of the greatest table by which pairs of words of open buckets are counted, to order them by rarity: one byte each, sent to all.
 RARITY_BITS = 26
 #: K-mers are ordered by the high bits of their hash, then by place. Up to LONG k-mers a place fits into the low bits.
@@ -262,30 +267,59 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, count: int, least: int
 
 
 def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(a, b, n): pairs of classes, a > b, that agree on n sketches, each with the least of a bucket or its neighbour there; and (s, _key, size), the buckets."""
-    bucket = classes.select("_key", F.explode("_sketches").alias("s"))
-    sizes = bucket.groupBy("s").agg(F.min("_key").alias("least"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    full = written(bucket.join(sizes, "s"), "buckets")
-    # Neighbours by key; a large bucket is cut by hash into parts, so that no task sorts more than a part of it.
-    parts = F.pmod(F.xxhash64("_key"), F.ceil(F.col("size") / PART))
+    """(a, b, n): pairs of classes, a > b, that agree on n sketches, each with the least of a bucket or its neighbour there; and (s, _key, size), the buckets.
+
+    Sketches are counted first, without keys; keys move only for those that a filter of the shared ones lets through.
+    """
+    sizes = classes.select(F.explode("_sketches").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    sizes = written(sizes, "sizes")
+    sent = classes.sparkSession.sparkContext.broadcast(hash_filter(sizes.select("s")))
+
+    def member(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s, row = pc.list_flatten(batch.column(1)), pc.list_parent_indices(batch.column(1))
+            on = pa.array(passes(filter_keys(s.to_numpy().view(np.uint64)), sent.value))
+            yield pa.record_batch([batch.column(0).take(row.filter(on)), s.filter(on)], ["_key", "s"])
+
+    bucket = classes.select("_key", "_sketches").mapInArrow(member, "_key binary, s long")
+    # A large bucket is cut by hash into parts, so that no task sorts more than a part of it; the leasts of its parts are paired too.
+    part = F.pmod(F.xxhash64("_key"), F.ceil(F.col("size") / PART))
+    full = written(bucket.join(sizes, "s").withColumn("part", part), "buckets")
     ordered = Window.partitionBy("s", "part").orderBy("_key")
-    near = full.withColumn("part", parts).withColumn("b", F.lag("_key").over(ordered)).filter("b IS NOT NULL").select(F.col("_key").alias("a"), "b")
-    pairs = full.filter("_key != least").select(F.col("_key").alias("a"), F.col("least").alias("b")).unionByName(near)
-    return written(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "candidates"), full.select("s", "_key", "size")
+    near = full.select(F.col("_key").alias("a"), F.lag("_key").over(ordered).alias("x"), F.first("_key").over(ordered).alias("y"))
+    near = near.select("a", F.explode(F.array("x", "y")).alias("b")).filter("b != a")
+    heads = full.filter(F.col("size") > PART).groupBy("s", "part").agg(F.min("_key").alias("a"))
+    heads = heads.join(heads.groupBy("s").agg(F.min("a").alias("b")), "s").filter("a != b").select("a", "b")
+    return written(near.unionByName(heads).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "candidates"), full.select("s", "_key", "size")
 
 
-def open_classes(buckets: DataFrame, parts: DataFrame) -> DataFrame:
-    """(k, root): the classes of buckets that lie in several groups. In a bucket of up to three, candidates() gives all pairs."""
-    rooted = buckets.filter("size > 3").join(parts, F.col("_key") == F.col("k"), "left").select("s", "_key", F.coalesce("root", "_key").alias("root"))
+def open_rows(buckets: DataFrame, parts: DataFrame) -> DataFrame:
+    """(s, size, k, root): the buckets that lie in several groups. In a bucket of up to three, candidates() gives all pairs."""
+    rooted = buckets.filter("size > 3").join(parts, F.col("_key") == F.col("k"), "left").select("s", "size", F.col("_key").alias("k"), F.coalesce("root", "_key").alias("root"))
     rooted = written(rooted, "rooted")
     several = rooted.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("s")
-    return written(rooted.join(several, "s", "left_semi").select(F.col("_key").alias("k"), "root").distinct(), "open")
+    return written(rooted.join(several, "s", "left_semi"), "open")
+
 
+def neighbours(opened: DataFrame, turn: int) -> DataFrame:
+    """(a, b): pairs of different groups, a > b, that stand side by side when the rows of each open bucket are shuffled; at most TRIES for a class as the later one.
 
-def labelled(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each pair of neighbouring words with its occurrence in its text, number of each text), so that those in common count as often as both have them."""
+    A turn gives few pairs where one group holds nearly all of a bucket, and joins most of those that have many links.
+    """
+    shuffled = F.xxhash64("k", F.lit(turn + 1))
+    ordered = Window.partitionBy("s", "part").orderBy(shuffled, "k")
+    rows = opened.withColumn("part", F.pmod(shuffled, F.ceil(F.col("size") / PART)))
+    rows = rows.select("k", "root", F.lag("k").over(ordered).alias("b"), F.lag("root").over(ordered).alias("other")).filter("root != other")
+    pairs = rows.select("k", "b").distinct()
+    rank = F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64("k", "b"), "b"))
+    pairs = pairs.withColumn("rank", rank).filter(F.col("rank") <= TRIES)
+    return pairs.select(F.greatest("k", "b").alias("a"), F.least("k", "b").alias("b")).distinct()
+
+
+def labelled(words: list[np.ndarray], k: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each run of k words with its occurrence in its text, number of each text), so that those in common count as often as both have them."""
     counts = np.array([len(w) for w in words], np.int64)
-    return kmers(mix(np.concatenate(words)), counts, 2) if len(words) else (np.zeros(0, np.uint64), counts)
+    return kmers(mix(np.concatenate(words)), counts, k) if len(words) else (np.zeros(0, np.uint64), counts)
 
 
 def slot(tokens: np.ndarray, bits: int) -> np.ndarray:
@@ -293,48 +327,71 @@ def slot(tokens: np.ndarray, bits: int) -> np.ndarray:
     return (tokens >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def prefixes(tokens: np.ndarray, counts: np.ndarray, df: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(place of each token that is kept, how many of each text): the 2 floor((1 - threshold) n) + 2 rarest of a text of n words.
+def levels(counts: np.ndarray) -> np.ndarray:
+    """Counts as bytes that keep their order: 0, 1, and 1 + floor(8 log2 n) beyond."""
+    return np.where(counts > 0, 1 + np.floor(8 * np.log2(np.maximum(counts, 1)) + 1e-9), 0).astype(np.uint8)
 
-    An edit changes at most two pairs of neighbouring words, so similar texts of n <= m words have at least m - 1 - 2 floor((1 - threshold) m)
-    of them in common, and in any one order of the tokens their prefixes meet (the floors cost one more where m is n + 1). df, by
-    slot, only makes the order a good one; a token that is alone in its slot meets none.
-    """
+
+def prefixes(tokens: np.ndarray, counts: np.ndarray, df: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Places of the `most` rarest tokens of each text, but for those alone in their slot, which meet none. df, by slot, only makes the order a good one."""
     seen = df[slot(tokens, len(df).bit_length() - 1)]
     text = np.repeat(np.arange(len(counts)), counts)
     order = np.lexsort((tokens, seen, text))
     place = np.arange(len(tokens)) - np.repeat(np.cumsum(counts) - counts, counts)
-    most = 2 * np.floor((1 - threshold) * (counts + 1) + 1e-9).astype(np.int64) + 2  # a text of n words has n - 1 tokens
-    at = order[(place < np.repeat(most, counts)) & (seen[order] > 1)]
-    return at, np.bincount(text[at], minlength=len(counts))
+    return order[(place < np.repeat(most, counts)) & (seen[order] > 1)]
 
 
-def token_counts(own: DataFrame, texts) -> np.ndarray:
-    """How often tokens occur, by slot, at most 255: two slots a token or more, up to 2 ** RARITY_BITS of them in all.
+def posted(words: list[np.ndarray], df: np.ndarray, threshold: float, common: int) -> tuple[np.ndarray, np.ndarray]:
+    """(token, its text): similar texts have one of these in common. common: the level, in df, from which a pair of words is.
 
-    Tasks send what they have counted; 256 ranges of slots are added up apart and sent to the driver as bytes.
+    An edit changes at most two pairs of neighbouring words, so similar texts of n <= m words have at least m - 1 - 2 floor((1 - threshold) m)
+    of them in common, and in any one order of the pairs their prefixes of 2 floor((1 - threshold) (n + 1)) + 2 meet (the floors cost one
+    more where m is n + 1). Likewise their prefixes of floor((1 - threshold) n) + 1 words meet. Where two texts meet in a common pair of words
+    only, as those with a long template do, both have a common pair in their prefix: such texts send the rarest of their words instead of
+    their common pairs, and words of the template are among these only if it makes most of the text.
+    """
+    counts = np.array([len(w) for w in words], np.int64)
+    pairs, n = labelled(words)
+    at = prefixes(pairs, n, df, 2 * np.floor((1 - threshold) * (n + 1) + 1e-9).astype(np.int64) + 2)  # a text of n words has n - 1 pairs
+    text = np.repeat(np.arange(len(n)), n)[at]
+    often = df[slot(pairs[at], len(df).bit_length() - 1)] >= common
+    also = np.unique(text[often])
+    if not len(also):
+        return pairs[at], text
+    singles, m = labelled([words[i] for i in also.tolist()], 1)
+    of = prefixes(singles, m, df, np.floor((1 - threshold) * counts[also] + 1e-9).astype(np.int64) + 1)
+    return np.concatenate([pairs[at[~often]], singles[of]]), np.concatenate([text[~often], np.repeat(also, m)[of]])
+
+
+def token_counts(own: DataFrame, slices) -> np.ndarray:
+    """How often pairs of words and words occur, by slot, as levels(): two slots a token or more, up to 2 ** RARITY_BITS of them in all.
+
+    Tasks send what a slice of texts has, as one packed row for each of 256 ranges of slots; ranges are added up apart and sent to the driver as bytes.
     """
-    total = own.agg(F.sum(F.octet_length("w"))).first()[0] // 8
+    total = own.agg(F.sum(F.octet_length("w"))).first()[0] // 4
     bits = int(np.clip(np.ceil(np.log2(max(total, 1))) + 1, 12, RARITY_BITS))
     low = bits - 8
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, tokens, _ in texts(batch):
+            for _, words in slices(batch):
+                tokens = np.concatenate([labelled(words, 2)[0], labelled(words, 1)[0]])
                 at, n = np.unique(slot(tokens, bits), return_counts=True)
-                yield pa.record_batch([pa.array((at >> low).astype(np.int32)), pa.array((at & ((1 << low) - 1)).astype(np.int32)), pa.array(np.minimum(n, 255).astype(np.int32))], ["f", "h", "n"])
+                cuts = np.searchsorted(at, np.arange(257) << low)
+                f = [x for x in range(256) if cuts[x] < cuts[x + 1]]
+                packed = [np.stack([at[cuts[x] : cuts[x + 1]] & ((1 << low) - 1), n[cuts[x] : cuts[x + 1]]]).astype(np.uint32).tobytes() for x in f]
+                yield pa.record_batch([pa.array(f, pa.int32()), pa.array(packed, pa.binary())], ["f", "m"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges: dict[int, np.ndarray] = {}
         for batch in batches:
-            f, h, n = (batch.column(c).to_numpy() for c in range(3))
-            for x in np.unique(f):
-                ranges.setdefault(int(x), np.zeros(1 << low, np.int64))
-                ranges[int(x)] += np.bincount(h[f == x], n[f == x], 1 << low).astype(np.int64)
-        yield pa.record_batch([pa.array(list(ranges), pa.int32()), pa.array([np.minimum(r, 255).astype(np.uint8).tobytes() for r in ranges.values()], pa.binary())], ["f", "m"])
+            for f, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                at, n = np.frombuffer(m, np.uint32).reshape(2, -1)
+                ranges.setdefault(f, np.zeros(1 << low, np.int64))[at] += n  # a slot is in a row once
+        yield pa.record_batch([pa.array(list(ranges), pa.int32()), pa.array([levels(r).tobytes() for r in ranges.values()], pa.binary())], ["f", "m"])
 
     df = np.zeros((256, 1 << low), np.uint8)
-    for f, m in own.mapInArrow(count, "f int, h int, n int").repartition("f").mapInArrow(add, "f int, m binary").collect():  # at most 256 rows, 2 ** RARITY_BITS bytes
+    for f, m in own.mapInArrow(count, "f int, m binary").repartition("f").mapInArrow(add, "f int, m binary").collect():  # at most 256 rows, 2 ** RARITY_BITS bytes
         df[f] = np.frombuffer(m, np.uint8)
     return df.ravel()
 
@@ -369,26 +426,37 @@ def open_pairs(opened: DataFrame, words: DataFrame, threshold: float) -> DataFra
     """(a, b): the pairs of open classes in different groups, a > b, that share a token of their prefixes and are of like length."""
     own = written(words.join(opened, "k").select("k", "root", "w", "g"), "open-words")
 
-    def texts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    def slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
         for a, b in text_slices(batch.column("w"), 4_000_000):
             part = batch.slice(a, b - a)
-            yield part, *labelled([np.frombuffer(w.as_py(), np.uint64) for w in part.column("w")])
+            yield part, [np.frombuffer(w.as_py(), np.uint64) for w in part.column("w")]
 
-    df = token_counts(own, texts)
-    sent = own.sparkSession.sparkContext.broadcast(df)
+    sent = own.sparkSession.sparkContext.broadcast(token_counts(own, slices))
+    common = int(levels(np.array([COMMON]))[0])
+
+    def touch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, words in slices(batch):
+                tokens, row = posted(words, sent.value, threshold, common)
+                yield pa.record_batch([pa.array(tokens.view(np.int64)), part.column("root").take(pa.array(row))], ["t", "root"])
+
+    # Roots go first, to find the tokens that several groups have; only rows of these send the rest.
+    lists = own.select("root", "w").mapInArrow(touch, "t long, root binary").groupBy("t").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("size"))
+    lists = written(lists.filter("x != y").select("t", F.ceil(F.col("size") / PART).alias("parts")), "lists")
+    live = own.sparkSession.sparkContext.broadcast(hash_filter(lists.select(F.col("t").alias("s"))))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, tokens, counts in texts(batch):
-                at, size = prefixes(tokens, counts, sent.value, threshold)
-                row = pa.array(np.repeat(np.arange(len(counts)), size))
-                n = pa.array(pc.binary_length(part.column("w")).to_numpy(zero_copy_only=False).astype(np.int64) // 8)
-                yield pa.record_batch([pa.array(tokens[at].view(np.int64)), part.column("k").take(row), part.column("root").take(row), n.take(row), halved(part.column("g")).take(row)], ["t", "k", "root", "n", "g"])
-
-    posts = written(own.mapInArrow(post, "t long, k binary, root binary, n long, g binary"), "posts")
-    lists = posts.groupBy("t").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("size")).filter("x != y")
+            for part, words in slices(batch):
+                tokens, row = posted(words, sent.value, threshold, common)
+                on = passes(filter_keys(tokens), live.value)
+                tokens, row = tokens[on], pa.array(row[on])
+                n = pa.array(np.array([len(w) for w in words], np.int64))
+                yield pa.record_batch([pa.array(tokens.view(np.int64)), part.column("k").take(row), part.column("root").take(row), n.take(row), halved(part.column("g")).take(row)], ["t", "k", "root", "n", "g"])
+
+    posts = own.mapInArrow(post, "t long, k binary, root binary, n long, g binary")
     # A long list is cut by hash into parts, and each row goes to all pairs of its own part with another: all its pairs meet, some thousand rows at a time.
-    cut = posts.join(lists.select("t", F.ceil(F.col("size") / PART).alias("parts")), "t").withColumn("own", F.pmod(F.xxhash64("k"), F.col("parts")))
+    cut = posts.join(lists, "t").withColumn("own", F.pmod(F.xxhash64("k"), F.col("parts")))
     block = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda j: F.least("own", j) * 65536 + F.greatest("own", j))
     cut = cut.select("t", F.explode(block).alias("block"), "own", "k", "root", "n", "g").repartition("t", "block").sortWithinPartitions("t", "block")
 
@@ -524,10 +592,30 @@ def filter_places(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[:, 0].astype(np.int64), np.stack([(h[:, 0] >> np.uint64(8)) % bits, h[:, 1] % bits, (h[:, 1] >> np.uint64(24)) % bits], 1).astype(np.int64)
 
 
-def passes(keys: list[bytes], table: np.ndarray) -> np.ndarray:
-    if not keys:
+def filter_keys(hashes: np.ndarray) -> np.ndarray:
+    """64-bit hashes as keys of a filter, (hashes, 16) bytes."""
+    one = mix(hashes)
+    return np.stack([one, mix(one)], 1).view(np.uint8).reshape(-1, 16)
+
+
+def hash_filter(wanted: DataFrame) -> np.ndarray:
+    """key_filter() of 64-bit hashes; wanted: (s), a written table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = filter_keys(batch.column(0).to_numpy().view(np.uint64))
+            yield pa.record_batch([pa.array([k.tobytes() for k in keys], pa.binary())], ["k"])
+
+    return key_filter(wanted.mapInArrow(run, "k binary"), wanted.count())
+
+
+def passes(keys: list[bytes] | np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Whether each of the keys, as bytes or (keys, 16) bytes, may be in the filter."""
+    if not len(keys):
         return np.zeros(0, bool)
-    first, places = filter_places(np.frombuffer(b"".join(keys), np.uint8).reshape(-1, 16), table.shape[1])
+    if isinstance(keys, list):
+        keys = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, 16)
+    first, places = filter_places(keys, table.shape[1])
     return ((table[first[:, None], places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & 1).all(1)
 
 
@@ -542,7 +630,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if threshold < 0.7:
         raise ValueError("near_groups() takes thresholds of 0.7 or more")
     rows = sketched(docs, id_col, text_col, count, least, k)
-    classes = rows.groupBy("_key").agg(F.first("_sketches").alias("_sketches"))
+    classes = written(rows.groupBy("_key").agg(F.first("_sketches").alias("_sketches")), "classes")
     found, buckets = candidates(classes)
     wanted = written(found.select(F.explode(F.array("a", "b")).alias("k")).distinct(), "wanted")
 
@@ -580,9 +668,19 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     others = others.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
     more = written(verified(written(others.select("a", "b"), "others"), words, threshold), "links")
     parts = merged(parts, more) if not more.isEmpty() else parts
-    opened = open_classes(buckets, parts)
+    opened, tried = open_rows(buckets, parts), found.select("a", "b")
+    for turn in range(TURNS):
+        if opened.isEmpty():
+            break
+        some = written(neighbours(opened, turn).join(tried, ["a", "b"], "left_anti"), "neighbours")
+        more = written(verified(plausible(some, words, threshold), words, threshold), "links")
+        tried = tried.unionByName(some)
+        if more.isEmpty():
+            break
+        parts = merged(parts, more)
+        opened = open_rows(buckets, parts)
     if not opened.isEmpty():
-        rest = written(plausible(open_pairs(opened, words, threshold).join(found, ["a", "b"], "left_anti"), words, threshold), "rest")
+        rest = written(plausible(open_pairs(opened.select("k", "root").distinct(), words, threshold).join(tried, ["a", "b"], "left_anti"), words, threshold), "rest")
         more = written(verified(rest, words, threshold), "links")
         parts = merged(parts, more) if not more.isEmpty() else parts
 

@@ -399,8 +399,9 @@ def test_least_edits_is_a_bound():
         assert least <= max(len(a), len(b)) - common
 
 
+@pytest.mark.parametrize("common", [250, 5, 2])  # no pair of words is common, some are, all are
 @pytest.mark.parametrize("threshold", [0.7, 0.8, 0.9])
-def test_prefixes_of_similar_texts_meet(threshold):
+def test_prefixes_of_similar_texts_meet(threshold, common):
     rng = random.Random(int(threshold * 10))
     for _ in range(400):
         n = rng.randint(2, 60)
@@ -417,10 +418,9 @@ def test_prefixes_of_similar_texts_meet(threshold):
         pair = [np.array(a, np.uint64), np.array(b, np.uint64)]
         if a == b or not order_minhash.similar([tuple(x.astype(np.int64) for x in pair)], threshold)[0]:
             continue
-        tokens, counts = order_minhash.labelled(pair)
         df = np.random.default_rng(1).integers(2, 9, 1 << 12).astype(np.uint8)  # any order will do
-        at, size = order_minhash.prefixes(tokens, counts, df, threshold)
-        assert set(tokens[at[: size[0]]].tolist()) & set(tokens[at[size[0] :]].tolist())
+        tokens, text = order_minhash.posted(pair, df, threshold, common)
+        assert set(tokens[text == 0].tolist()) & set(tokens[text == 1].tolist())
 
 
 def test_near_groups(spark):
@@ -473,9 +473,11 @@ def test_near_groups(spark):
     assert order_minhash.near_groups(table(spark).limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("part", [order_minhash.PART, 7])
-def test_near_pairs_under_a_template(spark, monkeypatch, part):
+@pytest.mark.parametrize(("part", "common", "turns"), [(order_minhash.PART, order_minhash.COMMON, order_minhash.TURNS), (7, 16, 0)])
+def test_near_pairs_under_a_template(spark, monkeypatch, part, common, turns):
     monkeypatch.setattr(order_minhash, "PART", part)
+    monkeypatch.setattr(order_minhash, "COMMON", common)
+    monkeypatch.setattr(order_minhash, "TURNS", turns)
     rng = random.Random(5)
     word = lambda: f"w{rng.randrange(10**9)}"
     template = [word() for _ in range(234)]
