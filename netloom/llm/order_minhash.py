@@ -293,19 +293,26 @@ def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return written(near.unionByName(heads).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "candidates"), full.select("s", "_key", "size")
 
 
-def open_rows(buckets: DataFrame, parts: DataFrame) -> DataFrame:
-    """(s, size, k, root): the buckets that lie in several groups. In a bucket of up to three, candidates() gives all pairs."""
-    rooted = buckets.filter("size > 3").join(parts, F.col("_key") == F.col("k"), "left").select("s", "size", F.col("_key").alias("k"), F.coalesce("root", "_key").alias("root"))
-    rooted = written(rooted, "rooted")
-    several = rooted.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("s")
-    return written(rooted.join(several, "s", "left_semi"), "open")
+def rooted(buckets: DataFrame, parts: DataFrame) -> DataFrame:
+    """(s, size, k, root): the rows of buckets with their groups. In a bucket of up to three, candidates() gives all pairs."""
+    rows = buckets.filter("size > 3").join(parts, F.col("_key") == F.col("k"), "left")
+    return rows.select("s", "size", F.col("_key").alias("k"), F.coalesce("root", "_key").alias("root"))
 
 
-def neighbours(opened: DataFrame, turn: int) -> DataFrame:
-    """(a, b): pairs of different groups, a > b, that stand side by side when the rows of each open bucket are shuffled; at most TRIES for a class as the later one.
+def open_classes(buckets: DataFrame, parts: DataFrame) -> DataFrame:
+    """(k, root): the classes of buckets that lie in several groups."""
+    rows = written(rooted(buckets, parts), "rooted")
+    several = rows.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("s")
+    return written(rows.join(several, "s", "left_semi").select("k", "root").distinct(), "open")
 
-    A turn gives few pairs where one group holds nearly all of a bucket, and joins most of those that have many links.
+
+def neighbours(buckets: DataFrame, parts: DataFrame, turn: int) -> DataFrame:
+    """(a, b): pairs of different groups, a > b, that stand side by side when the rows of a bucket are shuffled; at most TRIES for a class as the later one.
+
+    A turn takes an eighth of the buckets, its own one: a class with many links stands in many. It gives few pairs where one group holds nearly
+    all of a bucket. It only saves work for the exact finish, which takes all buckets.
     """
+    opened = rooted(buckets.filter(F.pmod(F.xxhash64("s"), F.lit(8)) == turn % 8), parts)
     shuffled = F.xxhash64("k", F.lit(turn + 1))
     ordered = Window.partitionBy("s", "part").orderBy(shuffled, "k")
     rows = opened.withColumn("part", F.pmod(shuffled, F.ceil(F.col("size") / PART)))
@@ -668,19 +675,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     others = others.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
     more = written(verified(written(others.select("a", "b"), "others"), words, threshold), "links")
     parts = merged(parts, more) if not more.isEmpty() else parts
-    opened, tried = open_rows(buckets, parts), found.select("a", "b")
+    tried = found.select("a", "b")
     for turn in range(TURNS):
-        if opened.isEmpty():
-            break
-        some = written(neighbours(opened, turn).join(tried, ["a", "b"], "left_anti"), "neighbours")
+        some = written(neighbours(buckets, parts, turn).join(tried, ["a", "b"], "left_anti"), "neighbours")
+        if some.isEmpty():
+            continue
         more = written(verified(plausible(some, words, threshold), words, threshold), "links")
         tried = tried.unionByName(some)
-        if more.isEmpty():
-            break
-        parts = merged(parts, more)
-        opened = open_rows(buckets, parts)
+        parts = merged(parts, more) if not more.isEmpty() else parts
+    opened = open_classes(buckets, parts)
     if not opened.isEmpty():
-        rest = written(plausible(open_pairs(opened.select("k", "root").distinct(), words, threshold).join(tried, ["a", "b"], "left_anti"), words, threshold), "rest")
+        rest = written(plausible(open_pairs(opened, words, threshold).join(tried, ["a", "b"], "left_anti"), words, threshold), "rest")
         more = written(verified(rest, words, threshold), "links")
         parts = merged(parts, more) if not more.isEmpty() else parts
 
