@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,11 +40,37 @@ def shared_path(spark: SparkSession, kind: str) -> str:
     return _NOTED.get()[-1]
 
 
+#: Spark's setting by which a query's shuffle files go as soon as it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_PATH_OF: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Queries inside leave no shuffle files behind; for writes, whose shuffles nothing else reads."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def materialized(df: DataFrame, kind: str = "state") -> DataFrame:
-    """df as a Parquet table in the shared folder, read back: later jobs neither recompute it nor need its executors."""
+    """df as a Parquet table in the shared folder, read back: later jobs neither recompute it nor need its executors or its shuffles."""
     path = shared_path(df.sparkSession, kind)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATH_OF[out] = path
+    return out
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Delete tables that materialized() gave, once nothing that is still to run reads them; others are left alone."""
+    for table in tables:
+        if table in _PATH_OF:
+            drop_shared(table.sparkSession, [_PATH_OF.pop(table)])
 
 
 def drop_shared(spark: SparkSession, paths: list[str] | None = None) -> int:
@@ -59,12 +86,12 @@ def drop_shared(spark: SparkSession, paths: list[str] | None = None) -> int:
 @contextmanager
 def temporary_state(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """Gives keep(df, kind), which writes a table to stay; all else that is written to the shared folder inside is deleted at the end."""
-    noted: list[str] = []
+    outer, noted = _NOTED.get(), []
     token = _NOTED.set(noted)
 
     def keep(df: DataFrame, kind: str) -> DataFrame:
         out = materialized(df, kind)
-        WRITTEN.append(noted.pop())
+        outer.append(noted.pop())
         return out
 
     try:
