@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from netloom.plans.loop import drop_tables as drop_tables
 from netloom.plans.loop import materialized
 from netloom.plans.loop import shared_path as shared_path  # the operators take these from here
 from netloom.plans.ship import ship as ship

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import coded_words, kept_rows, mix, ragged, run_sums, text_column, text_slices, word_hashes, written
+from .common import coded_words, drop_tables, kept_rows, mix, ragged, run_sums, text_column, text_slices, word_hashes, written
 
 K, LEAST, SIMILARITY = 5, 2, 0.8
 #: Sketches are of pairs of words, as an edit leaves few of the longer k-mers: with every fifth word edited (similarity 0.8) no 5-mer
@@ -290,7 +290,9 @@ def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     near = near.select("a", F.explode(F.array("x", "y")).alias("b")).filter("b != a")
     heads = full.filter(F.col("size") > PART).groupBy("s", "part").agg(F.min("_key").alias("a"))
     heads = heads.join(heads.groupBy("s").agg(F.min("a").alias("b")), "s").filter("a != b").select("a", "b")
-    return written(near.unionByName(heads).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "candidates"), full.select("s", "_key", "size")
+    found = written(near.unionByName(heads).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "candidates")
+    drop_tables(sizes)
+    return found, full
 
 
 def rooted(buckets: DataFrame, parts: DataFrame) -> DataFrame:
@@ -300,10 +302,13 @@ def rooted(buckets: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def open_classes(buckets: DataFrame, parts: DataFrame) -> DataFrame:
-    """(k, root): the classes of buckets that lie in several groups."""
-    rows = written(rooted(buckets, parts), "rooted")
+    """(k, root): the classes of buckets that lie in several groups. Nothing reads the buckets after it: they are deleted."""
+    rows = written(rooted(buckets, parts).select("s", "k", "root"), "rooted")
+    drop_tables(buckets)
     several = rows.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("s")
-    return written(rows.join(several, "s", "left_semi").select("k", "root").distinct(), "open")
+    opened = written(rows.join(several, "s", "left_semi").select("k", "root").distinct(), "open")
+    drop_tables(rows)
+    return opened
 
 
 def neighbours(buckets: DataFrame, parts: DataFrame, turn: int) -> DataFrame:
@@ -545,15 +550,18 @@ def plausible(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame
 def components(links: DataFrame) -> DataFrame:
     """(k, root): the least key of each connected part, by least labels of neighbours and jumps to the label's label."""
     both = written(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))), "links")
-    labels = written(both.groupBy(F.col("u").alias("k")).agg(F.least(F.min("v"), F.first("u")).alias("root")), "labels")
+    labels = last = written(both.groupBy(F.col("u").alias("k")).agg(F.least(F.min("v"), F.first("u")).alias("root")), "labels")
     while True:
         seen = both.join(labels, both["v"] == labels["k"]).groupBy("u").agg(F.min("root").alias("near"))
         step = labels.join(seen, labels["k"] == seen["u"]).select("k", F.least("root", "near").alias("root"), F.col("root").alias("old"))
         step = written(step, "labels")
+        drop_tables(last)
         jump = step.select(F.col("k").alias("j"), F.col("root").alias("far"))
-        new = written(step.join(jump, step["root"] == jump["j"]).select("k", F.least("root", "far").alias("root"), "old"), "labels")
-        labels = new.select("k", "root")
-        if new.filter("root != old").isEmpty():
+        last = written(step.join(jump, step["root"] == jump["j"]).select("k", F.least("root", "far").alias("root"), "old"), "labels")
+        drop_tables(step)
+        labels = last.select("k", "root")
+        if last.filter("root != old").isEmpty():
+            drop_tables(both)
             return labels
 
 
@@ -636,9 +644,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     if threshold < 0.7:
         raise ValueError("near_groups() takes thresholds of 0.7 or more")
-    rows = sketched(docs, id_col, text_col, count, least, k)
-    classes = written(rows.groupBy("_key").agg(F.first("_sketches").alias("_sketches")), "classes")
+    full = sketched(docs, id_col, text_col, count, least, k)
+    classes = written(full.groupBy("_key").agg(F.first("_sketches").alias("_sketches")), "classes")
+    rows = written(full.drop("_sketches"), "rows")
+    drop_tables(full)
     found, buckets = candidates(classes)
+    drop_tables(classes)
     wanted = written(found.select(F.explode(F.array("a", "b")).alias("k")).distinct(), "wanted")
 
     sent = docs.sparkSession.sparkContext.broadcast(key_filter(wanted, wanted.count()))
@@ -665,7 +676,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words = text.mapInArrow(run, "k binary, w binary, g binary").groupBy("k").agg(F.first(F.struct("w", "g")).alias("x"))
     words = words.join(wanted, "k", "left_semi").select("k", "x.w", "x.g", F.expr("octet_length(x.w) DIV 8").alias("n"))
     words = written(words, "words")
-    found = written(plausible(found, words, threshold), "plausible")
+    unchecked, found = found, written(plausible(found, words, threshold), "plausible")
+    drop_tables(unchecked, wanted)
     best = Window.partitionBy("a").orderBy(F.desc("n"), "b")
     ranked = found.withColumn("rank", F.row_number().over(best))
     links = written(verified(ranked.filter("rank = 1"), words, threshold), "links")
@@ -688,6 +700,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rest = written(plausible(open_pairs(opened, words, threshold).join(tried, ["a", "b"], "left_anti"), words, threshold), "rest")
         more = written(verified(rest, words, threshold), "links")
         parts = merged(parts, more) if not more.isEmpty() else parts
+    drop_tables(words, found)
 
     sizes = rows.groupBy("_key").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("least"), F.count(F.lit(1)).alias("class_size"))
     sizes = sizes.join(parts, sizes["_key"] == parts["k"], "left").withColumn("root", F.coalesce("root", "_key"))
