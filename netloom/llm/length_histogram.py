@@ -63,10 +63,10 @@ def with_limits(hist: DataFrame) -> DataFrame:
 
 def truncated_totals(limits_df: DataFrame, limits: list[int]) -> DataFrame:
     """(context, total): tokens kept with documents cut at each asked limit, from with_limits() rows. A limit of an empty corpus gives 0."""
-    asked = limits_df.sparkSession.createDataFrame([(int(x),) for x in limits], "context long")
-    # A limit lies between two lengths that occur: nothing below the next one is cut.
-    cut = F.sum(F.when(F.col("length") > F.col("context"), F.col("n_docs") * (F.col("length") - F.col("context"))).otherwise(0))
-    return F.broadcast(asked).join(limits_df, F.lit(True), "left").groupBy("context").agg((F.coalesce(F.max("total_tokens"), F.lit(0)) - F.coalesce(cut, F.lit(0))).alias("total"))
+    asked = limits_df.sparkSession.createDataFrame([(int(x), 0) for x in dict.fromkeys(limits)], "length long, n_docs long")
+    # An asked limit is one more length, of no documents: its suffix sums answer it.
+    hist = limits_df.select("length", "n_docs").unionByName(asked).groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
+    return with_limits(hist).join(F.broadcast(asked.select("length")), "length", "left_semi").select(F.col("length").alias("context"), F.col("truncated_total").alias("total"))
 
 
 def quantiles(limits_df: DataFrame, shares: list[float]) -> DataFrame:
