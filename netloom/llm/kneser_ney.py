@@ -304,13 +304,13 @@ def train(docs: DataFrame, text_col: str = "text", bucket_bytes: int = BUCKET_BY
         at = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
         low, low_counts = w[at], np.diff(np.append(at, len(w)))
         b = bucket_of(low, model.word_buckets)
-        cuts = np.searchsorted(b, np.arange(model.word_buckets + 1))
-        data = [packed(low[x:y], low_counts[x:y]) if x < y else None for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+        to, cuts = np.unique(b, return_index=True)  # parts that exist only: their number is bounded by the words, not by the buckets
+        data = [{"bucket": int(k), "data": packed(low[x:y], low_counts[x:y])} for k, x, y in zip(to, cuts, [*cuts[1:], len(b)], strict=True)]
         k = pa.array([times(counts)], pa.list_(pa.int64()))
         own_stats = pa.array([[{"w": int(x), "s": s.tolist()} for x, s in zip(first[own].view(np.int64), stats[own], strict=True)]], pa.list_(pa.struct([("w", pa.int64()), ("s", pa.list_(pa.int64()))])))
-        return pa.record_batch([k, own_stats, pa.array([data], pa.list_(pa.binary()))], ["k", "hot", "low"])
+        return pa.record_batch([k, own_stats, pa.array([data], pa.list_(pa.struct([("bucket", pa.int32()), ("data", pa.binary())])))], ["k", "hot", "low"])
 
-    found = written(gathered(gram_arrays(docs, model.gram_buckets, hot_words, text_col), model.gram_buckets, grams, "k array<long>, hot array<struct<w:long,s:array<long>>>, low array<binary>"), "grams")
+    found = written(gathered(gram_arrays(docs, model.gram_buckets, hot_words, text_col), model.gram_buckets, grams, "k array<long>, hot array<struct<w:long,s:array<long>>>, low array<struct<bucket:int,data:binary>>"), "grams")
     model.discounts = discounts_of(list(found.agg(*[F.sum(F.col("k")[i]) for i in range(4)]).first()))
     of_hot = found.select(F.explode("hot").alias("x")).groupBy("x.w").agg(*[F.sum(F.col("x.s")[i]).alias(f"s{i}") for i in range(4)]).collect()
     by_word = {int(np.int64(r[0]).view(np.uint64)): list(r)[1:] for r in of_hot}
@@ -321,8 +321,8 @@ def train(docs: DataFrame, text_col: str = "text", bucket_bytes: int = BUCKET_BY
         put_file(f"{folder}/low-{bucket}", np.concatenate([np.array([len(keys)], np.uint64).view(np.uint8), keys.view(np.uint8), small(counts)]).tobytes())
         return pa.record_batch([pa.array([[*times(counts), int(counts.sum()), int((counts == 1).sum()), int((counts == 2).sum()), int((counts >= 3).sum())]], pa.list_(pa.int64()))], ["k"])
 
-    parts = found.select(F.posexplode("low").alias("bucket", "data")).filter("data IS NOT NULL")
-    lows = written(gathered(parts.select(F.col("bucket").cast("int"), "data"), model.word_buckets, low, "k array<long>"), "low")
+    parts = found.select(F.inline("low"))
+    lows = written(gathered(parts, model.word_buckets, low, "k array<long>"), "low")
     k = list(lows.agg(*[F.sum(F.col("k")[i]) for i in range(8)]).first())
     model.low_discounts, model.low_total = discounts_of(k[:4]), k[4]
     model.low_gamma = sum(d * n for d, n in zip(model.low_discounts, k[5:], strict=True)) / k[4]
