@@ -7,8 +7,7 @@ order. Texts that agree on a sketch are candidates; a pair is a link if its edit
 1 - (word edits) / (words of the longer), is at least the threshold. Groups are the connected parts.
 
 Texts with equal words are one class throughout, known by a 128-bit hash of their words, and only classes are
-compared; a pair whose counts of words by hash class rule a link out isn't aligned (see least_edits()). Words are their 64-bit hashes, as long as the text needs. A bucket of n classes gives about 2n candidates at first (each with the least of the bucket and with its
-neighbour). Each class's best candidate is verified, then those of the others that lie in different groups yet.
+compared; a pair whose counts of words by hash class rule a link out isn't aligned (see least_edits()). Words are their 64-bit hashes, as long as the text needs. A bucket of n classes gives about n candidates at first (each with the least of the bucket). Each class's best candidate is verified, then those of the others that lie in different groups yet.
 In buckets that are still in several groups, as those of a shared template are, classes try a few neighbours more, and those that remain
 go on exactly: two similar texts have one of their rarest pairs of words in common (or of their rarest words, see posted()), so all
 pairs that do are verified, and no other can be a link.
@@ -40,6 +39,8 @@ HOT_SHARE = 1 / 256
 FILTER_BYTES = 16 << 20
 #: Classes of a bucket that are sorted together.
 PART = 2000
+#: Least tokens of a class that go with each of its rows in the exact finish, so that a pair is sent once and not for each token it shares.
+FIRST = 16
 #: Turns in which classes of open buckets try neighbours, and neighbours of a class in each, before the exact finish.
 TURNS, TRIES = 3, 4
 #: From this many occurrences on, a pair of words is common: texts that share it must share one of their rarest words as well.
@@ -267,8 +268,9 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, count: int, least: int
 
 
 def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(a, b, n): pairs of classes, a > b, that agree on n sketches, each with the least of a bucket or its neighbour there; and (s, _key, size), the buckets.
+    """(a, b, n): pairs of classes, a > b, that agree on n sketches, each with the least of a bucket, all pairs in buckets of up to three; and (s, _key, size), the buckets.
 
+    A group of near copies shares most of its buckets' leasts, so it gives few pairs a class; neighbours are only tried where groups still differ.
     Sketches are counted first, without keys; keys move only for those that a filter of the shared ones lets through.
     """
     sizes = classes.select(F.explode("_sketches").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -286,7 +288,8 @@ def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     part = F.pmod(F.xxhash64("_key"), F.ceil(F.col("size") / PART))
     full = written(bucket.join(sizes, "s").withColumn("part", part), "buckets")
     ordered = Window.partitionBy("s", "part").orderBy("_key")
-    near = full.select(F.col("_key").alias("a"), F.lag("_key").over(ordered).alias("x"), F.first("_key").over(ordered).alias("y"))
+    beside = F.when(F.col("size") <= 3, F.lag("_key").over(ordered))
+    near = full.select(F.col("_key").alias("a"), beside.alias("x"), F.first("_key").over(ordered).alias("y"))
     near = near.select("a", F.explode(F.array("x", "y")).alias("b")).filter("b != a")
     heads = full.filter(F.col("size") > PART).groupBy("s", "part").agg(F.min("_key").alias("a"))
     heads = heads.join(heads.groupBy("s").agg(F.min("a").alias("b")), "s").filter("a != b").select("a", "b")
@@ -408,11 +411,23 @@ def token_counts(own: DataFrame, slices) -> np.ndarray:
     return df.ravel()
 
 
-def meeting(token: np.ndarray, block: np.ndarray, own: np.ndarray, key: np.ndarray, root: np.ndarray, n: np.ndarray, sums: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def first_tokens(tokens: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
+    """(texts, FIRST): the least tokens of each text, filled up with the greatest number."""
+    out = np.full((texts, FIRST), np.iinfo(np.int64).max)
+    order = np.lexsort((tokens, text))
+    of = text[order]
+    place = np.arange(len(of)) - np.searchsorted(of, of)
+    on = place < FIRST
+    out[of[on], place[on]] = tokens[order][on]
+    return out
+
+
+def meeting(token: np.ndarray, block: np.ndarray, own: np.ndarray, key: np.ndarray, root: np.ndarray, n: np.ndarray, sums: np.ndarray, first: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places (a, b) of rows of one token and block pair, key of a > key of b, in different groups, of like length, and not ruled out by sums.
 
     Rows stand in order of token and block; of a pair of different blocks only rows of both are paired. key, root: (rows, 2) big-endian
-    halves; sums: (rows, 128) halved signatures. So texts that share a template but are no links meet here and nothing is sent.
+    halves; sums: (rows, 256) signatures; first: (rows, FIRST), the
+    least tokens of each row's class: a pair with a lesser token in common meets there too, and isn't given here. So texts that share a template but are no links meet here and nothing is sent.
     """
     if not len(token):
         return
@@ -424,10 +439,14 @@ def meeting(token: np.ndarray, block: np.ndarray, own: np.ndarray, key: np.ndarr
         longer = np.maximum(n[x], n[y])
         ok = (root[x] != root[y]).any(1) & (np.abs(n[x] - n[y]) <= np.floor((1 - threshold) * longer + 1e-9)) & ((own[x] != own[y]) | (block[x] % 65536 == block[x] // 65536))
         x, y = x[ok], y[ok]
-        for k in range(0, len(x), 50_000):  # some 13 MB of signatures at a time
-            part = slice(k, k + 50_000)
+        for k in range(0, len(x), 25_000):  # some 13 MB of signatures at a time
+            part = slice(k, k + 25_000)
             ok[k : k + len(x[part])] = least_edits(sums[x[part]], sums[y[part]], n[x[part]], n[y[part]]) <= np.floor((1 - threshold) * np.maximum(n[x[part]], n[y[part]]) + 1e-9)
         x, y = x[ok[: len(x)]], y[ok[: len(x)]]
+        for k in range(0, len(x), 25_000):
+            p, q = first[x[k : k + 25_000], :, None], first[y[k : k + 25_000], None, :]
+            ok[k : k + len(p)] = ~((p == q) & (p < token[x[k : k + 25_000], None, None])).any((1, 2))
+        x, y = x[ok[: len(x)]], y[ok[: len(x)]]
         more = (key[x, 0] > key[y, 0]) | ((key[x, 0] == key[y, 0]) & (key[x, 1] > key[y, 1]))
         if len(x):
             yield np.where(more, x, y), np.where(more, y, x)
@@ -464,22 +483,24 @@ def open_pairs(opened: DataFrame, words: DataFrame, threshold: float) -> DataFra
                 on = passes(filter_keys(tokens), live.value)
                 tokens, row = tokens[on], pa.array(row[on])
                 n = pa.array(np.array([len(w) for w in words], np.int64))
-                yield pa.record_batch([pa.array(tokens.view(np.int64)), part.column("k").take(row), part.column("root").take(row), n.take(row), halved(part.column("g")).take(row)], ["t", "k", "root", "n", "g"])
+                first = pa.array([f.tobytes() for f in first_tokens(tokens.view(np.int64), row.to_numpy(), len(words))], pa.binary())
+                yield pa.record_batch([pa.array(tokens.view(np.int64)), part.column("k").take(row), part.column("root").take(row), n.take(row), part.column("g").take(row), first.take(row)], ["t", "k", "root", "n", "g", "first"])
 
-    posts = own.mapInArrow(post, "t long, k binary, root binary, n long, g binary")
+    posts = own.mapInArrow(post, "t long, k binary, root binary, n long, g binary, first binary")
     # A long list is cut by hash into parts, and each row goes to all pairs of its own part with another: all its pairs meet, some thousand rows at a time.
     cut = posts.join(lists, "t").withColumn("own", F.pmod(F.xxhash64("k"), F.col("parts")))
     block = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda j: F.least("own", j) * 65536 + F.greatest("own", j))
-    cut = cut.select("t", F.explode(block).alias("block"), "own", "k", "root", "n", "g").repartition("t", "block").sortWithinPartitions("t", "block")
+    cut = cut.select("t", F.explode(block).alias("block"), "own", "k", "root", "n", "g", "first").repartition("t", "block").sortWithinPartitions("t", "block")
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         halves = lambda c: np.frombuffer(b"".join(c.to_pylist()), ">u8").reshape(-1, 2)
         left: pa.Table | None = None
 
         def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            t, block, own, k, root, n, g = (table.column(c).combine_chunks() for c in table.column_names)
-            sums = np.frombuffer(b"".join(g.to_pylist()), np.uint8).reshape(-1, 128)
-            for a, b in meeting(t.to_numpy(), block.to_numpy(), own.to_numpy(), halves(k), halves(root), n.to_numpy(), sums, threshold):
+            t, block, own, k, root, n, g, first = (table.column(c).combine_chunks() for c in table.column_names)
+            sums = np.frombuffer(b"".join(g.to_pylist()), np.uint8).reshape(-1, 256)
+            least = np.frombuffer(b"".join(first.to_pylist()), np.int64).reshape(-1, FIRST)
+            for a, b in meeting(t.to_numpy(), block.to_numpy(), own.to_numpy(), halves(k), halves(root), n.to_numpy(), sums, least, threshold):
                 yield pa.record_batch([k.take(pa.array(a)), k.take(pa.array(b))], ["a", "b"])
 
         for batch in batches:  # the last list of a batch may go on in the next
@@ -520,12 +541,6 @@ def signatures(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount(text * 256 + (words >> np.uint64(56)).astype(np.int64), minlength=256 * len(counts)), 255).astype(np.uint8).reshape(-1, 256)
 
 
-def halved(sums: pa.Array) -> pa.Array:
-    """Signatures of 128 classes from those of 256."""
-    both = np.frombuffer(b"".join(sums.to_pylist()), np.uint8).reshape(-1, 128, 2).sum(2, dtype=np.int64)
-    return pa.array([x.tobytes() for x in np.minimum(both, 255).astype(np.uint8)], pa.binary())
-
-
 def least_edits(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """A lower bound on the word edits of each pair from signatures and lengths: a replaced word changes two classes by one, a dropped one changes one."""
     return (np.abs(a.astype(np.int16) - b).sum(1, dtype=np.int64) + np.abs(n - m)) // 2
@@ -676,16 +691,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words = text.mapInArrow(run, "k binary, w binary, g binary").groupBy("k").agg(F.first(F.struct("w", "g")).alias("x"))
     words = words.join(wanted, "k", "left_semi").select("k", "x.w", "x.g", F.expr("octet_length(x.w) DIV 8").alias("n"))
     words = written(words, "words")
-    unchecked, found = found, written(plausible(found, words, threshold), "plausible")
-    drop_tables(unchecked, wanted)
+    drop_tables(wanted)
     best = Window.partitionBy("a").orderBy(F.desc("n"), "b")
     ranked = found.withColumn("rank", F.row_number().over(best))
-    links = written(verified(ranked.filter("rank = 1"), words, threshold), "links")
+    links = written(verified(plausible(ranked.filter("rank = 1").select("a", "b"), words, threshold), words, threshold), "links")
     parts = components(links)
     of = lambda c: parts.select(F.col("k").alias(c), F.col("root").alias(f"root_{c}"))
     others = ranked.filter("rank > 1").join(of("a"), "a", "left").join(of("b"), "b", "left")
     others = others.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-    more = written(verified(written(others.select("a", "b"), "others"), words, threshold), "links")
+    more = written(verified(plausible(others.select("a", "b"), words, threshold), words, threshold), "links")
     parts = merged(parts, more) if not more.isEmpty() else parts
     tried = found.select("a", "b")
     for turn in range(TURNS):
@@ -697,7 +711,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         parts = merged(parts, more) if not more.isEmpty() else parts
     opened = open_classes(buckets, parts)
     if not opened.isEmpty():
-        rest = written(plausible(open_pairs(opened, words, threshold).join(tried, ["a", "b"], "left_anti"), words, threshold), "rest")
+        rest = written(open_pairs(opened, words, threshold).join(tried, ["a", "b"], "left_anti"), "rest")
         more = written(verified(rest, words, threshold), "links")
         parts = merged(parts, more) if not more.isEmpty() else parts
     drop_tables(words, found)

@@ -488,6 +488,36 @@ def test_near_pairs_under_a_template(spark, monkeypatch, part, common, turns):
     assert {r.doc_id: r.group_id for r in got} == {i: i - i % 2 if i < 20 else i for i in range(200)}
 
 
+def test_near_copies_give_few_candidates(spark):
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    base = [word() for _ in range(300)]
+    texts = []
+    for _ in range(400):
+        copy = base[:]
+        for _ in range(4):
+            copy[rng.randrange(300)] = word()
+        texts.append(" ".join(copy))
+    full = order_minhash.sketched(table(spark, list(enumerate(texts))), "doc_id", "text", order_minhash.SKETCHES, order_minhash.SKETCH_LEAST, order_minhash.SKETCH_K)
+    found, _ = order_minhash.candidates(full.select("_key", "_sketches"))
+    assert found.select("a").distinct().count() == 399  # all but the least
+    assert found.count() < 10 * 400
+
+
+def test_pairs_meet_once():
+    rng = np.random.default_rng(6)
+    texts, tokens = 60, [np.sort(rng.choice(40, 12, replace=False)) for _ in range(60)]
+    text, token = np.repeat(np.arange(texts), 12), np.concatenate(tokens)
+    first = order_minhash.first_tokens(token, text, texts)
+    order = np.lexsort((text, token))
+    text, token = text[order], token[order]
+    key = np.stack([np.zeros(texts, np.int64), np.arange(texts)], 1)[text]
+    zero = np.zeros(len(text), np.int64)
+    got = [(int(text[x]), int(text[y])) for a, b in order_minhash.meeting(token, zero, zero, key, key, zero + 9, np.zeros((len(text), 256), np.uint8), first[text], 0.8) for x, y in zip(a, b, strict=True)]
+    want = {(a, b) for a in range(texts) for b in range(a) if np.intersect1d(tokens[a], tokens[b]).size}
+    assert set(got) == want and len(got) == len(want)
+
+
 def even_edits(rng, length, every, pairs):
     """Pairs of texts with each every-th word replaced, as hashes, in turn."""
     out = []
