@@ -300,6 +300,12 @@ def test_hierarchical_and_two_means(spark, karate):
     assert community.two_means(apart, [0], parts=2).filter("cluster IS NULL").count() == 2
 
 
+def test_linkage_of_many_vertices(spark):
+    g = graph(spark, " ".join(f"{a}{k:04}-{b}{k:04}" for k in range(1700) for a, b in ("xy", "yz", "xz")), False)
+    assert sorted(map(len, parts(community.hierarchical(g)))) == [3] * 1700
+    assert sum(map(len, parts(community.hierarchical(g, "reference")))) == 5100
+
+
 # Primitives, auctions, bandits ------------------------------------------------------------------
 
 
