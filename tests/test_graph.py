@@ -306,6 +306,22 @@ def test_linkage_of_many_vertices(spark):
     assert sum(map(len, parts(community.hierarchical(g, "reference")))) == 5100
 
 
+def test_growth_takes_time_by_arcs():
+    import time
+
+    import numpy as np
+    import pyarrow as pa
+
+    from netloom.operators.matrix import compact_arrays
+
+    n = 40_000
+    a, b = np.arange(n), (np.arange(n) + 1) % n
+    c = compact_arrays(pa.array(range(n)), np.concatenate([a, b]), np.concatenate([b, a]), False)
+    began = time.time()
+    side = community._grow(c, 1, None)
+    assert (side >= 0).all() and np.count_nonzero(np.diff(side)) <= 2 and time.time() - began < 20
+
+
 # Primitives, auctions, bandits ------------------------------------------------------------------
 
 
