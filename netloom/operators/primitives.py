@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.graph import Graph
+from netloom.plans.ship import ship
+
+from .matrix import LOCAL_ARCS
 
 #: Reports that news travels between two cuts of the lineage.
 HOPS_A_ROUND = 4
@@ -92,8 +97,40 @@ def laplacian(graph: Graph, damping: float = 0.95, steps: int = 200) -> DataFram
     return directed_laplacian(graph, damping, steps)
 
 
-def reached(seller: DataFrame, reports: DataFrame, max_hops: int | None = 2) -> DataFrame:
-    """(auction, bidder): those the seller's news can reach, over at most max_hops reports (None: any number)."""
+def _closed(known: DataFrame, step: DataFrame) -> DataFrame:
+    """(auction, bidder): known and all that reports lead to from there, each auction searched as arrays in one task."""
+    rows = known.select("auction", "bidder", F.lit(None).cast(step.schema["reported"].dataType).alias("reported"), F.lit(True).alias("first"))
+    rows = rows.unionByName(step.filter("auction IS NOT NULL AND bidder IS NOT NULL").select("auction", "bidder", "reported", F.lit(False).alias("first")))
+    schema = known.schema
+
+    def run(rows: pa.Table) -> pa.Table:
+        first = rows.column("first").to_numpy()
+        both = pa.concat_arrays([*rows.column("bidder").chunks, *rows.column("reported").cast(rows.column("bidder").type).chunks])
+        code = both.dictionary_encode(null_encoding="encode")
+        names = code.indices.to_numpy()
+        src, dst = names[: len(first)][~first], names[len(first) :][~first]
+        n = len(code.dictionary)
+        start, target = np.concatenate([[0], np.cumsum(np.bincount(src, minlength=n))]).tolist(), dst[np.argsort(src, kind="stable")].tolist()
+        left = np.unique(names[: len(first)][first]).tolist()
+        seen = set(left)
+        while left:
+            v = left.pop()
+            for w in target[start[v] : start[v + 1]]:
+                if w not in seen:
+                    seen.add(w)
+                    left.append(w)
+        own = code.dictionary.take(pa.array(sorted(seen), pa.int64()))
+        return pa.table({"auction": rows.column("auction").combine_chunks().take(pa.array(np.zeros(len(own), np.int64))), "bidder": own})
+
+    ship(known.sparkSession)
+    return rows.groupBy("auction").applyInArrow(run, schema)
+
+
+def reached(seller: DataFrame, reports: DataFrame, max_hops: int | None = 2, plan: str | None = None) -> DataFrame:
+    """(auction, bidder): those the seller's news can reach, over at most max_hops reports (None: any number).
+
+    Any number: each auction of at most LOCAL_ARCS reports is searched in one task; if one has more (or plan="joins"), by joins of HOPS_A_ROUND hops.
+    """
     from netloom.plans.loop import materialized
 
     known = seller.select("auction", "bidder").distinct()
@@ -104,6 +141,8 @@ def reached(seller: DataFrame, reports: DataFrame, max_hops: int | None = 2) ->
             frontier = frontier.join(step, ["auction", "bidder"]).select("auction", F.col("reported").alias("bidder"))
             known = known.unionByName(frontier)
         return known.distinct()
+    if plan != "joins" and (step.groupBy("auction").count().agg(F.max("count")).first()[0] or 0) <= LOCAL_ARCS:
+        return _closed(known, step)
     frontier = known = materialized(known)
     while not frontier.isEmpty():
         found, ahead = None, frontier
