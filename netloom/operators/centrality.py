@@ -13,7 +13,10 @@ from netloom.graph import Graph
 from netloom.plans.loop import materialized
 
 from .matrix import compact, fits, id_type, in_one_task
+from .paths import runs
 
+#: Arcs up to which VoteRank elects in one task: some 100 MB of arrays, and twice that on the driver.
+VOTE_ARCS = 12_000_000
 #: Steps of an iteration between two cuts of its lineage.
 CUT = 5
 
@@ -234,28 +237,29 @@ def vote_rank(graph: Graph, top_k: int | None = None, plan: str | None = None) -
     take = n if top_k is None else min(top_k, n)
     fall = n / m if m else 0.0
     kind, spark = id_type(graph), graph.vertices.sparkSession
-    if plan != "joins" and fits(graph):
+    if plan != "joins" and fits(graph, VOTE_ARCS):
         c = compact(graph)
 
         def make() -> pa.RecordBatch:
             back = c.reverse()
             ability, free = np.ones(c.n), np.ones(c.n, bool)
             score = np.bincount(c.target, minlength=c.n).astype(float)
+            shown = np.round(score, 9)  # -1 for the elected
             chosen = []
             for _ in range(take):
-                v = int(np.argmax(np.where(free, np.round(score, 9), -1.0)))
+                v = int(np.argmax(shown))
                 chosen.append(v)
-                free[v] = False
-                change = np.zeros(c.n)
-                change[v] = -ability[v]
+                free[v], shown[v] = False, -1.0
                 near = back.target[back.start[v] : back.start[v + 1]]
-                change[near] = np.maximum(ability[near] - fall, 0) - ability[near]
-                change[near] *= free[near]  # the elected have none left
-                change[v] = -ability[v]
-                ability += change
-                for u in (*near.tolist(), v):
-                    if change[u]:
-                        score[c.target[c.start[u] : c.start[u + 1]]] += change[u]
+                near = near[free[near]]  # the elected have none left
+                change = np.append(np.maximum(ability[near] - fall, 0) - ability[near], -ability[v])
+                near = np.append(near, v)
+                near, change = near[change != 0], change[change != 0]
+                ability[near] += change
+                place, _ = runs(c.start, near)
+                hit = c.target[place]
+                np.add.at(score, hit, np.repeat(change, c.start[near + 1] - c.start[near]))
+                shown[hit] = np.where(free[hit], np.round(score[hit], 9), -1.0)
             return pa.record_batch([c.ids.take(pa.array(chosen, pa.int64())), pa.array(n - np.arange(take), pa.int64())], ["id", "rank"])
 
         return in_one_task(spark, make, f"id {kind}, rank long")

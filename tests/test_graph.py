@@ -322,6 +322,17 @@ def test_growth_takes_time_by_arcs():
     assert (side >= 0).all() and np.count_nonzero(np.diff(side)) <= 2 and time.time() - began < 20
 
 
+def test_vote_rank_above_the_common_bound(spark, rhesus, monkeypatch):
+    from netloom.operators import matrix
+
+    want = [tuple(r) for r in centrality.vote_rank(rhesus, plan="joins").orderBy("rank").collect()]
+    assert [tuple(r) for r in centrality.vote_rank(rhesus).orderBy("rank").collect()] == want
+    asked = []
+    monkeypatch.setattr(centrality, "fits", lambda graph, *bounds: asked.append(bounds) or True)
+    centrality.vote_rank(rhesus)
+    assert asked[0][0] >= 6 * 10**6 > matrix.LOCAL_ARCS  # a join a round doesn't end on 6 million arcs
+
+
 # Primitives, auctions, bandits ------------------------------------------------------------------
 
 
@@ -413,3 +424,20 @@ def test_best_level_equals_every_level():
             left = community.without(left, k)
             each.append(community.quality(c, components.labels_of(left)))
         assert best == pytest.approx(max(each)) and each[level] == pytest.approx(best) and all(q < best - 1e-12 for q in each[:level])
+
+
+def test_closure_of_long_chains(spark, monkeypatch):
+    from netloom.plans import loop
+
+    n = 3000
+    seller = spark.createDataFrame([(1, "0"), (1, "0"), (2, None), (None, "x"), (4, "a")], "auction long, bidder string")
+    reports = [(1, str(k), str(k + 1)) for k in range(n)] + [(1, "gone", "lost"), (3, "0", "1"), (None, "x", "y"), (1, None, "z"), (4, "a", None), (4, "a", "a"), (4, None, "b")]
+    reports = spark.createDataFrame(reports, "auction long, bidder string, reported string")
+    write, writes = loop.materialized, []
+    monkeypatch.setattr(loop, "materialized", lambda df, *kind: writes.append(1) or write(df, *kind))
+    got = sorted(map(tuple, primitives.reached(seller, reports, None).collect()), key=str)
+    assert got == sorted([(1, str(k)) for k in range(n + 1)] + [(2, None), (None, "x"), (4, "a"), (4, None)], key=str)
+    assert len(writes) < 20
+    few = reports.filter("auction != 1 OR bidder IS NULL OR length(bidder) = 1")
+    same = lambda plan: sorted(map(tuple, primitives.reached(seller, few, None, plan).collect()), key=str)
+    assert same(None) == same("joins")
