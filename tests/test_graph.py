@@ -333,6 +333,28 @@ def test_vote_rank_above_the_common_bound(spark, rhesus, monkeypatch):
     assert asked[0][0] >= 6 * 10**6 > matrix.LOCAL_ARCS  # a join a round doesn't end on 6 million arcs
 
 
+def test_removal_counts_what_it_must(spark, monkeypatch):
+    import numpy as np
+
+    # Two rings of three joined by a bridge, a ring of five apart: the bridge is passed by 2 * 3 * 3 paths.
+    g = graph(spark, "a-b b-c a-c c-d d-e e-f d-f p-q q-r r-s s-t p-t", False)
+    c = compact(g)
+    key, passed = community.bridges(c)
+    assert key.tolist() == [2 * c.n + 3] and passed.tolist() == [18]
+    flows = community.flows_from(c, np.arange(c.n))
+    assert np.allclose(flows, community._flows_from(c, np.arange(c.n)))
+    assert flows[np.isin(community.pair_keys(c), key)].sum() == 18
+    assert not community.splits_nothing(c)
+    asked = []
+    count = community.arc_flows
+    monkeypatch.setattr(community, "arc_flows", lambda graph, c, sources: asked.append(len(sources)) or count(graph, c, sources))
+    assert parts(community.girvan_newman(g)) == [["a", "b", "c"], ["d", "e", "f"], ["p", "q", "r", "s", "t"]]
+    assert asked[:2] == [11, 6] and max(asked[1:]) == 6  # then only the part that an edge was in
+    asked.clear()
+    ring = graph(spark, "p-q q-r r-s s-t p-t", False)
+    assert len(parts(community.girvan_newman(ring, semantics="reference"))) == 1 and not asked
+
+
 # Primitives, auctions, bandits ------------------------------------------------------------------
 
 
