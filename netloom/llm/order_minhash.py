@@ -39,8 +39,8 @@ HOT_SHARE = 1 / 256
 FILTER_BYTES = 16 << 20
 #: Classes of a bucket that are sorted together.
 PART = 2000
-#: Least tokens of a class that go with each of its rows in the exact finish, so that a pair is sent once and not for each token it shares.
-FIRST = 16
+#: Most frequent tokens of a class that go with each of its rows in the exact finish, so that a pair is sent seldom more than once.
+FIRST = 32
 #: Turns in which classes of open buckets try neighbours, and neighbours of a class in each, before the exact finish.
 TURNS, TRIES = 3, 4
 #: From this many occurrences on, a pair of words is common: texts that share it must share one of their rarest words as well.
@@ -411,6 +411,11 @@ def token_counts(own: DataFrame, slices) -> np.ndarray:
     return df.ravel()
 
 
+def placed(tokens: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """Tokens as numbers in order of place: the most frequent first, then by hash."""
+    return (255 - df[slot(tokens, len(df).bit_length() - 1)].astype(np.int64) << 55) | (tokens >> np.uint64(9)).astype(np.int64)
+
+
 def first_tokens(tokens: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
     """(texts, FIRST): the least tokens of each text, filled up with the greatest number."""
     out = np.full((texts, FIRST), np.iinfo(np.int64).max)
@@ -422,12 +427,12 @@ def first_tokens(tokens: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray
     return out
 
 
-def meeting(token: np.ndarray, block: np.ndarray, own: np.ndarray, key: np.ndarray, root: np.ndarray, n: np.ndarray, sums: np.ndarray, first: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def meeting(token: np.ndarray, block: np.ndarray, own: np.ndarray, key: np.ndarray, root: np.ndarray, n: np.ndarray, sums: np.ndarray, place: np.ndarray, first: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places (a, b) of rows of one token and block pair, key of a > key of b, in different groups, of like length, and not ruled out by sums.
 
     Rows stand in order of token and block; of a pair of different blocks only rows of both are paired. key, root: (rows, 2) big-endian
-    halves; sums: (rows, 256) signatures; first: (rows, FIRST), the
-    least tokens of each row's class: a pair with a lesser token in common meets there too, and isn't given here. So texts that share a template but are no links meet here and nothing is sent.
+    halves; sums: (rows, 256) signatures; place: of the token; first: (rows, FIRST), the
+    least places of tokens of each row's class: a pair with a token of lesser place in common meets there too, and isn't given here. So texts that share a template but are no links meet here and nothing is sent.
     """
     if not len(token):
         return
@@ -445,7 +450,7 @@ def meeting(token: np.ndarray, block: np.ndarray, own: np.ndarray, key: np.ndarr
         x, y = x[ok[: len(x)]], y[ok[: len(x)]]
         for k in range(0, len(x), 25_000):
             p, q = first[x[k : k + 25_000], :, None], first[y[k : k + 25_000], None, :]
-            ok[k : k + len(p)] = ~((p == q) & (p < token[x[k : k + 25_000], None, None])).any((1, 2))
+            ok[k : k + len(p)] = ~((p == q) & (p < place[x[k : k + 25_000], None, None])).any((1, 2))
         x, y = x[ok[: len(x)]], y[ok[: len(x)]]
         more = (key[x, 0] > key[y, 0]) | ((key[x, 0] == key[y, 0]) & (key[x, 1] > key[y, 1]))
         if len(x):
@@ -483,24 +488,25 @@ def open_pairs(opened: DataFrame, words: DataFrame, threshold: float) -> DataFra
                 on = passes(filter_keys(tokens), live.value)
                 tokens, row = tokens[on], pa.array(row[on])
                 n = pa.array(np.array([len(w) for w in words], np.int64))
-                first = pa.array([f.tobytes() for f in first_tokens(tokens.view(np.int64), row.to_numpy(), len(words))], pa.binary())
-                yield pa.record_batch([pa.array(tokens.view(np.int64)), part.column("k").take(row), part.column("root").take(row), n.take(row), part.column("g").take(row), first.take(row)], ["t", "k", "root", "n", "g", "first"])
+                place = placed(tokens, sent.value)
+                first = pa.array([f.tobytes() for f in first_tokens(place, row.to_numpy(), len(words))], pa.binary())
+                yield pa.record_batch([pa.array(tokens.view(np.int64)), part.column("k").take(row), part.column("root").take(row), n.take(row), part.column("g").take(row), pa.array(place), first.take(row)], ["t", "k", "root", "n", "g", "place", "first"])
 
-    posts = own.mapInArrow(post, "t long, k binary, root binary, n long, g binary, first binary")
+    posts = own.mapInArrow(post, "t long, k binary, root binary, n long, g binary, place long, first binary")
     # A long list is cut by hash into parts, and each row goes to all pairs of its own part with another: all its pairs meet, some thousand rows at a time.
     cut = posts.join(lists, "t").withColumn("own", F.pmod(F.xxhash64("k"), F.col("parts")))
     block = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda j: F.least("own", j) * 65536 + F.greatest("own", j))
-    cut = cut.select("t", F.explode(block).alias("block"), "own", "k", "root", "n", "g", "first").repartition("t", "block").sortWithinPartitions("t", "block")
+    cut = cut.select("t", F.explode(block).alias("block"), "own", "k", "root", "n", "g", "place", "first").repartition("t", "block").sortWithinPartitions("t", "block")
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         halves = lambda c: np.frombuffer(b"".join(c.to_pylist()), ">u8").reshape(-1, 2)
         left: pa.Table | None = None
 
         def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            t, block, own, k, root, n, g, first = (table.column(c).combine_chunks() for c in table.column_names)
+            t, block, own, k, root, n, g, place, first = (table.column(c).combine_chunks() for c in table.column_names)
             sums = np.frombuffer(b"".join(g.to_pylist()), np.uint8).reshape(-1, 256)
             least = np.frombuffer(b"".join(first.to_pylist()), np.int64).reshape(-1, FIRST)
-            for a, b in meeting(t.to_numpy(), block.to_numpy(), own.to_numpy(), halves(k), halves(root), n.to_numpy(), sums, least, threshold):
+            for a, b in meeting(t.to_numpy(), block.to_numpy(), own.to_numpy(), halves(k), halves(root), n.to_numpy(), sums, place.to_numpy(), least, threshold):
                 yield pa.record_batch([k.take(pa.array(a)), k.take(pa.array(b))], ["a", "b"])
 
         for batch in batches:  # the last list of a batch may go on in the next

@@ -513,7 +513,7 @@ def test_pairs_meet_once():
     text, token = text[order], token[order]
     key = np.stack([np.zeros(texts, np.int64), np.arange(texts)], 1)[text]
     zero = np.zeros(len(text), np.int64)
-    got = [(int(text[x]), int(text[y])) for a, b in order_minhash.meeting(token, zero, zero, key, key, zero + 9, np.zeros((len(text), 256), np.uint8), first[text], 0.8) for x, y in zip(a, b, strict=True)]
+    got = [(int(text[x]), int(text[y])) for a, b in order_minhash.meeting(token, zero, zero, key, key, zero + 9, np.zeros((len(text), 256), np.uint8), token, first[text], 0.8) for x, y in zip(a, b, strict=True)]
     want = {(a, b) for a in range(texts) for b in range(a) if np.intersect1d(tokens[a], tokens[b]).size}
     assert set(got) == want and len(got) == len(want)
 
