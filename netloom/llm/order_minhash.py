@@ -43,6 +43,12 @@ PART = 2000
 FIRST = 32
 #: Turns in which classes of open buckets try neighbours, and neighbours of a class in each, before the exact finish.
 TURNS, TRIES = 3, 4
+#: A turn in which fewer than one in FEW pairs is a link is the last: the exact finish takes what is left anyway.
+FEW = 100
+#: Hash classes of words that go with each row of the exact finish, four bits each.
+FINE = 2048
+#: Up to so many links are joined to groups in one task (32 bytes each).
+LOCAL_LINKS = 1 << 20
 #: From this many occurrences on, a pair of words is common: texts that share it must share one of their rarest words as well.
 COMMON = 256
 #: Bits of the greatest table by which pairs of words of open buckets are counted, to order them by rarity: one byte each, sent to all.
@@ -427,12 +433,13 @@ def first_tokens(tokens: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray
     return out
 
 
-def meeting(token: np.ndarray, block: np.ndarray, own: np.ndarray, key: np.ndarray, root: np.ndarray, n: np.ndarray, sums: np.ndarray, place: np.ndarray, first: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def meeting(token: np.ndarray, block: np.ndarray, own: np.ndarray, key: np.ndarray, root: np.ndarray, n: np.ndarray, sums: np.ndarray, place: np.ndarray, first: np.ndarray, threshold: float, fine: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places (a, b) of rows of one token and block pair, key of a > key of b, in different groups, of like length, and not ruled out by sums.
 
     Rows stand in order of token and block; of a pair of different blocks only rows of both are paired. key, root: (rows, 2) big-endian
     halves; sums: (rows, 256) signatures; place: of the token; first: (rows, FIRST), the
     least places of tokens of each row's class: a pair with a token of lesser place in common meets there too, and isn't given here. So texts that share a template but are no links meet here and nothing is sent.
+    fine: (rows, FINE / 2) fine_signatures(), which rule out more of what the others leave, above all of long texts.
     """
     if not len(token):
         return
@@ -452,6 +459,11 @@ def meeting(token: np.ndarray, block: np.ndarray, own: np.ndarray, key: np.ndarr
             p, q = first[x[k : k + 25_000], :, None], first[y[k : k + 25_000], None, :]
             ok[k : k + len(p)] = ~((p == q) & (p < place[x[k : k + 25_000], None, None])).any((1, 2))
         x, y = x[ok[: len(x)]], y[ok[: len(x)]]
+        if fine is not None:
+            for k in range(0, len(x), 2000):  # some 8 MB of unpacked counts at a time
+                p, q = x[k : k + 2000], y[k : k + 2000]
+                ok[k : k + len(p)] = least_edits(unpacked(fine[p]), unpacked(fine[q]), n[p], n[q]) <= np.floor((1 - threshold) * np.maximum(n[p], n[q]) + 1e-9)
+            x, y = x[ok[: len(x)]], y[ok[: len(x)]]
         more = (key[x, 0] > key[y, 0]) | ((key[x, 0] == key[y, 0]) & (key[x, 1] > key[y, 1]))
         if len(x):
             yield np.where(more, x, y), np.where(more, y, x)
@@ -460,7 +472,7 @@ def meeting(token: np.ndarray, block: np.ndarray, own: np.ndarray, key: np.ndarr
 
 def open_pairs(opened: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
     """(a, b): the pairs of open classes in different groups, a > b, that share a token of their prefixes and are of like length."""
-    own = written(words.join(opened, "k").select("k", "root", "w", "g"), "open-words")
+    own = written(words.join(opened, "k").select("k", "root", "w"), "open-words")
 
     def slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
         for a, b in text_slices(batch.column("w"), 4_000_000):
@@ -490,7 +502,10 @@ def open_pairs(opened: DataFrame, words: DataFrame, threshold: float) -> DataFra
                 n = pa.array(np.array([len(w) for w in words], np.int64))
                 place = placed(tokens, sent.value)
                 first = pa.array([f.tobytes() for f in first_tokens(place, row.to_numpy(), len(words))], pa.binary())
-                yield pa.record_batch([pa.array(tokens.view(np.int64)), part.column("k").take(row), part.column("root").take(row), n.take(row), part.column("g").take(row), pa.array(place), first.take(row)], ["t", "k", "root", "n", "g", "place", "first"])
+                fine = pa.array([g.tobytes() for g in fine_signatures(words)], pa.binary())
+                for at in range(0, len(row), 5000):
+                    rows = row.slice(at, 5000)
+                    yield pa.record_batch([pa.array(tokens[at : at + 5000].view(np.int64)), part.column("k").take(rows), part.column("root").take(rows), n.take(rows), fine.take(rows), pa.array(place[at : at + 5000]), first.take(rows)], ["t", "k", "root", "n", "g", "place", "first"])
 
     posts = own.mapInArrow(post, "t long, k binary, root binary, n long, g binary, place long, first binary")
     # A long list is cut by hash into parts, and each row goes to all pairs of its own part with another: all its pairs meet, some thousand rows at a time.
@@ -504,9 +519,9 @@ def open_pairs(opened: DataFrame, words: DataFrame, threshold: float) -> DataFra
 
         def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
             t, block, own, k, root, n, g, place, first = (table.column(c).combine_chunks() for c in table.column_names)
-            sums = np.frombuffer(b"".join(g.to_pylist()), np.uint8).reshape(-1, 256)
+            fine = np.frombuffer(b"".join(g.to_pylist()), np.uint8).reshape(-1, FINE // 2)
             least = np.frombuffer(b"".join(first.to_pylist()), np.int64).reshape(-1, FIRST)
-            for a, b in meeting(t.to_numpy(), block.to_numpy(), own.to_numpy(), halves(k), halves(root), n.to_numpy(), sums, place.to_numpy(), least, threshold):
+            for a, b in meeting(t.to_numpy(), block.to_numpy(), own.to_numpy(), halves(k), halves(root), n.to_numpy(), coarse(fine), place.to_numpy(), least, threshold, fine):
                 yield pa.record_batch([k.take(pa.array(a)), k.take(pa.array(b))], ["a", "b"])
 
         for batch in batches:  # the last list of a batch may go on in the next
@@ -547,6 +562,32 @@ def signatures(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount(text * 256 + (words >> np.uint64(56)).astype(np.int64), minlength=256 * len(counts)), 255).astype(np.uint8).reshape(-1, 256)
 
 
+def fine_signatures(words: list[np.ndarray]) -> np.ndarray:
+    """(texts, FINE / 2) bytes: how many of each text's words fall into each of FINE hash classes, at most 15: first class in the low half."""
+    out = np.zeros((len(words), FINE // 2), np.uint8)
+    for k in range(0, len(words), 200):
+        part = words[k : k + 200]
+        text = np.repeat(np.arange(len(part)), [len(w) for w in part])
+        place = (np.concatenate(part) >> np.uint64(65 - FINE.bit_length())).astype(np.int64)
+        n = np.minimum(np.bincount(text * FINE + place, minlength=FINE * len(part)), 15).astype(np.uint8)
+        out[k : k + 200] = (n[::2] | (n[1::2] << 4)).reshape(-1, FINE // 2)
+    return out
+
+
+def unpacked(fine: np.ndarray) -> np.ndarray:
+    """(texts, FINE) counts of fine_signatures(), in an order of their own."""
+    return np.concatenate([fine & 15, fine >> 4], 1)
+
+
+def coarse(fine: np.ndarray) -> np.ndarray:
+    """(texts, 256) bytes: sums of neighbouring counts of fine_signatures(), which bound edits as they do, more loosely."""
+    out = np.zeros((len(fine), 256), np.uint8)
+    for k in range(0, len(fine), 2000):
+        part = fine[k : k + 2000].reshape(-1, 256, FINE // 512)
+        out[k : k + 2000] = (part & 15).sum(2, dtype=np.uint8) + (part >> 4).sum(2, dtype=np.uint8)  # at most 8 * 15
+    return out
+
+
 def least_edits(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """A lower bound on the word edits of each pair from signatures and lengths: a replaced word changes two classes by one, a dropped one changes one."""
     return (np.abs(a.astype(np.int16) - b).sum(1, dtype=np.int64) + np.abs(n - m)) // 2
@@ -568,8 +609,36 @@ def plausible(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame
     return both.select(*names, "ga", "gb", "na", "nb").mapInArrow(run, pairs.schema)
 
 
+def parts_of_links(a: pa.Array, b: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """(key, the least key of its connected part) of the 16-byte keys that links (a, b) join."""
+    found = pa.concat_arrays([a, b]).dictionary_encode()
+    keys = np.frombuffer(b"".join(found.dictionary.to_pylist()), ">u8").reshape(-1, 2)
+    order = np.lexsort((keys[:, 1], keys[:, 0]))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    x, y = np.split(rank[found.indices.to_numpy()], 2)
+    root = np.arange(len(order))
+    while (root[x] != root[y]).any():
+        u, v = root[x], root[y]
+        np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+        while (root[root] != root).any():
+            root = root[root]
+    return found.dictionary.take(pa.array(order)), found.dictionary.take(pa.array(order[root]))
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(k, root): the least key of each connected part, by least labels of neighbours and jumps to the label's label."""
+    """(k, root): the least key of each connected part. links: a written table.
+
+    Up to LOCAL_LINKS of them are joined in one task; beyond, by least labels of neighbours and jumps to the label's label.
+    """
+    if links.count() <= LOCAL_LINKS:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if rows := list(batches):
+                out = pa.record_batch(list(parts_of_links(*(pa.concat_arrays([r.column(c) for r in rows]) for c in ("a", "b")))), ["k", "root"])
+                yield from (out.slice(at, 100_000) for at in range(0, out.num_rows, 100_000))
+
+        return written(links.select("a", "b").coalesce(1).mapInArrow(run, "k binary, root binary"), "labels")
     both = written(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))), "links")
     labels = last = written(both.groupBy(F.col("u").alias("k")).agg(F.least(F.min("v"), F.first("u")).alias("root")), "labels")
     while True:
@@ -590,10 +659,13 @@ def merged(parts: DataFrame, links: DataFrame) -> DataFrame:
     """(k, root) with groups joined by more links: one link for each two groups is kept, and only the groups' roots go through components()."""
     of = lambda c: parts.select(F.col("k").alias(c), F.col("root").alias(f"root_{c}"))
     own = links.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
-    joined = components(own.filter("a != b").distinct()).select(F.col("k").alias("old"), F.col("root").alias("new"))
+    own = written(own.filter("a != b").distinct(), "links")
+    joined = components(own).select(F.col("k").alias("old"), F.col("root").alias("new"))
     moved = parts.join(joined, parts["root"] == joined["old"], "left").select("k", F.coalesce("new", "root").alias("root"))
     alone = joined.join(parts, joined["old"] == parts["k"], "left_anti").select(F.col("old").alias("k"), F.col("new").alias("root"))
-    return written(moved.unionByName(alone), "labels")
+    out = written(moved.unionByName(alone), "labels")
+    drop_tables(own)
+    return out
 
 
 def key_filter(wanted: DataFrame, rows: int) -> np.ndarray:
@@ -714,7 +786,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             continue
         more = written(verified(plausible(some, words, threshold), words, threshold), "links")
         tried = tried.unionByName(some)
-        parts = merged(parts, more) if not more.isEmpty() else parts
+        linked = more.count()
+        parts = merged(parts, more) if linked else parts
+        if linked * FEW < some.count():
+            break
     opened = open_classes(buckets, parts)
     if not opened.isEmpty():
         rest = written(open_pairs(opened, words, threshold).join(tried, ["a", "b"], "left_anti"), "rest")

@@ -518,6 +518,49 @@ def test_pairs_meet_once():
     assert set(got) == want and len(got) == len(want)
 
 
+def test_fine_signatures_rule_out_long_texts():
+    rng = np.random.default_rng(4)
+    often = np.repeat(rng.integers(1 << 63, size=2, dtype=np.uint64) * np.uint64(2), 300)  # most of a text of 800 words is two words
+    words = [np.concatenate([often, rng.integers(1 << 63, size=200, dtype=np.uint64) * np.uint64(2)]) for _ in range(40)]
+    words += [np.concatenate([w[:-40], rng.integers(1 << 63, size=40, dtype=np.uint64)]) for w in words[:10]]  # 40 words edited: links
+    fine, n = order_minhash.fine_signatures(words), np.array([len(w) for w in words])
+    sums, key = order_minhash.signatures(np.concatenate(words), n), np.stack([np.zeros(50, np.int64), np.arange(50)], 1)
+    assert (order_minhash.coarse(fine) <= sums).all()
+    zero, first = np.zeros(50, np.int64), order_minhash.first_tokens(np.arange(50), np.arange(50), 50)
+    meet = lambda *more: {(max(x, y), min(x, y)) for a, b in order_minhash.meeting(zero, zero, zero, key, key, n, sums, zero, first, 0.8, *more) for x, y in zip(a.tolist(), b.tolist(), strict=True)}
+    links = {(40 + i, i) for i in range(10)}
+    assert links <= meet(fine) and len(meet(fine)) < 100 < 1000 < len(meet())
+
+
+def test_fine_signatures_bound_edits():
+    rng = random.Random(3)
+    for _ in range(200):
+        a = [rng.randrange(1 << 64) for _ in range(rng.randint(1, 300))] * rng.choice([1, 1, 20])
+        b = [w if rng.random() < rng.choice([0.5, 0.9]) else rng.randrange(1 << 64) for w in a if rng.random() < 0.9]
+        n, fine = [len(a)], order_minhash.fine_signatures([np.array(a, np.uint64), np.array(b, np.uint64)])
+        common = sum((collections.Counter(a) & collections.Counter(b)).values())
+        for made in (order_minhash.unpacked(fine), order_minhash.coarse(fine)):
+            assert order_minhash.least_edits(made[:1], made[1:], np.array(n), np.array([len(b)]))[0] <= max(len(a), len(b)) - common
+
+
+def test_links_joined_in_one_task_equal_the_loop(spark, monkeypatch):
+    rng = random.Random(7)
+    keys = [rng.randbytes(16) for _ in range(300)]
+    chain = sorted(keys[:40], reverse=True)
+    rows = [rng.sample(keys[40:], 2) for _ in range(130)] + list(zip(chain[1:], chain[:-1], strict=True))
+    links = order_minhash.written(spark.createDataFrame(rows, "a binary, b binary"), "links")
+    tables = []
+    keep = order_minhash.written
+    monkeypatch.setattr(order_minhash, "written", lambda df, kind: tables.append(kind) or keep(df, kind))
+    one = {bytes(r.k): bytes(r.root) for r in order_minhash.components(links).collect()}
+    assert tables == ["labels"]
+    monkeypatch.setattr(order_minhash, "LOCAL_LINKS", 0)
+    assert one == {bytes(r.k): bytes(r.root) for r in order_minhash.components(links).collect()}
+    assert {one[k] for k in chain} == {min(chain)} and len(one) == len({k for r in rows for k in r})
+    monkeypatch.undo()
+    assert order_minhash.components(links.limit(0)).count() == 0
+
+
 def even_edits(rng, length, every, pairs):
     """Pairs of texts with each every-th word replaced, as hashes, in turn."""
     out = []
