@@ -2,13 +2,15 @@ import itertools
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from netloom.functions import inverse
 from netloom.graph import Graph
 from netloom.operators import auctions, bandits, centrality, community, components, mining, paths, primitives
-from netloom.operators.matrix import compact, least_vectors
+from netloom.operators.matrix import compact, compact_arrays, least_vectors
 from netloom.sources import edge_lists
 from netloom.streaming.degrees import windowed_degrees
 
@@ -355,6 +357,52 @@ def test_removal_counts_what_it_must(spark, monkeypatch):
     assert len(parts(community.girvan_newman(ring, semantics="reference"))) == 1 and not asked
 
 
+def test_no_better_parts_against_all_partitions():
+    def partitions(n):
+        label = [0] * n
+        while True:
+            yield label
+            k = n - 1
+            while k > 0 and label[k] > max(label[:k]):
+                k -= 1
+            if k <= 0:
+                return
+            label = [*label[:k], label[k] + 1, *[0] * (n - k - 1)]
+
+    rng, proved = np.random.default_rng(2), 0
+    for turn in range(60):
+        n = int(rng.integers(4, 8))
+        near = np.triu(rng.random((n, n)) < rng.choice([0.3, 0.6, 0.9]), 1)
+        near[: n // 2, n // 2 :] &= turn % 3 == 0
+        src, dst = np.nonzero(near | near.T)
+        c = compact_arrays(pa.array(range(n)), src, dst, False)
+        label = components.labels_of(c) if turn % 2 else np.arange(n) * 2 // n
+        if len(src) and community.no_better_parts(c, label):
+            proved += len(np.unique(label)) < n
+            q = community.quality(c, label)
+            assert all(community.quality(c, label * n + np.array(x)) <= q + 1e-9 for x in partitions(n))
+    assert proved > 5
+
+
+@pytest.mark.parametrize("how", [{}, {"sample_size": 4, "seed": 1}, {"sample_size": 2, "strata": 3, "seed": 1}])
+def test_girvan_newman_ends_where_nothing_can_be_gained(spark, monkeypatch, how):
+    rng, sizes = np.random.default_rng(5), (12, 12, 12, 9)
+    pairs = []
+    for k, n in enumerate(sizes):
+        near = np.triu(rng.random((n, n)) < 0.6, 1)
+        near[np.arange(n - 1), np.arange(1, n)] = True
+        pairs += [f"{k}{chr(97 + i)}-{k}{chr(97 + j)}" for i, j in zip(*np.nonzero(near), strict=True)]
+    apart, turns = graph(spark, " ".join(pairs), False), []
+    joined = graph(spark, " ".join([*pairs, "0a-1a", "1b-2b"]), False)
+    count = community.arc_flows
+    monkeypatch.setattr(community, "arc_flows", lambda *a: turns.append(1) or count(*a))
+    assert list(map(len, parts(community.girvan_newman(apart, **how)))) == list(sizes) and not turns
+    got, ended = parts(community.girvan_newman(joined, **how)), len(turns)
+    monkeypatch.setattr(community, "no_better_parts", lambda c, label: False)
+    assert got == parts(community.girvan_newman(joined, **how)) and len(turns) - ended > ended
+    assert list(map(len, parts(community.girvan_newman(apart, **how)))) == list(sizes)
+
+
 # Primitives, auctions, bandits ------------------------------------------------------------------
 
 
