@@ -472,7 +472,7 @@ def meeting(token: np.ndarray, block: np.ndarray, own: np.ndarray, key: np.ndarr
 
 def open_pairs(opened: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
     """(a, b): the pairs of open classes in different groups, a > b, that share a token of their prefixes and are of like length."""
-    own = written(words.join(opened, "k").select("k", "root", "w"), "open-words")
+    own = written(needed(words.select("k", "w"), opened).join(opened, "k").select("k", "root", "w"), "open-words")
 
     def slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
         for a, b in text_slices(batch.column("w"), 4_000_000):
@@ -538,8 +538,19 @@ def open_pairs(opened: DataFrame, words: DataFrame, threshold: float) -> DataFra
     return cut.mapInArrow(pair, "a binary, b binary").distinct()
 
 
+def needed(words: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of words that a filter of the wanted keys lets through, so that a join moves few others. wanted: (k, ...), a written table or made of one."""
+    sent = words.sparkSession.sparkContext.broadcast(key_filter(wanted, wanted.count()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(passes(batch.column("k").to_pylist(), sent.value)))
+
+    return words.mapInArrow(run, words.schema)
+
+
 def verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) that are similar. words: (k, w), the words of each class."""
+    """The pairs (a, b) that are similar. pairs: a written table; words: (k, w), the words of each class, of which only those of the pairs move."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -551,8 +562,9 @@ def verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
                 ok = pa.array(similar(both, threshold))
                 yield pa.record_batch([part.column(0), part.column(1)], ["a", "b"]).filter(ok)
 
-    one = words.select(F.col("k").alias("a"), F.col("w").alias("wa"))
-    two = words.select(F.col("k").alias("b"), F.col("w").alias("wb"))
+    own = needed(words.select("k", "w"), pairs.select(F.explode(F.array("a", "b")).alias("k")))
+    one = own.select(F.col("k").alias("a"), F.col("w").alias("wa"))
+    two = own.select(F.col("k").alias("b"), F.col("w").alias("wb"))
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "wa", "wb").mapInArrow(run, "a binary, b binary")
 
 
@@ -772,19 +784,26 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     drop_tables(wanted)
     best = Window.partitionBy("a").orderBy(F.desc("n"), "b")
     ranked = found.withColumn("rank", F.row_number().over(best))
-    links = written(verified(plausible(ranked.filter("rank = 1").select("a", "b"), words, threshold), words, threshold), "links")
-    parts = components(links)
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """The pairs that are links, as a table."""
+        left = written(plausible(pairs, words, threshold), "plausible")
+        out = written(verified(left, words, threshold), "links")
+        drop_tables(left)
+        return out
+
+    parts = components(confirmed(ranked.filter("rank = 1").select("a", "b")))
     of = lambda c: parts.select(F.col("k").alias(c), F.col("root").alias(f"root_{c}"))
     others = ranked.filter("rank > 1").join(of("a"), "a", "left").join(of("b"), "b", "left")
     others = others.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-    more = written(verified(plausible(others.select("a", "b"), words, threshold), words, threshold), "links")
+    more = confirmed(others.select("a", "b"))
     parts = merged(parts, more) if not more.isEmpty() else parts
     tried = found.select("a", "b")
     for turn in range(TURNS):
         some = written(neighbours(buckets, parts, turn).join(tried, ["a", "b"], "left_anti"), "neighbours")
         if some.isEmpty():
             continue
-        more = written(verified(plausible(some, words, threshold), words, threshold), "links")
+        more = confirmed(some)
         tried = tried.unionByName(some)
         linked = more.count()
         parts = merged(parts, more) if linked else parts

@@ -657,3 +657,30 @@ def test_key_filter_loses_nothing(spark):
     made = order_minhash.key_filter(spark.createDataFrame([(k,) for k in keys[:1500]], "k binary"), 1500)
     ok = order_minhash.passes(keys, made)
     assert ok[:1500].all() and ok[1500:].mean() < 0.1
+
+
+def test_verified_moves_only_the_texts_of_its_pairs(spark):
+    rng = np.random.default_rng(6)
+    texts = rng.integers(1 << 62, size=(2000, 300), dtype=np.int64)
+    texts[1, 3:] = texts[0, 3:]  # three edits in 300 words
+    keys = [hashlib.md5(str(i).encode()).digest() for i in range(len(texts))]
+    words = order_minhash.written(spark.createDataFrame([(k, t.tobytes()) for k, t in zip(keys, texts, strict=True)], "k binary, w binary"), "words")
+    pairs = order_minhash.written(spark.createDataFrame([(keys[0], keys[1]), (keys[2], keys[3])], "a binary, b binary"), "pairs")
+    context = spark.sparkContext._jsc.sc()
+
+    def moved():
+        context.listenerBus().waitUntilEmpty(30_000)
+        return sum(x.totalShuffleWrite() for x in (found.apply(i) for found in [context.statusStore().executorList(False)] for i in range(found.size())))
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        start = moved()
+        got = [(bytes(r.a), bytes(r.b)) for r in order_minhash.verified(pairs, words, 0.8).collect()]
+        assert got == [(keys[0], keys[1])]
+        assert moved() - start < texts.nbytes // 20
+        assert order_minhash.verified(pairs.limit(0), words, 0.8).count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    kept = {bytes(r.k) for r in order_minhash.needed(words, pairs.select(F.col("a").alias("k"))).collect()}
+    assert {keys[0], keys[2]} <= kept and len(kept) < 50
