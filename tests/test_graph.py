@@ -357,6 +357,48 @@ def test_removal_counts_what_it_must(spark, monkeypatch):
     assert len(parts(community.girvan_newman(ring, semantics="reference"))) == 1 and not asked
 
 
+@pytest.mark.parametrize("directed", [False, True])
+def test_searches_in_step_equal_searches_one_by_one(monkeypatch, directed):
+    rng = np.random.default_rng(3)
+    for n, share in ((1, 0), (9, 0.1), (40, 0.04), (40, 0.3)):
+        near = np.triu(rng.random((n, n)) < share, 1)
+        src, dst = np.nonzero(near if directed else near | near.T)
+        c = compact_arrays(pa.array(range(n)), src, dst, directed)
+        want = np.zeros(len(c.target))
+        for s in range(n):
+            far, levels = paths.search(c, s)
+            sigma, arcs = paths.path_counts(c, levels, far)
+            flow = np.ones(n)
+            for place, u, v in reversed(arcs):
+                want[place] += flow[v] * sigma[u] / sigma[v]
+                flow += np.bincount(u, flow[v] * sigma[u] / sigma[v], n)
+        for most in (1, 3 * (n + len(c.target)), 10**6):
+            monkeypatch.setattr(community, "IN_STEP", most)
+            assert np.allclose(community._flows_from(c, np.arange(n)), want)
+        for key in {int(k) for k in community.pair_keys(c)[:3]}:
+            keep = community.pair_keys(c) != key
+            left, other = community.without(c, key), compact_arrays(c.ids, c.sources()[keep], c.target[keep].astype(np.int64), directed)
+            assert (left.start == other.start).all() and (left.target == other.target).all()
+
+
+@pytest.mark.parametrize("how", [{}, {"sample_size": 4, "seed": 1}, {"sample_size": 2, "strata": 3, "seed": 1}])
+def test_removals_that_split_nothing_label_nothing(spark, karate, monkeypatch, how):
+    c, levels, labelled = compact(karate), [], []
+    monkeypatch.setattr(community, "no_better_parts", lambda c, label: False)
+    remove, labels = community.without, community.labels_of
+    monkeypatch.setattr(community, "without", lambda c, key: levels.append(remove(c, key)) or levels[-1])
+    quality = community.quality
+    monkeypatch.setattr(community, "quality", lambda c, label: labelled.append(1) or quality(c, label))
+    got = parts(community.girvan_newman(karate, **how))
+    assert len(levels) == len(c.target) // 2
+    found = [labels(x) for x in [c, *levels]]
+    assert len(labelled) <= len({tuple(x.tolist()) for x in found}) < len(levels)  # once for each labelling, not for each removal
+    q = [quality(c, x) for x in found]
+    best = found[next(k for k, x in enumerate(q) if x >= max(q) - 1e-12)]
+    ids = c.ids.to_pylist()
+    assert got == sorted(sorted(ids[i] for i in np.flatnonzero(best == k)) for k in np.unique(best))
+
+
 def test_no_better_parts_against_all_partitions():
     def partitions(n):
         label = [0] * n
