@@ -472,7 +472,7 @@ def meeting(token: np.ndarray, block: np.ndarray, own: np.ndarray, key: np.ndarr
 
 def open_pairs(opened: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
     """(a, b): the pairs of open classes in different groups, a > b, that share a token of their prefixes and are of like length."""
-    own = written(needed(words.select("k", "w"), opened).join(opened, "k").select("k", "root", "w"), "open-words")
+    own = written(needed(words.select("k", "w"), opened, opened.count()).join(opened, "k").select("k", "root", "w"), "open-words")
 
     def slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
         for a, b in text_slices(batch.column("w"), 4_000_000):
@@ -538,9 +538,19 @@ def open_pairs(opened: DataFrame, words: DataFrame, threshold: float) -> DataFra
     return cut.mapInArrow(pair, "a binary, b binary").distinct()
 
 
-def needed(words: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of words that a filter of the wanted keys lets through, so that a join moves few others. wanted: (k, ...), a written table or made of one."""
-    sent = words.sparkSession.sparkContext.broadcast(key_filter(wanted, wanted.count()))
+def keys_of(pairs: DataFrame) -> DataFrame:
+    """(k): the keys of pairs (a, b), each once for a batch that has it: a key that is in many pairs isn't sent for each of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([pa.concat_arrays([batch.column("a"), batch.column("b")]).unique()], ["k"])
+
+    return pairs.select("a", "b").mapInArrow(run, "k binary")
+
+
+def needed(words: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
+    """The rows of words that a filter of the wanted keys lets through, so that a join moves few others. wanted: (k, ...), at most about `rows` keys."""
+    sent = words.sparkSession.sparkContext.broadcast(key_filter(wanted, rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -562,10 +572,11 @@ def verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
                 ok = pa.array(similar(both, threshold))
                 yield pa.record_batch([part.column(0), part.column(1)], ["a", "b"]).filter(ok)
 
-    own = needed(words.select("k", "w"), pairs.select(F.explode(F.array("a", "b")).alias("k")))
+    own = needed(words.select("k", "w"), keys_of(pairs), 2 * pairs.count())
     one = own.select(F.col("k").alias("a"), F.col("w").alias("wa"))
     two = own.select(F.col("k").alias("b"), F.col("w").alias("wb"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "wa", "wb").mapInArrow(run, "a binary, b binary")
+    # Merged, not broadcast: else a task would hold the filter's Python worker beside the aligning one.
+    return pairs.select("a", "b").join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "wa", "wb").mapInArrow(run, "a binary, b binary")
 
 
 def signatures(words: np.ndarray, counts: np.ndarray) -> np.ndarray:

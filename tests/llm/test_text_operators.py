@@ -682,5 +682,8 @@ def test_verified_moves_only_the_texts_of_its_pairs(spark):
         assert order_minhash.verified(pairs.limit(0), words, 0.8).count() == 0
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-    kept = {bytes(r.k) for r in order_minhash.needed(words, pairs.select(F.col("a").alias("k"))).collect()}
+    kept = {bytes(r.k) for r in order_minhash.needed(words, pairs.select(F.col("a").alias("k")), 2).collect()}
     assert {keys[0], keys[2]} <= kept and len(kept) < 50
+    star = spark.createDataFrame([(k, keys[0]) for k in keys[1:]], "a binary, b binary").repartition(2)
+    sent = [bytes(r.k) for r in order_minhash.keys_of(star).collect()]
+    assert set(sent) == set(keys) and sent.count(keys[0]) <= 2
