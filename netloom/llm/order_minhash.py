@@ -47,6 +47,8 @@ TURNS, TRIES = 3, 4
 FEW = 100
 #: Hash classes of words that go with each row of the exact finish, four bits each.
 FINE = 2048
+#: Hash classes of words that go with each row where partners are first looked for, four bits each.
+SMALL = 256
 #: Up to so many links are joined to groups in one task (32 bytes each).
 LOCAL_LINKS = 1 << 20
 #: From this many occurrences on, a pair of words is common: texts that share it must share one of their rarest words as well.
@@ -433,6 +435,58 @@ def first_tokens(tokens: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray
     return out
 
 
+def list_ends(token: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each row's token and block pair, end of its rows); rows stand in order of both."""
+    new = np.concatenate([[True], (token[1:] != token[:-1]) | (block[1:] != block[:-1])])
+    number = np.cumsum(new) - 1
+    return number, np.append(np.flatnonzero(new)[1:], len(token))[number]
+
+
+def like(x: np.ndarray, y: np.ndarray, block: np.ndarray, own: np.ndarray, root: np.ndarray, n: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether rows x and y, of one token and block pair, are to be paired there, lie in different groups and are of like length."""
+    near = np.abs(n[x] - n[y]) <= np.floor((1 - threshold) * np.maximum(n[x], n[y]) + 1e-9)
+    return (root[x] != root[y]).any(1) & near & ((own[x] != own[y]) | (block[x] % 65536 == block[x] // 65536))
+
+
+def partnered(token: np.ndarray, block: np.ndarray, own: np.ndarray, root: np.ndarray, n: np.ndarray, small: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether each row has a partner: one that like() and small, (rows, SMALL / 2) fine_signatures(), don't rule out. Arguments as for meeting().
+
+    In a large corpus most rows of a token have none, as unlike texts have a rare pair of words in common by chance.
+    """
+    out = np.zeros(len(token), bool)
+    if not len(token):
+        return out
+    number, ends = list_ends(token, block)
+    at, d = np.arange(len(token)), 1
+    while len(at := at[at + d < ends[at]]):
+        if d & (d - 1) == 0:  # now and then, lists are left in which all have one
+            at = at[np.bincount(number, ~out)[number[at]] > 0]
+        x = at[~(out[at] & out[at + d])]
+        x = x[like(x, x + d, block, own, root, n, threshold)]
+        for k in range(0, len(x), 10_000):  # some 10 MB of unpacked counts at a time
+            p, q = x[k : k + 10_000], x[k : k + 10_000] + d
+            ok = least_edits(unpacked(small[p]), unpacked(small[q]), n[p], n[q]) <= np.floor((1 - threshold) * np.maximum(n[p], n[q]) + 1e-9)
+            out[p[ok]] = out[q[ok]] = True
+        d += 1
+    return out
+
+
+def whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows in order of (t, block), the first two columns, as tables that hold all rows of each; the last list of a batch may go on in the next."""
+    left: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([left, table]) if left is not None else table
+        t, block = table.column(0).to_numpy(), table.column(1).to_numpy()
+        change = np.flatnonzero((t[1:] != t[:-1]) | (block[1:] != block[:-1])) + 1
+        at = int(change[-1]) if len(change) else 0
+        if at:
+            yield table.slice(0, at)
+        left = table.slice(at)
+    if left is not None:
+        yield left
+
+
 def meeting(token: np.ndarray, block: np.ndarray, own: np.ndarray, key: np.ndarray, root: np.ndarray, n: np.ndarray, sums: np.ndarray, place: np.ndarray, first: np.ndarray, threshold: float, fine: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places (a, b) of rows of one token and block pair, key of a > key of b, in different groups, of like length, and not ruled out by sums.
 
@@ -443,13 +497,11 @@ def meeting(token: np.ndarray, block: np.ndarray, own: np.ndarray, key: np.ndarr
     """
     if not len(token):
         return
-    new = np.concatenate([[True], (token[1:] != token[:-1]) | (block[1:] != block[:-1])])
-    ends = np.append(np.flatnonzero(new)[1:], len(token))[np.cumsum(new) - 1]
+    ends = list_ends(token, block)[1]
     at, d = np.arange(len(token)), 1
     while len(at := at[at + d < ends[at]]):
         x, y = at, at + d
-        longer = np.maximum(n[x], n[y])
-        ok = (root[x] != root[y]).any(1) & (np.abs(n[x] - n[y]) <= np.floor((1 - threshold) * longer + 1e-9)) & ((own[x] != own[y]) | (block[x] % 65536 == block[x] // 65536))
+        ok = like(x, y, block, own, root, n, threshold)
         x, y = x[ok], y[ok]
         for k in range(0, len(x), 25_000):  # some 13 MB of signatures at a time
             part = slice(k, k + 25_000)
@@ -493,13 +545,49 @@ def open_pairs(opened: DataFrame, words: DataFrame, threshold: float) -> DataFra
     lists = written(lists.filter("x != y").select("t", F.ceil(F.col("size") / PART).alias("parts")), "lists")
     live = own.sparkSession.sparkContext.broadcast(hash_filter(lists.select(F.col("t").alias("s"))))
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # A long list is cut by hash into parts, and each row goes to all pairs of its own part with another: all its pairs meet, some thousand rows at a time.
+    long = F.broadcast(lists.filter("parts > 1"))  # a PART-th of the rows above, at most
+
+    def dealt(posts: DataFrame) -> DataFrame:
+        cut = posts.join(long, "t", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("k"), F.col("parts")))
+        block = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda j: F.least("own", j) * 65536 + F.greatest("own", j))
+        return cut.select("t", F.explode(block).alias("block"), "own", *posts.columns[1:]).repartition("t", "block").sortWithinPartitions("t", "block")
+
+    halves = lambda c: np.frombuffer(b"".join(c.to_pylist()), ">u8").reshape(-1, 2)
+
+    def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, words in slices(batch):
                 tokens, row = posted(words, sent.value, threshold, common)
                 on = passes(filter_keys(tokens), live.value)
                 tokens, row = tokens[on], pa.array(row[on])
                 n = pa.array(np.array([len(w) for w in words], np.int64))
+                small = pa.array([g.tobytes() for g in fine_signatures(words, SMALL)], pa.binary())
+                for at in range(0, len(row), 20_000):
+                    rows = row.slice(at, 20_000)
+                    yield pa.record_batch([pa.array(tokens[at : at + 20_000].view(np.int64)), *(c.take(rows) for c in (part.column("k"), part.column("root"), n, small))], ["t", "k", "root", "n", "g"])
+
+    def partner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_lists(batches):
+            t, block, own, k, root, n, g = (table.column(c).combine_chunks() for c in table.column_names)
+            small = np.frombuffer(b"".join(g.to_pylist()), np.uint8).reshape(-1, SMALL // 2)
+            on = pa.array(partnered(t.to_numpy(), block.to_numpy(), own.to_numpy(), halves(root), n.to_numpy(), small, threshold))
+            yield pa.record_batch([t.filter(on), k.filter(on)], ["t", "k"])
+
+    # Rows with a small signature go first; only those with a partner send the rest, which is ten times as much.
+    sought = dealt(own.select("k", "root", "w").mapInArrow(seek, "t long, k binary, root binary, n long, g binary"))
+    found = written(sought.mapInArrow(partner, "t long, k binary").groupBy("k").agg(F.collect_set("t").alias("ts")), "partners")
+    mine = needed(own, found.select("k"), found.count()).join(found, "k").select("k", "root", "w", "ts")
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, words in slices(batch):
+                tokens, row = posted(words, sent.value, threshold, common)
+                ts = part.column("ts")
+                pair = lambda t, r: mix(t ^ mix(r.astype(np.uint64)))
+                on = np.isin(pair(tokens, row), pair(pc.list_flatten(ts).to_numpy().view(np.uint64), pc.list_parent_indices(ts).to_numpy()))
+                tokens, row = tokens[on], pa.array(row[on])
+                n = pa.array(np.array([len(w) for w in words], np.int64))
                 place = placed(tokens, sent.value)
                 first = pa.array([f.tobytes() for f in first_tokens(place, row.to_numpy(), len(words))], pa.binary())
                 fine = pa.array([g.tobytes() for g in fine_signatures(words)], pa.binary())
@@ -507,34 +595,15 @@ def open_pairs(opened: DataFrame, words: DataFrame, threshold: float) -> DataFra
                     rows = row.slice(at, 5000)
                     yield pa.record_batch([pa.array(tokens[at : at + 5000].view(np.int64)), part.column("k").take(rows), part.column("root").take(rows), n.take(rows), fine.take(rows), pa.array(place[at : at + 5000]), first.take(rows)], ["t", "k", "root", "n", "g", "place", "first"])
 
-    posts = own.mapInArrow(post, "t long, k binary, root binary, n long, g binary, place long, first binary")
-    # A long list is cut by hash into parts, and each row goes to all pairs of its own part with another: all its pairs meet, some thousand rows at a time.
-    cut = posts.join(lists, "t").withColumn("own", F.pmod(F.xxhash64("k"), F.col("parts")))
-    block = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda j: F.least("own", j) * 65536 + F.greatest("own", j))
-    cut = cut.select("t", F.explode(block).alias("block"), "own", "k", "root", "n", "g", "place", "first").repartition("t", "block").sortWithinPartitions("t", "block")
-
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        halves = lambda c: np.frombuffer(b"".join(c.to_pylist()), ">u8").reshape(-1, 2)
-        left: pa.Table | None = None
-
-        def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        for table in whole_lists(batches):
             t, block, own, k, root, n, g, place, first = (table.column(c).combine_chunks() for c in table.column_names)
             fine = np.frombuffer(b"".join(g.to_pylist()), np.uint8).reshape(-1, FINE // 2)
             least = np.frombuffer(b"".join(first.to_pylist()), np.int64).reshape(-1, FIRST)
             for a, b in meeting(t.to_numpy(), block.to_numpy(), own.to_numpy(), halves(k), halves(root), n.to_numpy(), coarse(fine), place.to_numpy(), least, threshold, fine):
                 yield pa.record_batch([k.take(pa.array(a)), k.take(pa.array(b))], ["a", "b"])
 
-        for batch in batches:  # the last list of a batch may go on in the next
-            table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([left, table]) if left is not None else table
-            t, block = table.column("t").to_numpy(), table.column("block").to_numpy()
-            change = np.flatnonzero((t[1:] != t[:-1]) | (block[1:] != block[:-1])) + 1
-            at = int(change[-1]) if len(change) else 0
-            yield from found(table.slice(0, at)) if at else ()
-            left = table.slice(at)
-        if left is not None:
-            yield from found(left)
-
+    cut = dealt(mine.mapInArrow(post, "t long, k binary, root binary, n long, g binary, place long, first binary"))
     return cut.mapInArrow(pair, "a binary, b binary").distinct()
 
 
@@ -585,20 +654,20 @@ def signatures(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount(text * 256 + (words >> np.uint64(56)).astype(np.int64), minlength=256 * len(counts)), 255).astype(np.uint8).reshape(-1, 256)
 
 
-def fine_signatures(words: list[np.ndarray]) -> np.ndarray:
-    """(texts, FINE / 2) bytes: how many of each text's words fall into each of FINE hash classes, at most 15: first class in the low half."""
-    out = np.zeros((len(words), FINE // 2), np.uint8)
+def fine_signatures(words: list[np.ndarray], classes: int = FINE) -> np.ndarray:
+    """(texts, classes / 2) bytes: how many of each text's words fall into each of the hash classes, at most 15: first class in the low half."""
+    out = np.zeros((len(words), classes // 2), np.uint8)
     for k in range(0, len(words), 200):
         part = words[k : k + 200]
         text = np.repeat(np.arange(len(part)), [len(w) for w in part])
-        place = (np.concatenate(part) >> np.uint64(65 - FINE.bit_length())).astype(np.int64)
-        n = np.minimum(np.bincount(text * FINE + place, minlength=FINE * len(part)), 15).astype(np.uint8)
-        out[k : k + 200] = (n[::2] | (n[1::2] << 4)).reshape(-1, FINE // 2)
+        place = (np.concatenate(part) >> np.uint64(65 - classes.bit_length())).astype(np.int64)
+        n = np.minimum(np.bincount(text * classes + place, minlength=classes * len(part)), 15).astype(np.uint8)
+        out[k : k + 200] = (n[::2] | (n[1::2] << 4)).reshape(-1, classes // 2)
     return out
 
 
 def unpacked(fine: np.ndarray) -> np.ndarray:
-    """(texts, FINE) counts of fine_signatures(), in an order of their own."""
+    """(texts, classes) counts of fine_signatures(), in an order of their own."""
     return np.concatenate([fine & 15, fine >> 4], 1)
 
 

@@ -543,6 +543,46 @@ def test_fine_signatures_bound_edits():
             assert order_minhash.least_edits(made[:1], made[1:], np.array(n), np.array([len(b)]))[0] <= max(len(a), len(b)) - common
 
 
+def test_rows_without_a_partner_send_no_signatures(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    word = lambda n: rng.integers(1 << 63, size=n, dtype=np.uint64) * np.uint64(2)
+    rare, template = word(200).reshape(100, 2), word(70)
+    texts = [np.concatenate([word(60), rare[i % 100]]) for i in range(300)]  # three unlike texts have a rare pair in common
+    texts += [np.concatenate([template, word(30)]) for _ in range(30)]  # a list that PART cuts
+    texts += [np.concatenate([t[:20], word(2), t[22:]]) for t in texts[:5] + texts[300:305]]
+    key = lambda i: i.to_bytes(16, "big")
+    words = spark.createDataFrame([(key(i), t.tobytes()) for i, t in enumerate(texts)], "k binary, w binary")
+    kept, keep = {}, order_minhash.written
+    monkeypatch.setattr(order_minhash, "written", lambda df, kind: kept.setdefault(kind, keep(df, kind)))
+    monkeypatch.setattr(order_minhash, "PART", 8)
+    got = [(int.from_bytes(r.a, "big"), int.from_bytes(r.b, "big")) for r in order_minhash.open_pairs(words.select("k", F.col("k").alias("root")), words, 0.8).collect()]
+    links = {(330 + i, j) for i, j in enumerate([*range(5), *range(300, 305)])}
+    assert links <= set(got) and len(got) == len(set(got))
+    sent = {int.from_bytes(r.k, "big") for r in kept["partners"].collect()}
+    assert {x for pair in links for x in pair} <= sent and not sent & set(range(5, 300))
+    assert kept["lists"].filter("parts > 1").count()
+
+
+def test_partnered_rows_are_those_of_possible_pairs():
+    rng = np.random.default_rng(12)
+    words = [rng.integers(1 << 63, size=n, dtype=np.uint64) * np.uint64(2) for n in rng.integers(20, 60, 40)]
+    words += [np.concatenate([w[:-2], rng.integers(1 << 63, size=2, dtype=np.uint64)]) for w in words[:12]]
+    text = np.concatenate([np.sort(rng.choice(52, rng.integers(1, 30), replace=False)) for _ in range(30)])
+    token = np.cumsum(np.diff(text, prepend=99) <= 0) - 1
+    small, n = order_minhash.fine_signatures(words, order_minhash.SMALL), np.array([len(w) for w in words])
+    root = np.stack([np.zeros(52, np.int64), np.where(np.arange(52) < 6, 0, np.arange(52))], 1)
+    zero = np.zeros(len(text), np.int64)
+    got = order_minhash.partnered(token, zero, zero, root[text], n[text], small[text], 0.8)
+    full = order_minhash.unpacked(small)
+
+    def fits(a: int, b: int) -> bool:
+        edits = order_minhash.least_edits(full[[a]], full[[b]], n[[a]], n[[b]])[0]
+        return bool((root[a] != root[b]).any()) and max(abs(n[a] - n[b]), edits) <= int(0.2 * max(n[a], n[b]) + 1e-9)
+
+    want = [any(fits(a, b) for b in text[token == t] if a != b) for a, t in zip(text, token, strict=True)]
+    assert got.tolist() == want and 0 < sum(want) < len(want)
+
+
 def test_links_joined_in_one_task_equal_the_loop(spark, monkeypatch):
     rng = random.Random(7)
     keys = [rng.randbytes(16) for _ in range(300)]
