@@ -471,6 +471,22 @@ def partnered(token: np.ndarray, block: np.ndarray, own: np.ndarray, root: np.nd
     return out
 
 
+def blocks(tokens: np.ndarray, row: np.ndarray, keys: np.ndarray, long: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(token, block, own part, text) of the rows to send. long: the tokens, as signed numbers in order, of lists that are cut into `parts`; keys: of the texts.
+
+    A long list is cut by hash of the key, and each row goes to all pairs of its own part with another: all its pairs meet, some thousand rows at a time.
+    """
+    count = np.ones(len(tokens), np.int64)
+    if len(long):
+        at = np.minimum(np.searchsorted(long, tokens.view(np.int64)), len(long) - 1)
+        count = np.where(long[at] == tokens.view(np.int64), parts[at], 1)
+    h = keys.astype(np.uint64)
+    own = (mix(h[:, 0] ^ mix(h[:, 1]))[row] % count.astype(np.uint64)).astype(np.int64)
+    of = np.repeat(np.arange(len(tokens)), count)
+    other = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    return tokens[of], np.minimum(own[of], other) * 65536 + np.maximum(own[of], other), own[of], row[of]
+
+
 def whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Rows in order of (t, block), the first two columns, as tables that hold all rows of each; the last list of a batch may go on in the next."""
     left: pa.Table | None = None
@@ -545,13 +561,9 @@ def open_pairs(opened: DataFrame, words: DataFrame, threshold: float) -> DataFra
     lists = written(lists.filter("x != y").select("t", F.ceil(F.col("size") / PART).alias("parts")), "lists")
     live = own.sparkSession.sparkContext.broadcast(hash_filter(lists.select(F.col("t").alias("s"))))
 
-    # A long list is cut by hash into parts, and each row goes to all pairs of its own part with another: all its pairs meet, some thousand rows at a time.
-    long = F.broadcast(lists.filter("parts > 1"))  # a PART-th of the rows above, at most
-
-    def dealt(posts: DataFrame) -> DataFrame:
-        cut = posts.join(long, "t", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("k"), F.col("parts")))
-        block = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda j: F.least("own", j) * 65536 + F.greatest("own", j))
-        return cut.select("t", F.explode(block).alias("block"), "own", *posts.columns[1:]).repartition("t", "block").sortWithinPartitions("t", "block")
+    cut = lists.filter("parts > 1").sort("t").toArrow()  # a PART-th of the rows above, at most
+    long = own.sparkSession.sparkContext.broadcast((cut.column(0).to_numpy(), cut.column(1).to_numpy()))
+    dealt = lambda posts: posts.repartition("t", "block").sortWithinPartitions("t", "block")
 
     halves = lambda c: np.frombuffer(b"".join(c.to_pylist()), ">u8").reshape(-1, 2)
 
@@ -560,12 +572,13 @@ def open_pairs(opened: DataFrame, words: DataFrame, threshold: float) -> DataFra
             for part, words in slices(batch):
                 tokens, row = posted(words, sent.value, threshold, common)
                 on = passes(filter_keys(tokens), live.value)
-                tokens, row = tokens[on], pa.array(row[on])
+                tokens, block, mine, row = blocks(tokens[on], row[on], halves(part.column("k")), *long.value)
                 n = pa.array(np.array([len(w) for w in words], np.int64))
                 small = pa.array([g.tobytes() for g in fine_signatures(words, SMALL)], pa.binary())
                 for at in range(0, len(row), 20_000):
-                    rows = row.slice(at, 20_000)
-                    yield pa.record_batch([pa.array(tokens[at : at + 20_000].view(np.int64)), *(c.take(rows) for c in (part.column("k"), part.column("root"), n, small))], ["t", "k", "root", "n", "g"])
+                    some = slice(at, at + 20_000)
+                    rest = (c.take(pa.array(row[some])) for c in (part.column("k"), part.column("root"), n, small))
+                    yield pa.record_batch([pa.array(tokens[some].view(np.int64)), pa.array(block[some]), pa.array(mine[some]), *rest], ["t", "block", "own", "k", "root", "n", "g"])
 
     def partner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_lists(batches):
@@ -575,9 +588,10 @@ def open_pairs(opened: DataFrame, words: DataFrame, threshold: float) -> DataFra
             yield pa.record_batch([t.filter(on), k.filter(on)], ["t", "k"])
 
     # Rows with a small signature go first; only those with a partner send the rest, which is ten times as much.
-    sought = dealt(own.select("k", "root", "w").mapInArrow(seek, "t long, k binary, root binary, n long, g binary"))
+    sought = dealt(own.select("k", "root", "w").mapInArrow(seek, "t long, block long, own long, k binary, root binary, n long, g binary"))
     found = written(sought.mapInArrow(partner, "t long, k binary").groupBy("k").agg(F.collect_set("t").alias("ts")), "partners")
-    mine = needed(own, found.select("k"), found.count()).join(found, "k").select("k", "root", "w", "ts")
+    # Merged, not broadcast, as in verified().
+    mine = needed(own, found.select("k"), found.count()).join(found.hint("merge"), "k").select("k", "root", "w", "ts")
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -586,14 +600,16 @@ def open_pairs(opened: DataFrame, words: DataFrame, threshold: float) -> DataFra
                 ts = part.column("ts")
                 pair = lambda t, r: mix(t ^ mix(r.astype(np.uint64)))
                 on = np.isin(pair(tokens, row), pair(pc.list_flatten(ts).to_numpy().view(np.uint64), pc.list_parent_indices(ts).to_numpy()))
-                tokens, row = tokens[on], pa.array(row[on])
+                tokens, row = tokens[on], row[on]
                 n = pa.array(np.array([len(w) for w in words], np.int64))
+                first = pa.array([f.tobytes() for f in first_tokens(placed(tokens, sent.value), row, len(words))], pa.binary())
+                tokens, block, mine, row = blocks(tokens, row, halves(part.column("k")), *long.value)
                 place = placed(tokens, sent.value)
-                first = pa.array([f.tobytes() for f in first_tokens(place, row.to_numpy(), len(words))], pa.binary())
                 fine = pa.array([g.tobytes() for g in fine_signatures(words)], pa.binary())
                 for at in range(0, len(row), 5000):
-                    rows = row.slice(at, 5000)
-                    yield pa.record_batch([pa.array(tokens[at : at + 5000].view(np.int64)), part.column("k").take(rows), part.column("root").take(rows), n.take(rows), fine.take(rows), pa.array(place[at : at + 5000]), first.take(rows)], ["t", "k", "root", "n", "g", "place", "first"])
+                    some = slice(at, at + 5000)
+                    k, root, m, g, f = (c.take(pa.array(row[some])) for c in (part.column("k"), part.column("root"), n, fine, first))
+                    yield pa.record_batch([pa.array(tokens[some].view(np.int64)), pa.array(block[some]), pa.array(mine[some]), k, root, m, g, pa.array(place[some]), f], ["t", "block", "own", "k", "root", "n", "g", "place", "first"])
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_lists(batches):
@@ -603,8 +619,8 @@ def open_pairs(opened: DataFrame, words: DataFrame, threshold: float) -> DataFra
             for a, b in meeting(t.to_numpy(), block.to_numpy(), own.to_numpy(), halves(k), halves(root), n.to_numpy(), coarse(fine), place.to_numpy(), least, threshold, fine):
                 yield pa.record_batch([k.take(pa.array(a)), k.take(pa.array(b))], ["a", "b"])
 
-    cut = dealt(mine.mapInArrow(post, "t long, k binary, root binary, n long, g binary, place long, first binary"))
-    return cut.mapInArrow(pair, "a binary, b binary").distinct()
+    posts = dealt(mine.mapInArrow(post, "t long, block long, own long, k binary, root binary, n long, g binary, place long, first binary"))
+    return posts.mapInArrow(pair, "a binary, b binary").distinct()
 
 
 def keys_of(pairs: DataFrame) -> DataFrame:
@@ -843,7 +859,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         seen: set[bytes] = set()  # a task sends a class once, however many copies it reads
         for batch in batches:
             texts = text_column(batch.column(0))
-            for a, b in text_slices(texts):
+            for a, b in text_slices(texts, 3_000_000):
                 words, counts = words_of(texts.slice(a, b - a))
                 keys, ends = class_keys(words, counts), np.cumsum(counts)
                 on = []
